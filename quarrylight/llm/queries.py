@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, langid, minhash, packing, quality
+from quarrylight.llm import bpe, embed_dedup, hnsw, html_text, langid, licenses, minhash, packing, quality, warc
 from quarrylight.llm.common import read, small_batches
 from quarrylight.session import ship
 
@@ -40,6 +40,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     return quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
 
@@ -51,11 +56,32 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    manifest, folder = warc.archive(read(spark, sf_dir, "pages"))
+    got = warc.read_records(manifest, folder)
+    return got.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return minhash.classes(read(spark, sf_dir, "documents"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
@@ -71,8 +97,13 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_language_id": op2_language_id,
+        "op3_main_text": op3_main_text,
         "op4_quality": op4_quality,
+        "op5_warc": op5_warc,
+        "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_licenses": op7_licenses,
         "op8_probminhash": op8_probminhash,
+        "op9_hnsw": op9_hnsw,
         "op10_best_fit": op10_best_fit,
         "pipeline": pipeline,
     }
