@@ -10,7 +10,6 @@ several tables counts in the first of them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,34 +75,47 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Of one pair of blocks: for each class that has a link, its links (copies counted) and the smallest class it reaches here."""
-    pdf = pdf.sort_values(["block", "rep"])
-    t, block, n = int(pdf["t"].iat[0]), pdf["block"].to_numpy(), pdf["n"].to_numpy()
-    x = np.stack([np.frombuffer(v, "<f8") for v in pdf["vec"]])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sig = np.stack([np.frombuffer(s, "<i4") for s in pdf["sig"]])
-    alone = pdf["i"].iat[0] == pdf["j"].iat[0]
-    left = np.arange(len(x)) if alone else np.flatnonzero(block == pdf["i"].iat[0])
-    right = left if alone else np.flatnonzero(block == pdf["j"].iat[0])
+def _compare(t: int, apart: bool, first: np.ndarray, vec: np.ndarray, sig: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one pair of blocks (``apart``: ``first`` tells them apart; else one block against itself) of table ``t``: each row's links, copies counted, and the first row that it reaches here."""
+    x = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    left = np.flatnonzero(first) if apart else np.arange(len(x))
+    right = np.flatnonzero(~first) if apart else left
+    links, root = np.zeros(len(x), np.int64), np.arange(len(x))
     if not len(left) or not len(right):
-        return pd.DataFrame({"rep": pdf["rep"][:0], "links": n[:0], "root": pdf["rep"][:0]})
+        return links, root
     link = x[left] @ x[right].T >= cosine
-    if alone:
+    if not apart:
         np.fill_diagonal(link, False)
+    if t and link.any():
+        a, b = np.nonzero(link)
+        met = np.zeros(len(a), bool)
+        for k in range(0, len(a), 1 << 16):
+            met[k : k + (1 << 16)] = (sig[left[a[k : k + (1 << 16)]], :t] == sig[right[b[k : k + (1 << 16)]], :t]).any(1)
+        link[a[met], b[met]] = False
     if link.any():
-        for earlier in range(t):
-            link &= sig[left, earlier][:, None] != sig[right, earlier][None, :]
-    a, b = np.nonzero(link)
-    a, b = left[a], right[b]
-    links = np.zeros(len(x), np.int64)
-    np.add.at(links, a, n[b])
-    if not alone:
-        np.add.at(links, b, n[a])
-    root = _local_roots(len(x), a, b) if len(a) else np.arange(len(x))
-    rep = pdf["rep"].to_numpy()
-    hit = links > 0
-    return pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": rep[root[hit]]})
+        a, b = np.nonzero(link)
+        a, b = left[a], right[b]
+        np.add.at(links, a, n[b])
+        if apart:
+            np.add.at(links, b, n[a])
+        root = _local_roots(len(x), a, b)
+    return links, root
+
+
+def _groups(batches, columns: list[str]):
+    """The groups of equal values in ``columns`` of batches sorted by them, as tables: a group may go over several batches, a batch may hold thousands."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        key = np.stack([t.column(c).to_numpy() for c in columns])
+        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        starts = np.concatenate([[0], cut])
+        t = t.combine_chunks()
+        for a, z in zip(starts[:-1], starts[1:]):
+            yield t.slice(a, z - a)
+        rest = t.slice(starts[-1]) if t.num_rows else None
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
@@ -120,8 +132,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     keyed = saved(_keyed(classes, bits, tables), "keyed")
 
-    met = keyed.select("rep", "label", "dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.hex(F.substring(F.col("sig"), t * 4 + 1, F.lit(4))))).alias("t", "bucket"))
-    bucket = ["label", "dim", "t", "bucket"]
+    met = keyed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("label", "dim", t, F.substring(F.col("sig"), t * 4 + 1, F.lit(4))))).alias("t", "bucket"))
+    bucket = ["t", "bucket"]
     sizes = met.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = (
@@ -129,12 +141,31 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(*bucket, "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(keyed.select("rep", "n", "vec", "sig", F.col("label").alias("own")), "rep")
-        .where("own = label")
-        .drop("own")
+        .join(keyed.select("rep", "n", "label", "dim", "vec", "sig"), "rep")
     )
     kind = dict(keyed.dtypes)["rep"]
-    found = saved(dealt.groupBy(*bucket, "i", "j").applyInPandas(lambda pdf: _compare(pdf, cosine), f"rep {kind}, links long, root {kind}"), "found")
+    group = ["t", "bucket", "i", "j"]
+
+    def compare(batches):
+        for g in _groups(batches, group):
+            rep, labels, dims = g.column("rep"), g.column("label").to_pylist(), g.column("dim").to_pylist()
+            if len(set(labels)) > 1 or len(set(dims)) > 1:  # two buckets with one hash
+                parts = [g.filter(pa.array([x == d for x in zip(labels, dims)])) for d in sorted(set(zip(labels, dims)), key=str)]
+            else:
+                parts = [g]
+            for p in parts:
+                if p.num_rows < 2:
+                    continue
+                rep, i, j = p.column("rep"), p.column("i")[0].as_py(), p.column("j")[0].as_py()
+                vec = np.frombuffer(b"".join(p.column("vec").to_pylist()), "<f8").reshape(p.num_rows, -1)
+                sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), "<i4").reshape(p.num_rows, -1)
+                links, root = _compare(p.column("t")[0].as_py(), i != j, p.column("block").to_numpy() == i, vec, sig, p.column("n").to_numpy(), cosine)
+                hit = np.flatnonzero(links)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(hit)).combine_chunks(), pa.array(links[hit]), rep.take(pa.array(root[hit])).combine_chunks()], names=["rep", "links", "root"])
+
+    sorted_ = dealt.repartition(*group).sortWithinPartitions(*group)
+    found = saved(sorted_.mapInArrow(compare, f"rep {kind}, links long, root {kind}"), "found")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select("rep", "root"), "rep", "root")
