@@ -10,14 +10,17 @@ pairs in rank order gives.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
+import sys
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,13 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _little(ids: list[int]) -> bytes:
+    packed = array.array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class BpeModel:
     """Inner ids are ranks: 0-255 the bytes, then a token for each merge in order; ``public_id`` maps them to the ids of the file."""
 
@@ -86,6 +96,7 @@ class BpeModel:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.decimal = [str(i) for i in range(size)]
         self.packed = [int(i).to_bytes(4, "little") for i in self.public_id]
+        self._ranked = None
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -162,6 +173,14 @@ class BpeModel:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
+    def ranked(self, text: str) -> bytes:
+        """As encode_packed(), by the ``tiktoken`` library on this vocabulary's ranks: the same ids (the tests compare them over all of Unicode), in less time where few words repeat."""
+        if self._ranked is None:
+            self._ranked = tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=dict(zip(self.tokens, self.public_id)), special_tokens={})
+        if self.added_at is None or not any(c in text for c in self.added):
+            return _little(self._ranked.encode_ordinary(text))
+        return b"".join(_little([self.added[part]] if k % 2 else self._ranked.encode_ordinary(part)) for k, part in enumerate(self.added_at.split(text)) if part)
+
     def decode_bytes(self, ids: np.ndarray, block: int = 1 << 18) -> bytes:
         """The bytes of ids: each id's span of the spelled-out vocabulary, copied in blocks so that memory stays bounded."""
         out = []

@@ -42,7 +42,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         for b in batches:
             cols = [[] for _ in range(8)]
             for at, text in enumerate(b.column(1).to_pylist()):
-                ids = memoryview(model.encode_packed(text or "") + ending)
+                ids = memoryview(model.ranked(text or "") + ending)
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     size = (n - start - 1) % capacity + 1
