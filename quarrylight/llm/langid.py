@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -80,19 +80,20 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col
     Rows with a null text or language are left out. The sample's bound is for each language; the number of languages is
     that of the labels.
     """
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
-    rows = (
-        df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col)).alias("h"), F.substring(F.col(text_col), 1, sample_chars).alias("text"))
-        .withColumn("n", F.row_number().over(by_hash))
-        .where(F.col("n") <= sample_texts)
-        .collect()
-    )
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return LanguageModel({})
+    share = F.create_map([F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * sample_texts / r["count"]))])
+    low = F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("lang")) * (1 << 31)  # about twice the sample, whatever the table's size
+    found = rows.where(low).groupBy("lang", F.substring("text", 1, sample_chars).alias("text")).agg(F.min("h").alias("h")).collect()
     texts: dict[str, dict[bytes, None]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
-        if _LETTER.search(r.text):
-            texts.setdefault(r.lang, {}).setdefault(folded(r.text))
-    return LanguageModel({lang: b"".join(parts)[:dict_bytes] for lang, parts in texts.items()})
+    for r in sorted(found, key=lambda r: (r.lang, r.h, r.text)):
+        own = texts.setdefault(r.lang, {})
+        if len(own) < sample_texts and _LETTER.search(r.text):
+            own.setdefault(folded(r.text))
+    return LanguageModel({lang: b"".join(parts)[:dict_bytes] for lang, parts in texts.items() if parts})
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
