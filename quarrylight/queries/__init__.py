@@ -1,4 +1,4 @@
 """Registered queries, each with the SQL that must give the same rows where SQL can say it."""
 
-from quarrylight.queries import retrieval  # noqa: F401
+from quarrylight.queries import extract, retrieval, tables, web  # noqa: F401
 from quarrylight.queries.base import QUERIES, SQL  # noqa: F401
