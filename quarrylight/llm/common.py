@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to Python; with texts of many KB it keeps a worker's batch at some MB.
 BATCH_ROWS = 512
+#: And its bytes: a batch of very long texts is cut sooner.
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
