@@ -1,14 +1,17 @@
 """Near-duplicate documents by ProbMinHash over weighted word shingles.
 
-1. ``sketches``: a text's shingles (runs of ``k`` words) weighted by how often they occur. Each shingle is a Poisson
+1. ``sketches``: a text's shingles (runs of ``k`` words), weighted by 1 + ln(occurrences): a line that a text repeats a
+   hundred times must not drown the rest of it. Each shingle is a Poisson
    process of arrivals with its weight as rate; an arrival lands in a random register, and a register keeps the shingle
    that arrives first. Two texts agree in a register with the probability Jaccard similarity of their shingle weights. A
    shingle's later arrivals are only drawn while they could still be first somewhere. Texts with equal word sequences
    share one sketch (a *class*).
-2. Registers are banded; classes that share a band meet in a bucket. Buckets of a few classes give pairs; larger ones are
-   cut into blocks and compared block against block, each pair only in the first band that both share, so that neither a
-   task nor the number of rows grows with the square of a bucket.
-3. Each candidate pair is verified on the exact shingle weights; links give connected components.
+2. Registers are banded; classes that share a band meet in a bucket. Buckets of a few classes give all their pairs, larger
+   ones a pair of each class with the bucket's first. Pairs are verified on the exact shingle weights, links give connected
+   components.
+3. A large bucket whose classes are one component by then has no more to tell. The others are cut into blocks and compared
+   block against block, each pair only in the first band that both share and only while its ends are apart, so that a
+   group of copies costs time in proportion to its size, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ BANDS = 24
 ROWS = 5
 #: Classes of a bucket whose pairs are listed as rows; larger buckets are compared in blocks of BLOCK.
 LISTED = 8
-BLOCK = 256
+BLOCK = 512
 #: A pair of a block is verified if this much less than the similarity is estimated: over four standard errors of the estimate.
 SLACK = 0.16
 
@@ -98,7 +101,7 @@ def prob_minhash(items: list[tuple[np.ndarray, np.ndarray]], registers: int) ->
     n = len(items)
     of = np.repeat(np.arange(n), [len(s) for s, _ in items])
     h = np.concatenate([s for s, _ in items])
-    rate = np.concatenate([c for _, c in items]).astype(np.float64)
+    rate = weight(np.concatenate([c for _, c in items]))
     best = np.full(n * registers, np.inf)
     won = np.zeros(n * registers, np.uint64)
     t = np.zeros(len(h))
@@ -123,6 +126,19 @@ def prob_minhash(items: list[tuple[np.ndarray, np.ndarray]], registers: int) ->
         return (_mixed(won) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(n, registers)
 
 
+def weight(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
+def similarity_of(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> float:
+    """The larger of the probability Jaccard similarity of two texts' weighted shingles and the plain one of their sets, from sorted shingles and their counts."""
+    if (an == an[:1]).all() and (bn == bn[:1]).all():
+        return probability_jaccard(a, an, b, bn)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    plain = common / (len(a) + len(b) - common) if common else 0.0
+    return max(plain, probability_jaccard(a, weight(an), b, weight(bn)))
+
+
 def probability_jaccard(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.ndarray) -> float:
     """Sum over the common elements x of 1 / sum over z of max(a(z)/a(x), b(z)/b(x)). Sorted elements with their weights. With equal weights this is the Jaccard similarity of the sets."""
     if not len(a) or not len(b):
@@ -197,7 +213,7 @@ def _weights(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _unpack(items: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     s = np.frombuffer(items, "<u8")
-    return s, np.frombuffer(counts, "<i4") if counts else np.ones(len(s), np.int32)
+    return s, np.frombuffer(counts, "<i4") if len(counts) else np.ones(len(s), np.int32)
 
 
 class _Sets:
@@ -217,13 +233,16 @@ class _Sets:
 
 
 def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) -> list[tuple[str, str]]:
-    """Links that connect what the pairs of one block pair connect (not all pairs): rows of ``class``, ``block``, ``sig``, ``items``, ``counts``, all of one bucket of ``band``."""
+    """Links that connect what the pairs of one block pair connect (not all pairs): rows of ``class``, ``comp`` (its component so far), ``block``, ``sig``, ``items``, ``counts``, all of one bucket of ``band``."""
     pdf = pdf.sort_values(["block", "class"])
     band, names, block = int(pdf["band"].iloc[0]), pdf["class"].tolist(), pdf["block"].to_numpy()
     sig = np.stack([np.frombuffer(s, "<i4") for s in pdf["sig"]])
     left = np.arange(len(names)) if block[0] == block[-1] else np.flatnonzero(block == block[0])
     right = left if block[0] == block[-1] else np.flatnonzero(block == block[-1])
     sets, links, held = _Sets(len(names)), [], {}
+    seen_comp: dict[str, int] = {}
+    for i, c in enumerate(pdf["comp"]):
+        sets.join(i, seen_comp.setdefault(c, i))
 
     def weights(i: int):
         if i not in held:
@@ -240,7 +259,7 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
         seen = same.reshape(len(others), bands, rows).all(2)[:, :band].any(1)
         near = others[(same.mean(1) >= similarity - SLACK) & ~seen]
         for j in near:
-            if sets.find(i) != sets.find(j) and probability_jaccard(*weights(i), *weights(j)) >= similarity:
+            if sets.find(i) != sets.find(j) and similarity_of(*weights(i), *weights(j)) >= similarity:
                 sets.join(i, j)
                 links.append((names[i], names[j]))
     return links
@@ -249,8 +268,9 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
     """``id_col``, ``class_id`` (smallest id of the group), ``kept`` (id = class_id): one row per row of ``df``.
 
-    Two texts are linked if the probability Jaccard of their k-word shingles, weighted by occurrences, is ``similarity``
-    or more (for texts that repeat no shingle: their sets' Jaccard similarity); groups are what links connect. Texts with
+    Two texts are linked if the probability Jaccard similarity of their k-word shingles, weighted by 1 + ln(occurrences),
+    or the plain one of the sets is ``similarity`` or more (the same number for texts that repeat no shingle); groups are
+    what links connect. Texts with
     the same words in the same order belong together. A null text, an empty one or one without words is in a group of its
     own. Rows with the same id are one document if they hold the same words; else each takes the smallest class id of its
     own text. A row with a null id gets a null class and is kept. Other columns are not read; an empty table gives an
@@ -269,12 +289,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     member = saved(banded.join(sizes, ["band", "key"]).select("band", "key", "n", "class"), "members")
 
     few = member.where(F.col("n") <= LISTED).groupBy("band", "key").agg(F.sort_array(F.collect_set("class")).alias("c"))
-    listed = few.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, LISTED), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*").distinct()
-    pairs = saved(listed, "pairs")
+    listed = few.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, LISTED), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
     many = saved(member.where(F.col("n") > LISTED), "large_buckets")
+    star = many.join(many.groupBy("band", "key").agg(F.min("class").alias("a")), ["band", "key"]).where("class != a").select("a", F.col("class").alias("b"))
+    pairs = saved(listed.union(star).distinct(), "pairs")
 
     # Exact weights, only of classes that met another one.
-    involved = pairs.select("a").union(pairs.select("b")).union(many.select("class")).distinct().withColumnRenamed("a", "class")
+    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "class")
     first = reps.join(involved, "class", "left_semi").select(F.col("rep").alias("id"), "class")
     weighted = saved(_weights(docs, first, k), "weights")
 
@@ -283,27 +304,35 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     def verify(batches):
         for t in batches:
-            good = [probability_jaccard(*_unpack(ai, ac), *_unpack(bi, bc)) >= similarity for ai, ac, bi, bc in zip(*(t.column(c).to_pylist() for c in ("ai", "ac", "bi", "bc")))]
+            cols = [t.column(c) for c in ("ai", "ac", "bi", "bc")]
+            good = []
+            for row in range(t.num_rows):  # one pair at a time, straight from Arrow's buffers
+                ai, ac, bi, bc = (c[row].as_buffer() for c in cols)
+                good.append(similarity_of(*_unpack(ai, ac), *_unpack(bi, bc)) >= similarity)
             yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "ai", "ac", "bi", "bc").mapInArrow(verify, "a string, b string")
+    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ai", "ac", "bi", "bc").mapInArrow(verify, "a string, b string"), "links")
 
-    # Large buckets: a class goes to the block pairs of its block.
+    # Large buckets that are not one component yet: a class goes to the block pairs of its block.
+    so_far = saved(components(links, "a", "b"), "components")
+    placed = many.join(so_far.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    apart = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     dealt = (
-        many.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", "key", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        placed.join(apart, ["band", "key"], "left_semi")
         .join(reps.select("class", "sig"), "class")
         .join(weighted, "class")
+        .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .select("band", "key", "i", "j", "block", "class", "comp", "sig", "items", "counts")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(pdf, bands, rows, similarity), columns=["a", "b"])
 
     met = dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a string, b string")
-    found = saved(links.union(met).distinct(), "links")
+    found = saved(so_far.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(met), "all_links")
 
     ids = reps.select("class", "rep")
     edges = found.join(ids.withColumnRenamed("class", "a"), "a").withColumnRenamed("rep", "x").join(ids.withColumnRenamed("class", "b"), "b").withColumnRenamed("rep", "y").select("x", "y")
