@@ -124,3 +124,22 @@ SELECT user_id, coalesce(max(s.mode), '') AS winner FROM (SELECT DISTINCT user_i
 def benchmark_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("mode")).agg(F.when(F.avg("value") > 60, "high").when(F.avg("value") > 40, "medium").otherwise("low").alias("confidence"), (F.count("*") % 4).alias("n_sources"), F.lit(None).cast("double").alias("faithfulness"), (F.count("*") / 10.0).alias("latency"))
     return V.winner(g, "user_id")
+
+
+@query("conversation_state")
+def conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold, which SQL has not: the tests hold it against a loop."""
+    from quarrylight.session import ship
+    from quarrylight.streaming.conversation import state
+
+    ship(spark)
+    return state(read(spark, sf_dir, "conversations"))
+
+
+@query("semantic_cache_topk", "SELECT user_id || '|' || event_type AS key, max(event_id)::BIGINT AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1 ORDER BY max(ts) DESC, key LIMIT 250")
+def semantic_cache_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache keeps the newest answer of each key and 250 keys in all; the limit is the feature."""
+    from quarrylight.sources.sinks import cached_answers
+
+    e = read(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").alias("last"))
+    return cached_answers(e).select("key", "last")
