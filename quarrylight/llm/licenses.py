@@ -69,9 +69,11 @@ def template_table(spark, base=BASE, templates=TEMPLATES) -> DataFrame:
     rows = [(n, label, exact, template_words(text)) for n, (label, text, exact) in enumerate([(*b, True) for b in base] + [(*t, False) for t in templates])]
     if any(len(r[3]) < K for r in rows):
         raise ValueError(f"a template has fewer than {K} words")
-    t = spark.createDataFrame(rows, "tpl int, label string, exact boolean, w array<string>")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({n}, {quoted(label)}, {exact}, array({', '.join(map(quoted, w))}))" for n, label, exact, w in rows)
+    t = spark.sql(f"SELECT * FROM VALUES {values} AS t(tpl, label, exact, w)")
     t = t.select("tpl", "label", "exact", F.size("w").alias("t_words"), F.posexplode(runs(F.col("w"))).alias("tpos", "run"))
-    whole = spark.createDataFrame([(-1, "", False, 0, 0, WHOLE)], "tpl int, label string, exact boolean, t_words int, tpos int, run long")
+    whole = spark.sql(f"SELECT -1 AS tpl, '' AS label, false AS exact, 0 AS t_words, 0 AS tpos, {WHOLE}L AS run")
     return t.unionByName(whole)
 
 

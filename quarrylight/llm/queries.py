@@ -109,5 +109,36 @@ def queries() -> dict:
     }
 
 
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> first THEN first END AS refers_to FROM f"""
+
+EMBEDDING_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= {embed_dedup.COSINE}),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a) USING (vec_id)"""
+
+
+def _license_sql() -> str:
+    """The scan of op7_licenses by a join of spelled-out runs."""
+    kinds = [(label, text, True) for label, text in licenses.BASE] + [(label, text, False) for label, text in licenses.TEMPLATES]
+    rows = ", ".join(f"({n}, '{label}', {exact}, {licenses.template_words(text)!r})" for n, (label, text, exact) in enumerate(kinds))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS v(tpl, label, exact, w)),
+tg AS (SELECT tpl, label, exact, len(w) AS t_words, i - 1 AS tpos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d)),
+votes AS (SELECT doc_id, tpl, label, exact, t_words, pos - tpos AS diagonal, list(DISTINCT tpos) AS spots FROM dg JOIN tg USING (run) GROUP BY ALL),
+far AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) > {licenses.NEAR}, true) THEN 1 ELSE 0 END AS far FROM votes),
+g AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS grp FROM far),
+m AS (SELECT doc_id, tpl, label, exact, t_words, len(list_distinct(flatten(list(spots)))) / (t_words - 2) AS share, min(diagonal + list_min(spots)) AS first, max(diagonal + list_max(spots) + 2) AS last FROM g GROUP BY doc_id, tpl, label, exact, t_words, grp),
+s AS (SELECT * FROM m WHERE CASE WHEN exact THEN share = 1 ELSE share >= {licenses.COVER} AND last - first + 1 <= {licenses.STRETCH} * t_words END),
+x AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN x USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": WARC_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op7_licenses": _license_sql()}
