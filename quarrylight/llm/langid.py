@@ -69,8 +69,10 @@ class LanguageModel:
             return sizes[0][1], 1.0, False
         margin = (sizes[1][0] - best) / best
         tied = [lang for size, lang in sizes if size == best]
-        if len(tied) > 1:  # a few bytes of output decide nothing: the dictionary that holds more of the text's 4-byte strings
-            tied.sort(key=lambda lang: (-sum(data[k : k + 4] in self.dictionaries[lang] for k in range(len(data) - 3)), lang))
+        if len(tied) > 1:  # a short text's few bytes of output decide nothing: the dictionary that holds more of its 4-byte strings, by the margin in their number
+            held = sorted((-sum(data[k : k + 4] in self.dictionaries[lang] for k in range(len(data) - 3)), lang) for lang in tied)
+            margin = (held[1][0] - held[0][0]) / max(1, len(data) - 3)
+            return held[0][1], margin, margin < self.narrow
         return tied[0], min(1.0, margin), margin < self.narrow
 
 
