@@ -57,7 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit numbers of words, kept in two bounded halves."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.new, self.old = most, {}, {}
 
     def __call__(self, w: str) -> int:
