@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarrylight.functions import text as T
 from quarrylight.functions.scoring import clamp
@@ -17,7 +18,7 @@ CACHE_SIMILARITY = 0.88
 CACHE_STOPWORDS = "a an and are at by do does for from in is of on or please tell me the to was were what when where which who".split()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by their longest matching blocks; no builtin gives it. Arrow batches, for small sides."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.functions.scoring import clamp, cosine, term_weight, total_weight
+from quarrylight.functions.scoring import clamp, dot, term_weight, total_weight
 
 K1, B = 1.5, 0.75
 RRF_CONSTANT, RRF_SCALE, RRF_BOOST = 60, 28.0, 0.25
@@ -78,8 +78,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0
     The stated query set is compared with all rows; Catalyst broadcasts the queries if they are small, and partial limits
     leave k rows per query and task for the merge.
     """
-    pairs = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).crossJoin(queries.select("qid", "qv"))
-    scored = pairs.select("qid", "vec_id", F.round(F.coalesce(clamp(cosine(F.col("qv"), F.col("v"))), F.lit(0.0)), 6).alias("score"))
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), norm(vector_col).alias("vn"))
+    pairs = v.crossJoin(queries.select("qid", "qv", norm("qv").alias("qn")))
+    cosine = F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("vn"))
+    scored = pairs.select("qid", "vec_id", F.round(F.coalesce(clamp(cosine), F.lit(0.0)), 6).alias("score"))
     best = top(scored, k, "score", "vec_id", by="qid")
     return best.where(F.col("score") >= threshold).select("qid", "rank", "vec_id", "score")
 
