@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import evaluate, extract, graph, order, segment, state, tables, verify, web
+from quarrylight.operators import answers, evaluate, extract, graph, order, segment, state, tables, verify, web
 from quarrylight.operators import retrieval as R
 from quarrylight.plans import questions as P
 from quarrylight.sources import files, sinks
@@ -182,6 +182,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("once").count() == 6
 
 
+def test_formula_repair(spark):
+    assert one(spark, answers.repaired_formula(F.col("t")), t="y=beta0+beta_1*x <= sigma^2") == "y = β₀ + β₁ * x ≤ σ²"
+    assert one(spark, answers.field_target(F.col("t")), t="When does it expire?") == "expiry_date"
+
+
 def test_names_of_others_are_nowhere():
     from pathlib import Path
 
