@@ -32,6 +32,8 @@ BOILER_ROLES = set("navigation banner contentinfo complementary search dialog al
 BOILER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer gdpr header login masthead menu menus modal nav navbar navigation navigate newsletter notice notices notification overlay pager pagination popup popover promo promoted promotion recommended related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
 )
+# First words of classes that describe a layout ("has-sidebar"), not a part of the page.
+LAYOUT_NAMES = {"has", "with", "no", "without", "is"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -48,8 +50,10 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in BOILER_NAMES for w in _NAME_WORD.findall(value)):
-                return True
+            for one in value.split():
+                words = [w.lower() for w in _NAME_WORD.findall(one)]
+                if words and words[0] not in LAYOUT_NAMES and any(w in BOILER_NAMES for w in words):
+                    return True
         elif name == "role" and value.lower() in BOILER_ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):

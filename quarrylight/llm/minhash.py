@@ -344,6 +344,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df``, with all its columns, that are the kept one of their group; of rows with equal id and text one stays."""
-    kept = classes(df, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    own, nth = "__kept_id__", "__nth_copy__"
+    kept = classes(df, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(own)).distinct()
     copies = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").withColumn("nth_copy", F.row_number().over(copies)).where("nth_copy = 1").select(*df.columns)
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi").withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(*df.columns)

@@ -125,6 +125,16 @@ def test_html_without_article():
     assert "A sentence" in text and "Mid" in text and not re.search("Home|cookies|Imprint", text)
 
 
+def test_html_layout_classes_are_no_sidebars():
+    text = "A sentence of the text that goes on. " * 5
+    assert html_text.extract(f'<div class="content has-sidebar"><p>{text}</p></div><div class="left-sidebar"><p>{text}</p></div>') == text.strip()
+
+
+def test_columns_that_clash_with_helpers(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id long, text string, __kept_id__ long, rep long")
+    assert [r.doc_id for r in minhash.keep_first(df.drop("__kept_id__").withColumnRenamed("rep", "kept_id")).collect()] == [1]
+
+
 def test_html_awkward(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain &amp; simple"), (4, "u", "<article><p>cut &am"), (5, "u", "<article><p>cut</p><p cl"), (6, "u", "<script>x"), (None, "u", "<p>a</p><p>a</p>"), (6, "u", "<script>x")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
