@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables whose rows are long texts or vectors, so that work on a row outweighs dealing it.
+TEXTS = {"documents", "pages", "conversations", "embeddings"}
 
 
 def query(name: str, sql: str | None = None):
@@ -23,7 +27,8 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in TEXTS else df
 
 
 def sql_list(values) -> str:

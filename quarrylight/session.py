@@ -37,3 +37,18 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f"{top.name}/{f.relative_to(top)}")
         spark.sparkContext.addPyFile(target)
     return spark
+
+
+#: A table of fewer bytes in fewer files than cores is dealt over the cores when it is read.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df):
+    """A small table that comes in a few row groups, dealt over all cores; a larger one, or one of many files, as it is.
+
+    One row group is one task however many cores there are. Shuffling some MB costs less than that; at scale row groups are
+    many and nothing is shuffled. Catalyst's size estimate decides; filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 18 < size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
