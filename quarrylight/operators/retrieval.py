@@ -49,12 +49,13 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col
     wanted = q.select("term").distinct()
     toks = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("w"))
     toks = toks.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    tf = toks.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = toks.join(wanted, "term", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))  # by document: the scores below need no further shuffle
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = index_stats(docs, id_col, text_col).select("n_docs", "avgdl")  # one row
-    weighted = q.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "qtf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.greatest(F.lit(1.0), "avgdl").alias("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("bm25"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = q.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf * (K1 + 1)).alias("w"))
+    kept = tf.crossJoin(F.broadcast(stats)).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl")))).alias("part"))
+    return kept.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("bm25"))
 
 
 def lexical(docs: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0, document: str | None = None) -> DataFrame:
