@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.session import spread
+
 #: Rows of one Arrow batch handed to Python; with texts of many KB it keeps a worker's batch at some MB.
 BATCH_ROWS = 512
 #: And its bytes: a batch of very long texts is cut sooner.
@@ -60,4 +62,4 @@ def dropped(df: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
