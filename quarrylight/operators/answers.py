@@ -86,3 +86,43 @@ def document_card(title: Column, name: Column, summary: Column, keywords: Column
     """A document's description as a source text; lines without a value are left out."""
     line = lambda label, v: F.when(v.isNotNull() & (F.trim(v) != ""), F.concat(F.lit(label + ": "), v))
     return F.concat_ws("\n", line("Document", F.coalesce(title, name)), line("File", name), line("Summary", summary), line("Keywords", keywords), line("Size", F.when(size > 0, F.concat(size.cast("string"), F.lit(" characters")))))
+
+
+# Kinds of documents by file suffix, then by words.
+SUFFIXES = {"pptx": "presentation", "pptm": "presentation", "ppsx": "presentation", "potx": "presentation", "csv": "spreadsheet", "png": "image_document", "jpg": "image_document", "jpeg": "image_document", "bmp": "image_document", "gif": "image_document", "tif": "image_document", "tiff": "image_document", "webp": "image_document"}
+KIND_WORDS = (("identity_document", "passport|identity card|id card|nationality"), ("certificate", "certificate|diploma"), ("invoice", "invoice|bill to"), ("contract", "contract|agreement"), ("thesis", "thesis|dissertation"), ("scientific_paper", "abstract|doi|journal"), ("manual", "manual|installation"), ("policy", "policy"))
+MOST_BLOCKS, BLOCK_CHARS = 10, 1200
+
+
+def document_type(name: Column, text: Column) -> Column:
+    """A document's kind by its file's suffix, else by its words."""
+    suffix = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    by_suffix = F.try_element_at(F.create_map([F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix)
+    t, c = F.lower(F.coalesce(text, F.lit(""))), None
+    for kind, words in KIND_WORDS:
+        c = F.when(t.rlike(WORD.format(words)), kind) if c is None else c.when(t.rlike(WORD.format(words)), kind)
+    return F.coalesce(by_suffix, c.otherwise("document"))
+
+
+def requested_names(question: Column) -> Column:
+    """File names that a question spells out; else what stands behind "file", "document" or "summary of"."""
+    q = F.coalesce(question, F.lit(""))
+    spelled = F.regexp_extract_all(q, F.lit(r"(?i)(?<![A-Za-z0-9_])([a-z0-9][a-z0-9._-]*\.(?:pdf|docx|pptx|txt|md|csv|tsv|png|jpg))(?![A-Za-z0-9_])"), F.lit(1))
+    implied = F.regexp_extract_all(q, F.lit(r"(?i)(?:file|document|summary of|summari[sz]e)\s+([a-z0-9][a-z0-9._-]{2,})"), F.lit(1))
+    generic = "document documents file files the this that these those all uploaded indexed local it".split()
+    return F.array_distinct(F.when(F.size(spelled) > 0, spelled).otherwise(F.filter(implied, lambda x: ~F.lower(x).isin(generic))))
+
+
+def formula_variables(formula: Column, around: Column) -> Column:
+    """Up to 16 variables of a formula with what the text beside it says they are ("x is ..." or "x denotes ...")."""
+    names = F.slice(F.array_distinct(F.regexp_extract_all(formula, F.lit(r"(?<![A-Za-z0-9_\\])([A-Za-zα-ω](?:_[0-9a-z])?)(?![A-Za-z0-9_(])"), F.lit(1))), 1, 16)
+    meaning = lambda n: F.get(F.regexp_extract_all(F.coalesce(around, F.lit("")), F.concat(F.lit(r"(?:^|[^A-Za-z0-9_])"), n, F.lit(r" (?:is|denotes|are) ([^.,;]{2,80})")), F.lit(1)), F.lit(0))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.coalesce(meaning(n), F.lit("not defined in nearby text"))))
+
+
+def payload(ranked: DataFrame) -> DataFrame:
+    """``qid``, ``citations`` (comma-joined), ``n_blocks``, ``streams``, ``winner`` of ranked evidence (``qid``, ``rank``, ``label``, ``source_type``, ``content``): ten blocks of 1200 characters at most; hybrid if several streams hold something."""
+    top = ranked.where(F.col("rank") <= MOST_BLOCKS).select("qid", "rank", "label", "source_type", F.substring("content", 1, BLOCK_CHARS).alias("block"))
+    g = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("x"), F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"), F.array_sort(F.collect_set(F.when(F.col("source_type") != "ai", F.col("source_type")))).alias("s"))
+    winner = F.when(F.size("s") > 1, "hybrid").when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise("model")
+    return g.select("qid", F.array_join(F.transform("x", lambda v: v["label"]), ",").alias("citations"), "n_blocks", "n_chars", F.array_join("s", ",").alias("streams"), winner.alias("winner"))

@@ -72,3 +72,42 @@ def formula_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.queries.extract import FORMULAS
 
     return spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string").select("doc_id", "pos", A.repaired_formula(F.col("line")).alias("repaired"))
+
+
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{A.WORD.format(w)}') THEN '{k}'" for k, w in A.KIND_WORDS) + " ELSE 'document' END"
+_NAMED = "CASE doc_id % 4 WHEN 0 THEN 'a.CSV' WHEN 1 THEN 'b.pptx' ELSE 'c.txt' END"
+
+
+@query("document_type", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'spreadsheet' WHEN 1 THEN 'presentation' ELSE {_KIND} END AS document_type FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth document is named as a table, the next as a presentation."""
+    return read(spark, sf_dir, "documents").select("doc_id", A.document_type(F.expr(_NAMED), F.col("text")).alias("document_type"))
+
+
+@query("requested_names")
+def requested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-behind has no counterpart in the other dialect; tested against literals."""
+    return questions(spark, sf_dir).select("qid", F.array_join(A.requested_names(F.col("question")), ",").alias("names"))
+
+
+@query("answer_payload")
+def answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.queries.verify import ranked_items
+
+    return A.payload(ranked_items(spark, sf_dir).withColumn("label", F.concat(F.lit("S"), F.col("item").cast("string"))))
+
+
+from quarrylight.queries.base import SQL  # noqa: E402
+from quarrylight.queries.verify import RANKED  # noqa: E402
+
+SQL["answer_payload"] = RANKED + """, t AS (SELECT * FROM k WHERE rank <= 10), g AS (SELECT qid, string_agg('S' || item, ',' ORDER BY rank) AS citations, count(*) AS n_blocks, sum(length(substring(content, 1, 1200)))::BIGINT AS n_chars, coalesce(string_agg(DISTINCT source_type, ',' ORDER BY source_type) FILTER (source_type <> 'ai'), '') AS streams FROM t GROUP BY qid)
+SELECT *, CASE WHEN contains(streams, ',') THEN 'hybrid' WHEN streams <> '' THEN streams ELSE 'model' END AS winner FROM g"""
+
+
+@query("formula_variables")
+def formula_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As formula_repair(): tested against literals."""
+    from quarrylight.queries.extract import FORMULAS
+
+    lines = spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string").where(F.contains("line", F.lit("=")))
+    return lines.select("doc_id", "pos", F.explode(A.formula_variables(F.col("line"), F.lit("where x_i is the dose, and y denotes the outcome"))).alias("variable", "meaning"))

@@ -187,6 +187,12 @@ def test_formula_repair(spark):
     assert one(spark, answers.field_target(F.col("t")), t="When does it expire?") == "expiry_date"
 
 
+def test_names_and_variables(spark):
+    assert one(spark, answers.requested_names(F.col("t")), t="Summarize report-1.pdf and b.TXT, not the file other") == ["report-1.pdf", "b.TXT"]
+    assert one(spark, answers.requested_names(F.col("t")), t="summary of annual-report, file these") == ["annual-report"]
+    assert one(spark, answers.formula_variables(F.col("t"), F.lit("Here x_i is the dose.")), t="y = a + x_i") == {"y": "not defined in nearby text", "a": "not defined in nearby text", "x_i": "the dose"}
+
+
 def test_names_of_others_are_nowhere():
     from pathlib import Path
 
