@@ -5,8 +5,9 @@
    process of arrivals with its weight as rate; an arrival lands in a random register, and a register keeps the shingle
    that arrives first. Two texts agree in a register with the probability Jaccard similarity of their shingle weights. A
    shingle's later arrivals are only drawn while they could still be first somewhere. Texts with equal word sequences
-   share one sketch (a *class*).
-2. Registers are banded; classes that share a band meet in a bucket. Buckets of a few classes give all their pairs, larger
+   share one sketch (a *class*). A text whose shingles differ in occurrences has a second sketch with all weights 1, whose
+   registers agree with the plain Jaccard similarity; for the others both are the same.
+2. Both sketches' registers are banded; classes that share a band of either meet in a bucket. Buckets of a few classes give all their pairs, larger
    ones a pair of each class with the bucket's first. Pairs are verified on the exact shingle weights, links give connected
    components.
 3. A large bucket whose classes are one component by then has no more to tell. The others are cut into blocks and compared
@@ -93,7 +94,7 @@ def shingles(numbers: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def prob_minhash(items: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
-    """(texts, registers) int32: the shingle that came first in each register. ``items`` hold hashes and weights and are not empty.
+    """(texts, registers) int32: the shingle that came first in each register. ``items`` hold hashes and counts and are not empty.
 
     All texts of the list advance together, one arrival a round. A shingle stops once its next arrival comes after the
     last first arrival of its text: it can no longer win a register.
@@ -160,17 +161,21 @@ def probability_jaccard(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.nda
 
 
 def _sketch_batches(batches, registers: int, k: int, group_words: int = 60_000):
-    """Per text: class key (of the word sequence; null without words), signature bytes."""
+    """Per text: class key (of the word sequence; null without words), signature bytes, those of the set (null if they are the same)."""
     number = Words()
     for b in batches:
         texts = b.column(1).to_pylist()
-        keys, sigs = [None] * len(texts), [None] * len(texts)
+        keys, sigs, flats = [None] * len(texts), [None] * len(texts), [None] * len(texts)
         at, items, size = [], [], 0
 
         def flush():
             if items:
                 for i, row in zip(at, prob_minhash(items, registers)):
                     sigs[i] = row.astype("<i4").tobytes()
+            uneven = [(i, s, n) for i, (s, n) in zip(at, items) if (n != n[0]).any()]
+            if uneven:
+                for (i, _, _), row in zip(uneven, prob_minhash([(s, np.ones_like(n)) for _, s, n in uneven], registers)):
+                    flats[i] = row.astype("<i4").tobytes()
 
         for i, text in enumerate(texts):
             ws = number.all(words(text))
@@ -184,14 +189,14 @@ def _sketch_batches(batches, registers: int, k: int, group_words: int = 60_000):
                 flush()
                 at, items, size = [], [], 0
         flush()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())], names=["id", "class", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(flats, pa.binary())], names=["id", "class", "sig", "flat"])
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """``id``, ``class`` (null without words), ``sig`` (bands * rows little-endian 32-bit registers)."""
+    """``id``, ``class`` (null without words), ``sig`` (bands * rows little-endian 32-bit registers), ``flat`` (those with all weights 1; null where they are the same)."""
     kind = df.schema[id_col].dataType.simpleString()
     m = bands * rows
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _sketch_batches(it, m, k), f"id {kind}, class string, sig binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _sketch_batches(it, m, k), f"id {kind}, class string, sig binary, flat binary")
 
 
 def _weights(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -233,10 +238,12 @@ class _Sets:
 
 
 def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) -> list[tuple[str, str]]:
-    """Links that connect what the pairs of one block pair connect (not all pairs): rows of ``class``, ``comp`` (its component so far), ``block``, ``sig``, ``items``, ``counts``, all of one bucket of ``band``."""
+    """Links that connect what the pairs of one block pair connect (not all pairs): rows of ``class``, ``comp`` (its component so far), ``block``, ``sig``, ``flat``, ``items``, ``counts``, all of one bucket of ``band``."""
     pdf = pdf.sort_values(["block", "class"])
     band, names, block = int(pdf["band"].iloc[0]), pdf["class"].tolist(), pdf["block"].to_numpy()
     sig = np.stack([np.frombuffer(s, "<i4") for s in pdf["sig"]])
+    flat = np.stack([np.frombuffer(s if f is None else f, "<i4") for s, f in zip(pdf["sig"], pdf["flat"])])
+    uneven = np.array([f is not None for f in pdf["flat"]])
     left = np.arange(len(names)) if block[0] == block[-1] else np.flatnonzero(block == block[0])
     right = left if block[0] == block[-1] else np.flatnonzero(block == block[-1])
     sets, links, held = _Sets(len(names)), [], {}
@@ -255,9 +262,12 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
         others = right[right > i] if left is right else right
         if not len(others):
             continue
-        same = sig[others] == sig[i]
-        seen = same.reshape(len(others), bands, rows).all(2)[:, :band].any(1)
-        near = others[(same.mean(1) >= similarity - SLACK) & ~seen]
+        agreed = [sig[others] == sig[i]]
+        if uneven[i] or uneven[others].any():  # a bucket holds the bands of both sketches
+            agreed += [flat[others] == flat[i], sig[others] == flat[i], flat[others] == sig[i]]
+        seen = np.logical_or.reduce([same.reshape(len(others), bands, rows).all(2)[:, :band].any(1) for same in agreed])
+        likely = np.logical_or.reduce([same.mean(1) >= similarity - SLACK for same in agreed[:2]])
+        near = others[likely & ~seen]
         for j in near:
             if sets.find(i) != sets.find(j) and similarity_of(*weights(i), *weights(j)) >= similarity:
                 sets.join(i, j)
@@ -274,16 +284,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     the same words in the same order belong together. A null text, an empty one or one without words is in a group of its
     own. Rows with the same id are one document if they hold the same words; else each takes the smallest class id of its
     own text. A row with a null id gets a null class and is kept. Other columns are not read; an empty table gives an
-    empty result. With 24 bands of 5 registers a pair of similarity 0.8 is missed with a probability below 0.0001.
+    empty result. With 24 bands of 5 registers of each measure's sketch a pair of similarity 0.8 in either is missed with a
+    probability below 0.0001.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sk = saved(sketches(docs, "id", "text", bands, rows, k), "sketches")
-    reps = saved(sk.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    reps = saved(sk.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("flat").alias("flat")), "reps")
 
     # Buckets: (band, key) with two classes at least. Equal buckets in several bands count once, in the first.
     width = 4 * rows
-    banded = reps.select("class", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.substring(F.col("sig"), b * width + 1, F.lit(width)), b).alias("key")))).alias("x")).select("class", "x.*")
+    keyed = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.substring(F.col(c), b * width + 1, F.lit(width)), b).alias("key")))
+    banded = reps.select("class", F.explode(F.when(F.col("flat").isNull(), keyed("sig")).otherwise(F.array_union(keyed("sig"), keyed("flat")))).alias("x")).select("class", "x.*")
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members"), F.min("class").alias("low")).where("n > 1")
     sizes = sizes.groupBy("n", "members", "low").agg(F.min(F.struct("band", "key")).alias("x")).select("n", "x.*")
     member = saved(banded.join(sizes, ["band", "key"]).select("band", "key", "n", "class"), "members")
@@ -320,12 +332,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         placed.join(apart, ["band", "key"], "left_semi")
-        .join(reps.select("class", "sig"), "class")
+        .join(reps.select("class", "sig", "flat"), "class")
         .join(weighted, "class")
         .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("band", "key", "i", "j", "block", "class", "comp", "sig", "items", "counts")
+        .select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat", "items", "counts")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -392,6 +392,29 @@ def test_classes_of_awkward_rows(spark, texts, nothing):
     assert {r.class_id for r in minhash.classes(far).collect()} == {1, 2}  # a line that both repeat makes no copies of them
 
 
+def repeated_line_pair(k):
+    """Two texts of 600 common words and a line of 60 own ones that repeats 100 times: plain similarity over 0.8, weighted one under 0.5."""
+    shared = " ".join(f"s{k}x{i}" for i in range(600))
+    return [shared + 100 * (" " + " ".join(f"{own}{k}x{i}" for i in range(60))) for own in "ab"]
+
+
+def test_copies_with_different_repeated_lines(spark):
+    rows = [(2 * k + n, t) for k in range(8) for n, t in enumerate(repeated_line_pair(k))]
+    assert {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i - i % 2 for i, _ in rows} == brute_classes(rows)
+
+
+def test_blocks_compare_both_sketches():
+    import pandas as pd
+    import pyarrow as pa
+
+    texts = repeated_line_pair(0)
+    b = next(minhash._sketch_batches([pa.RecordBatch.from_pydict({"id": [0, 1], "text": texts})], 120, 5)).to_pydict()
+    number = minhash.Words()
+    s = [minhash.shingles(number.all(minhash.words(t))) for t in texts]
+    pdf = pd.DataFrame({"band": 0, "block": 0, "class": b["class"], "comp": b["class"], "sig": b["sig"], "flat": b["flat"], "items": [x.astype("<u8").tobytes() for x, _ in s], "counts": [n.astype("<i4").tobytes() for _, n in s]})
+    assert len(minhash._block_links(pdf, 24, 5, 0.8)) == 1
+
+
 # Packing
 
 
