@@ -54,10 +54,15 @@ def ranked(items: DataFrame, today: Column) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
 
 
+def years(document_date: Column, title: Column, content: Column) -> Column:
+    """Years of a document's date, title and first 500 characters."""
+    return F.concat(F.array_compact(F.array(F.year(document_date))), F.transform(F.regexp_extract_all(F.concat_ws(" ", F.lit(""), title, F.substring(content, 1, 500), F.lit("")), F.lit("(?<![A-Za-z0-9_])(20[0-9]{2}|19[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1)), lambda y: y.cast("int")))
+
+
 def date_reconciliation(items: DataFrame) -> DataFrame:
-    """``qid``, ``newest``, ``newest_web``, ``newest_local``, ``local_is_older``: years of the document's date, title and first 500 characters."""
-    years = F.concat(F.array_compact(F.array(F.year("document_date"))), F.transform(F.regexp_extract_all(F.concat_ws(" ", F.lit(""), "title", F.substring("content", 1, 500), F.lit("")), F.lit("(?<![A-Za-z0-9_])(20[0-9]{2}|19[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1)), lambda y: y.cast("int")))
-    y = items.select("qid", "source_type", F.explode(years).alias("year"))
+    """``qid``, ``newest``, ``newest_web``, ``newest_local``, ``local_is_older``, from items with ``document_date``, ``title`` and ``content`` or with their ``years``."""
+    found = F.col("years") if "years" in items.columns else years(F.col("document_date"), F.col("title"), F.col("content"))
+    y = items.select("qid", "source_type", F.explode(found).alias("year"))
     g = y.groupBy("qid").agg(F.max("year").alias("newest"), F.max(F.when(F.col("source_type") == "web", F.col("year"))).alias("newest_web"), F.max(F.when(F.col("source_type") == "local", F.col("year"))).alias("newest_local"))
     return g.withColumn("local_is_older", F.coalesce(F.col("newest_local") < F.col("newest_web"), F.lit(False)))
 

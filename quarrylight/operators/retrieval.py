@@ -73,17 +73,22 @@ def top(df: DataFrame, k: int, score: str, tie: str, by: str | None = None, name
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``qid``, ``vec_id``, ``cosine`` (clamped to 0 to 1) of query vectors (``qid``, ``qv``) against all vectors."""
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), norm(vector_col).alias("vn"))
+    pairs = v.crossJoin(queries.select("qid", "qv", norm("qv").alias("qn")))
+    cosine = F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("vn"))
+    return pairs.select("qid", "vec_id", F.coalesce(clamp(cosine), F.lit(0.0)).alias("cosine"))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``qid``, ``rank``, ``vec_id``, ``score``: exact cosine top-k of query vectors (``qid``, ``qv``) against all vectors.
 
     The stated query set is compared with all rows; Catalyst broadcasts the queries if they are small, and partial limits
     leave k rows per query and task for the merge.
     """
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), norm(vector_col).alias("vn"))
-    pairs = v.crossJoin(queries.select("qid", "qv", norm("qv").alias("qn")))
-    cosine = F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("vn"))
-    scored = pairs.select("qid", "vec_id", F.round(F.coalesce(clamp(cosine), F.lit(0.0)), 6).alias("score"))
+    scored = cosines(vectors, queries, id_col, vector_col).select("qid", "vec_id", F.round("cosine", 6).alias("score"))
     best = top(scored, k, "score", "vec_id", by="qid")
     return best.where(F.col("score") >= threshold).select("qid", "rank", "vec_id", "score")
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.operators import evidence as E
 from quarrylight.operators import extract as X
+from quarrylight.operators import retrieval as R
 from quarrylight.operators import verify as V
-from quarrylight.queries.base import query, read, sql_list, sql_values
+from quarrylight.queries.base import SQL, query, read, sql_list, sql_values
 from quarrylight.queries.extract import SQ
+from quarrylight.queries.retrieval import BM25, COS, questions
 
 CT = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9][a-z0-9''\\-]{{{{2,}}}}'), lambda t: NOT list_contains({sql_list(T.CLAIM_STOPWORDS)}, t)))"
 SUPPORT = f"""
@@ -174,6 +176,47 @@ def date_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.date_reconciliation(items_of(spark, sf_dir))
 
 
+# The queries above pair a question with the documents of its remainder by 40; those below with all that share a term.
+ALL_ITEMS = f"""near AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, {COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)), items AS (
+  SELECT s.qid, d.doc_id AS item, st AS source_type, d.source AS title, d.text AS content, least(1.0, s.bm25 / 8) AS retrieval, coalesce(cosine, 0.0) AS semantic, au AS authority,
+    CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE DATE '2023-01-01' + (d.doc_id % 700)::INT END AS document_date, s.qid % 2 = 0 AS dated, s.qid % 3 = 0 AS local_question, s.qid % 5 = 0 AS scientific
+  FROM scores s JOIN documents d USING (doc_id) JOIN (VALUES (0, 'local', 'internal'), (1, 'web', 'news'), (2, 'ai', 'model'), (3, 'web', 'scientific_paper')) AS y(m, st, au) ON d.doc_id // 40 % 4 = m LEFT JOIN near n ON n.qid = s.qid AND n.doc_id = s.doc_id)"""
+over_all = lambda sql: f"{BM25}, {ALL_ITEMS}" + sql.removeprefix(f"WITH {ITEMS}")
+
+
+def all_items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a term with a question, with its BM25 score over 8 and, where both have one, the cosine of the vectors with their numbers; ``years`` instead of the text."""
+    q, docs, vectors = questions(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    near = R.cosines(vectors, asked).groupBy(F.col("vec_id").alias("item")).agg(F.map_from_entries(F.collect_list(F.struct("qid", "cosine"))).alias("near"))  # by document, so that the scored pairs stay where they are
+    kinds = F.array(*[F.struct(F.lit(st).alias("source_type"), F.lit(au).alias("authority")) for st, au in (("local", "internal"), ("web", "news"), ("ai", "model"), ("web", "scientific_paper"))])
+    date = F.when(F.col("doc_id") % 4 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")))
+    d = docs.select(F.col("doc_id").alias("item"), F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")).alias("kind"), F.col("source").alias("title"), date.alias("document_date"), E.years(date, F.col("source"), F.col("text")).alias("years")).join(near, "item", "left")
+    j = R.bm25(docs, q).withColumnRenamed("doc_id", "item").join(d, "item")
+    j = j.select("qid", "item", "kind.*", "title", F.lit("").alias("content"), "document_date", "years", F.least(F.lit(1.0), F.col("bm25") / 8).alias("retrieval"), F.coalesce(F.try_element_at("near", F.col("qid")), F.lit(0.0)).alias("semantic"))
+    return j.withColumns({"dated": F.col("qid") % 2 == 0, "local_question": F.col("qid") % 3 == 0, "scientific": F.col("qid") % 5 == 0, "lookup": F.lit(False), "terms": F.array().cast("array<string>")})
+
+
+def all_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No question looks up a name, so the score does not read the text."""
+    return E.ranked(all_items_of(spark, sf_dir), F.lit("2024-06-30").cast("date"))
+
+
+@query("evidence_rank_all", over_all(SQL["evidence_rank"]))
+def evidence_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_ranked(spark, sf_dir).select("qid", "rank", "item", "score")
+
+
+@query("conflict_resolution_all", over_all(SQL["conflict_resolution"]))
+def conflict_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.conflicts(all_ranked(spark, sf_dir))
+
+
+@query("date_reconcile_all", over_all(SQL["date_reconcile"]))
+def date_reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.date_reconciliation(all_items_of(spark, sf_dir))
+
+
 @query("freshness_decay", "SELECT o_orderkey, round(greatest(0.0, least(1.0, 1.0 - greatest(0, DATE '2025-01-01' - o_orderdate::DATE) / 365)), 6) AS freshness FROM orders")
 def freshness_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")

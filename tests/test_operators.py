@@ -193,6 +193,18 @@ def test_names_and_variables(spark):
     assert one(spark, answers.formula_variables(F.col("t"), F.lit("Here x_i is the dose.")), t="y = a + x_i") == {"y": "not defined in nearby text", "a": "not defined in nearby text", "x_i": "the dose"}
 
 
+def test_evidence_comes_from_all_documents(spark, tmp_path):
+    from quarrylight.queries import QUERIES
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "tall turbines of the northern coast")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = [(7, "Here stand tall turbines of the northern coast.", "en", "a", 47), (41, "nothing in common", "en", "b", 17), (81, "a coast", "en", "c", 7)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    assert [r.item for r in QUERIES["evidence_rank_all"](spark, sf).orderBy("rank").collect()] == [7, 81]
+    assert QUERIES["answer_payload_all"](spark, sf).collect()[0].citations == "S7,S81"
+
+
 def test_names_of_others_are_nowhere():
     from pathlib import Path
 
