@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators import match as M
+from quarrylight.operators import segment as S
 from quarrylight.queries.base import query, read, sql_list, sql_values
 from quarrylight.queries.retrieval import TOK, questions
 
@@ -31,6 +32,14 @@ def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metadata_matches(questions(spark, sf_dir), d)
 
 
+@query("rank_documents_described")
+def rank_documents_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By name, title, summary, keywords of the whole text and kind, as these have no common SQL; tested against literals."""
+    d = read(spark, sf_dir, "documents")
+    d = d.join(S.keywords(d), "doc_id", "left").withColumn("about", F.concat_ws(" ", "source", S.title(F.col("text"), F.lit(None).cast("string")), S.summary(F.col("text")), "keywords", S.kind(F.col("text"))))
+    return M.metadata_matches(questions(spark, sf_dir), d.select(F.col("doc_id").alias("document"), F.col("n_chars").alias("size"), "about"))
+
+
 @query("doc_importance", "SELECT doc_id, round(least(0.36, (n_chars // 3000) / 300) + least(0.3, (n_chars // 880 + 1) / 500) + CASE WHEN n_chars > 200 THEN 0.18 ELSE 0.0 END + 0.1 + CASE WHEN lang = 'en' THEN 0.06 ELSE 0.0 END, 6)::DOUBLE AS importance FROM documents")
 def doc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")

@@ -205,6 +205,17 @@ def test_evidence_comes_from_all_documents(spark, tmp_path):
     assert QUERIES["answer_payload_all"](spark, sf).collect()[0].citations == "S7,S81"
 
 
+def test_documents_are_ranked_by_all_of_their_text(spark, tmp_path):
+    from quarrylight.queries import QUERIES
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "turbine")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = [(1, "ab cd " * 100 + "turbine " * 20, "en", "x", 760), (2, "ab cd", "en", "y", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    assert [(r.document, r.rank) for r in QUERIES["rank_documents_described"](spark, sf).collect()] == [(1, 1)]
+    assert not QUERIES["rank_documents"](spark, sf).collect()
+
+
 def test_names_of_others_are_nowhere():
     from pathlib import Path
 
