@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.shared import saved
+
+#: monotonically_increasing_id() holds the partition above this bit and the row's place in it below.
+_PLACE_BITS = 33
+
 
 def numbered(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Adds the rank of each row in the whole table, from 1. ``order`` must be a key.
+    """Adds the rank of each row in the whole table, from 1, by ``order`` (nulls first); rows that tie in all of it are numbered in any order.
 
-    Range partitions are numbered on their own; a prefix sum over the partitions' sizes, one row each, shifts them. Both
-    passes sample the same ranges, as the key alone decides a row's place.
+    The table is range-partitioned and sorted once and written to the shared folder with each row's partition and place, so
+    that every later pass reads the same ranges: bounds are drawn from a sample, and a second pass over other columns would
+    draw others. A prefix sum over the partitions' sizes, one row each, gives the numbers; no task sees all rows and nothing
+    is shuffled but the table itself, once. An empty table gives an empty result; the helper's name clashes with no column.
     """
+    own = f"place_{uuid.uuid4().hex}"
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    local = ranged.select("*", F.spark_partition_id().alias("_p"))
-    local = local.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    placed = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright(own, _PLACE_BITS), F.col(own).bitwiseAND((1 << _PLACE_BITS) - 1)
+    sizes = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    running = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("p").alias(f"{own}_p"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias(f"{own}_n"))  # a row per partition
+    out = placed.join(F.broadcast(before), part == F.col(f"{own}_p"))
+    return out.select(*[c for c in df.columns if c != name], (F.col(f"{own}_n") + place + 1).alias(name))

@@ -156,6 +156,24 @@ def test_files_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in files.web_results(raw).collect()] == [("W1", "https://a.b/c", "T", "s")]
 
 
+def test_numbers_of_many_wide_rows(spark):
+    """More rows than range partitioning samples, in several partitions, read through different columns."""
+    n = 2_000_000
+    d = spark.range(0, n, 1, 4).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(1).alias("n"))
+    got = order.numbered(d, ["k"], "nth", 4)
+    assert got.where("nth != k + 1").agg(F.count("*"), F.max("text")).collect()[0][0] == 0
+    assert got.count() == n and got.columns == ["k", "text", "n", "nth"]
+    assert order.numbered(d.limit(0), ["k"], "nth", 4).count() == 0
+
+
+def test_conversations_without_id_or_text(spark):
+    rows = [(None, 1, "user", "ask Maria Rossi"), (None, None, None, None), (2, 1, "user", None)] + [(3, i, "user", f"Meet Anna Nr{chr(97 + i)}x") for i in range(26)]
+    got = {r.conv_id: r for r in conversation.state(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn int, role string, text string, nth int")).collect()}
+    assert (got[None].turns, got[None].last_role, got[None].entities) == (2, "user", "Maria Rossi")
+    assert (got[2].turns, got[2].entities) == (1, "") and got[3].turns == 26
+    assert conversation.state(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
 def test_conversation_fold(spark):
     c = spark.createDataFrame([(1, 2, "assistant", "The president Maria Rossi spoke."), (1, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
     r = conversation.state(c).collect()[0]
