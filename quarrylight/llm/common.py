@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.session import spread
+from quarrylight.shared import dropped, new_path, saved, shared_folder  # noqa: F401  (used by the operators from here)
 
 #: Rows of one Arrow batch handed to Python; with texts of many KB it keeps a worker's batch at some MB.
 BATCH_ROWS = 512
@@ -21,45 +19,5 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is set; on a cluster that is an error, as
-    executors could not see it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
-    spark.sparkContext.setCheckpointDir(base)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: the lineage is cut and a lost executor costs nothing that has been computed."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path  # for dropped()
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that saved() wrote and that nothing reads any more."""
-    path = getattr(df, "_quarry_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))

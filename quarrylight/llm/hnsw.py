@@ -27,7 +27,7 @@ SEED = 5
 
 
 class Hnsw:
-    """A graph over the rows of ``x``; bottom-level nodes have 2 * links slots, higher ones links."""
+    """A graph over the rows of ``x``; bottom-level nodes have 2 * links slots and one of _bridge(), higher ones links."""
 
     def __init__(self, x: np.ndarray, links: int = LINKS, build: int = BUILD, seed: int = SEED):
         self.x = np.ascontiguousarray(x, np.float32)
@@ -39,6 +39,30 @@ class Hnsw:
         self.entry, self._seen, self._mark = -1, np.zeros(n, np.int32), 0
         for i in range(n):
             self._insert(i, build)
+        self._bridge(build)
+
+    def _reach(self, start: int, reached: np.ndarray) -> None:
+        """Marks what the bottom level reaches from a node."""
+        at = np.array([start])
+        while len(at):
+            reached[at] = True
+            at = np.unique(self.flat[0][at])
+            at = at[at >= 0]
+            at = at[~reached[at]]
+
+    def _bridge(self, build: int) -> None:
+        """Pruned links may leave a node that no other leads to, most of all among ties. Every node has one slot more on the bottom level, and a node that can't be reached takes that of a near one that can."""
+        n = len(self.x)
+        self.flat[0] = np.hstack([self.flat[0], np.full((n, 1), -1, np.int32)])
+        if not n:
+            return
+        reached = np.zeros(n, bool)
+        self._reach(self.entry, reached)
+        for u in np.flatnonzero(~reached):
+            if not reached[u]:
+                near = [j for j in self.search(self.x[u], build) if reached[j] and self.flat[0][j, -1] < 0]
+                self.flat[0][near[0] if near else np.flatnonzero(reached & (self.flat[0][:, -1] < 0))[0], -1] = u
+                self._reach(u, reached)
 
     @classmethod
     def of(cls, x: np.ndarray, level: np.ndarray, flat: list[np.ndarray], entry: int, links: int) -> Hnsw:
@@ -133,22 +157,41 @@ class Hnsw:
         if top > high:
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, width: int = SEARCH) -> list[int]:
-        """The k nearest rows found, nearest first."""
+    def search(self, q: np.ndarray, width: int = SEARCH) -> list[int]:
+        """The ``width`` nearest rows found, nearest first."""
         if self.entry < 0:
             return []
         q = np.asarray(q, np.float32)
         start = [self.entry]
         for lv in range(int(self.level[self.entry]), 0, -1):
             start = [self._layer(q, start, 1, lv)[0][1]]
-        return [b for _, b in self._layer(q, start, max(width, k), 0)[:k]]
+        return [b for _, b in self._layer(q, list({*start, self.entry}), width, 0)]  # all nodes can be reached from the entry
+
 
+def ranked(g: Hnsw, x: np.ndarray, scale: float, reps: np.ndarray, q: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest nodes found (``x``: the original vectors, ``scale``: what the graph's were divided by) and their distances in double precision, ties to the smaller of ``reps``.
+
+    As long as the farthest node found ties with the k-th, others that tie may have been left out, so the search goes on
+    four times as wide, to the whole graph if need be. The float graph may order ties by its rounding: what differs by
+    less than that counts as tied here.
+    """
+    width = max(width, k)
+    while True:
+        nodes = np.array(g.search(q / scale, width), np.int64)
+        d = np.sqrt(((x[nodes] - q) ** 2).sum(1))
+        border = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+        if len(nodes) < width or width >= len(x) or d.max() > border * (1 + 1e-5):
+            order = np.lexsort((reps[nodes], d))[:k]
+            return nodes[order], d[order]
+        width *= 4
 
-INDEX = "shard int, dim int, n int, vectors binary, classes array<string>, level binary, flat array<binary>, entry int, links int"
+
+INDEX = "shard int, dim int, n int, vectors binary, classes array<string>, reps array<{}>, level binary, flat array<binary>, entry int, links int"
 
 
 def build_index(classes: DataFrame, shards: int, links: int = LINKS, build: int = BUILD) -> DataFrame:
-    """One row (INDEX) per shard and vector length from rows of ``cls``, ``v``: the graph as flat arrays."""
+    """One row (INDEX) per shard and vector length from rows of ``cls``, ``rep``, ``v``: the graph as flat arrays."""
+    schema = INDEX.format(classes.schema["rep"].dataType.simpleString())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls")
@@ -156,12 +199,12 @@ def build_index(classes: DataFrame, shards: int, links: int = LINKS, build: int
         scale = np.abs(x).max() or 1.0  # float32 must hold the squares
         g = Hnsw((x / scale).astype(np.float32), links, build)
         return pd.DataFrame([{
-            "shard": pdf["shard"].iat[0], "dim": x.shape[1], "n": len(x), "vectors": x.astype("<f8").tobytes(), "classes": pdf["cls"].tolist(),
+            "shard": pdf["shard"].iat[0], "dim": x.shape[1], "n": len(x), "vectors": x.astype("<f8").tobytes(), "classes": pdf["cls"].tolist(), "reps": pdf["rep"].tolist(),
             "level": g.level.astype("<i4").tobytes(), "flat": [f.astype("<i4").tobytes() for f in g.flat], "entry": g.entry, "links": links,
         }])
 
-    dealt = classes.select(F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "cls", "v")
-    return dealt.groupBy("shard", "dim").applyInPandas(run, INDEX)
+    dealt = classes.select(F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "cls", "rep", "v")
+    return dealt.groupBy("shard", "dim").applyInPandas(run, schema)
 
 
 def _load(row: dict) -> tuple[Hnsw, np.ndarray, float]:
@@ -179,12 +222,15 @@ def nearest(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector
     more. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null
     id; vectors of different lengths are never compared. A row that repeats an id with its vector counts once. The score
     is the exact distance of the original vectors. An empty table gives an empty result.
+
+    Ties are exact however many vectors tie: a row of the result belongs to one of the k + 1 classes that come first by
+    distance and smallest id, as each class before its own has a row before it; shards and the merge both cut in that order.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).where(valid() & F.col("id").isNotNull())
     rows = rows.select("id", "v", "q", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(SEED), "v")).alias("cls"))
-    classes = saved(rows.groupBy("cls").agg(F.first("v").alias("v")), "vectors")
+    classes = saved(rows.groupBy("cls").agg(F.first("v").alias("v"), F.min("id").alias("rep")), "vectors")
     first = Window.partitionBy("cls").orderBy("id")
     ids = rows.select("cls", "id").withColumn("nth", F.rank().over(first)).where(F.col("nth") <= k + 1).distinct()
     members = saved(ids.groupBy("cls").agg(F.sort_array(F.collect_list("id")).alias("ids")), "members")
@@ -202,22 +248,22 @@ def nearest(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector
     right = in_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "dim", "block", "cls", "v")
 
     def run(graphs: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = {"asked": [], "cls": [], "score": []}
+        out = {"asked": [], "cls": [], "rep": [], "score": []}
         if len(graphs) and len(ask):
             row = graphs.iloc[0].to_dict()
             g, x, scale = _load(row)
+            reps = np.array(row["reps"])
             for c, v in zip(ask["cls"], ask["v"]):
-                q = np.array(v, np.float64)
-                for j in g.search(q / scale, k + 1, search):
+                for j, d in zip(*ranked(g, x, scale, reps, np.array(v, np.float64), k + 1, search)):
                     out["asked"].append(c)
                     out["cls"].append(row["classes"][j])
-                    out["score"].append(float(np.sqrt(((x[j] - q) ** 2).sum())))
+                    out["rep"].append(row["reps"][j])
+                    out["score"].append(float(d))
         return pd.DataFrame(out).astype({"score": "float64"})
 
-    found = left.groupBy("shard", "dim", "block").cogroup(right.groupBy("shard", "dim", "block")).applyInPandas(run, "asked string, cls string, score double")
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy("score", "cls"))).where(F.col("nth") <= k + 1).select("asked", "cls", "score")
-    near = saved(ranked, "near_classes")
-    # Ties between classes at the border are kept by distance only; ids of the nearest k + 1 classes hold the k nearest rows.
+    found = left.groupBy("shard", "dim", "block").cogroup(right.groupBy("shard", "dim", "block")).applyInPandas(run, f"asked string, cls string, rep {kind}, score double")
+    nearest_first = Window.partitionBy("asked").orderBy("score", "rep")
+    near = saved(found.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= k + 1).select("asked", "cls", "score"), "near_classes")
     pairs = asked.select(F.col("id").alias("query_id"), F.col("cls").alias("asked")).join(near, "asked").join(members, "cls")
     pairs = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id != vec_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -296,6 +296,23 @@ def test_hnsw_against_brute_force(spark):
     assert len(few) == 3 and hnsw.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 40, 7])
+def test_ties_go_to_the_smaller_ids(spark, shard):
+    """More vectors tie than a search returns, in one shard and in several; among them copies, which are one node."""
+    r = np.random.default_rng(5)
+    far = [[0.5 * (j == i // 2) * (-1) ** i for j in range(100)] for i in r.permutation(200).tolist()]  # all at distance 0.5 of the origin's neighbour
+    rows = [(0, [0.0] * 99 + [0.0, 3.0])] + [(i + 1, v + [3.0]) for i, v in enumerate(far)] + [(500 + i, far[i] + [3.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, F.col("vec_id") == 0, shard=shard).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [(i, 0.5) for i in range(1, 11)]
+
+
+def test_ties_of_copies_and_text_ids(spark):
+    rows = [(f"k{i:02d}", [1.0, float(i % 3), 0.0]) for i in range(60)]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), F.col("vec_id") == "k05", k=3).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [("k02", 0.0), ("k08", 0.0), ("k11", 0.0)]
+
+
 # Licenses
 
 
