@@ -18,12 +18,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import saved
@@ -189,14 +190,23 @@ def _sketch_batches(batches, registers: int, k: int, group_words: int = 60_000):
                 flush()
                 at, items, size = [], [], 0
         flush()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(flats, pa.binary())], names=["id", "class", "sig", "flat"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(flats, pa.binary())], names=["id", *b.schema.names[2:], "class", "sig", "flat"])
+
+
+#: Two 64-bit hashes that together name a row's id and text, nulls told from empty texts.
+ROW_KEY = {"k1": 17, "k2": 23}
+
+
+def _row_key(id_col: str, text_col: str) -> dict[str, Column]:
+    return {name: F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(text_col).isNull(), F.col(id_col), F.col(text_col)) for name, seed in ROW_KEY.items()}
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """``id``, ``class`` (null without words), ``sig`` (bands * rows little-endian 32-bit registers), ``flat`` (those with all weights 1; null where they are the same)."""
+    """``id``, ``k1`` and ``k2`` (ROW_KEY), ``class`` (null without words), ``sig`` (bands * rows little-endian 32-bit registers), ``flat`` (those with all weights 1; null where they are the same)."""
     kind = df.schema[id_col].dataType.simpleString()
     m = bands * rows
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _sketch_batches(it, m, k), f"id {kind}, class string, sig binary, flat binary")
+    rows_ = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in _row_key(id_col, text_col).items()))
+    return rows_.mapInArrow(lambda it: _sketch_batches(it, m, k), f"id {kind}, k1 long, k2 long, class string, sig binary, flat binary")
 
 
 def _weights(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -275,19 +285,8 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
     return links
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """``id_col``, ``class_id`` (smallest id of the group), ``kept`` (id = class_id): one row per row of ``df``.
-
-    Two texts are linked if the probability Jaccard similarity of their k-word shingles, weighted by 1 + ln(occurrences),
-    or the plain one of the sets is ``similarity`` or more (the same number for texts that repeat no shingle); groups are
-    what links connect. Texts with
-    the same words in the same order belong together. A null text, an empty one or one without words is in a group of its
-    own. Rows with the same id are one document if they hold the same words; else each takes the smallest class id of its
-    own text. A row with a null id gets a null class and is kept. Other columns are not read; an empty table gives an
-    empty result. With 24 bands of 5 registers of each measure's sketch a pair of similarity 0.8 in either is missed with a
-    probability below 0.0001.
-    """
-    spark = df.sparkSession
+def _groups(df: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The saved sketches() of ``df`` and ``class``, ``class_id`` for each class of a row with an id."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sk = saved(sketches(docs, "id", "text", bands, rows, k), "sketches")
     reps = saved(sk.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("flat").alias("flat")), "reps")
@@ -349,14 +348,40 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     ids = reps.select("class", "rep")
     edges = found.join(ids.withColumnRenamed("class", "a"), "a").withColumnRenamed("rep", "x").join(ids.withColumnRenamed("class", "b"), "b").withColumnRenamed("rep", "y").select("x", "y")
     comp = components(edges, "x", "y")
-    named = saved(ids.join(comp, ids.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("class_id")), "classes")
+    return sk, saved(ids.join(comp, ids.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("class_id")), "classes")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+    """``id_col``, ``class_id`` (smallest id of the group), ``kept`` (id = class_id): one row per row of ``df``.
+
+    Two texts are linked if the probability Jaccard similarity of their k-word shingles, weighted by 1 + ln(occurrences),
+    or the plain one of the sets is ``similarity`` or more (the same number for texts that repeat no shingle); groups are
+    what links connect. Texts with
+    the same words in the same order belong together. A null text, an empty one or one without words is in a group of its
+    own. Rows with the same id are one document if they hold the same words; else each takes the smallest class id of its
+    own text. A row with a null id gets a null class and is kept. Other columns are not read; an empty table gives an
+    empty result. With 24 bands of 5 registers of each measure's sketch a pair of similarity 0.8 in either is missed with a
+    probability below 0.0001.
+    """
+    sk, named = _groups(df, id_col, text_col, similarity, bands, rows, k)
     out = sk.select("id", "class").join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
+    own = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df``, with all its columns, that are the kept one of their group; of rows with equal id and text one stays."""
-    own, nth = "__kept_id__", "__nth_copy__"
-    kept = classes(df, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(own)).distinct()
-    copies = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi").withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(*df.columns)
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``df``, with all its columns, that are the kept one of their group as classes() has it.
+
+    A row is judged by its id and its own text: where an id has several texts, only those whose own group has that id stay.
+    Of rows with equal id and the same words in the same order one stays, as of those with equal id and text; rows with a
+    null id stay, but for repeats of the same text. Only hashes of id and text are joined, under names that clash with no
+    column of ``df``.
+    """
+    sk, named = _groups(df, id_col, text_col, similarity, bands, rows, k)
+    judged = sk.select("id", "k1", "k2", "class").join(named, "class", "left").where("id is null or class_id is null or class_id = id")
+    text = F.when(F.col("id").isNull() | F.col("class").isNull(), F.concat_ws(":", "k1", "k2")).otherwise(F.col("class"))
+    own, nth = {n: f"{n}_{uuid.uuid4().hex}" for n in ROW_KEY}, f"nth_{uuid.uuid4().hex}"
+    kept = judged.groupBy("id", text.alias("of")).agg(F.min(F.struct("k1", "k2")).alias("x")).select(*(F.col(f"x.{n}").alias(own[n]) for n in ROW_KEY))
+    keyed = df.withColumns({own[n]: c for n, c in _row_key(id_col, text_col).items()})
+    repeats = Window.partitionBy(*own.values()).orderBy(F.lit(0))
+    return keyed.join(kept, list(own.values()), "left_semi").withColumn(nth, F.row_number().over(repeats)).where(F.col(nth) == 1).select(*df.columns)

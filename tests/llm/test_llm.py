@@ -130,11 +130,6 @@ def test_html_layout_classes_are_no_sidebars():
     assert html_text.extract(f'<div class="content has-sidebar"><p>{text}</p></div><div class="left-sidebar"><p>{text}</p></div>') == text.strip()
 
 
-def test_columns_that_clash_with_helpers(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id long, text string, __kept_id__ long, rep long")
-    assert [r.doc_id for r in minhash.keep_first(df.drop("__kept_id__").withColumnRenamed("rep", "kept_id")).collect()] == [1]
-
-
 def test_html_awkward(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain &amp; simple"), (4, "u", "<article><p>cut &am"), (5, "u", "<article><p>cut</p><p cl"), (6, "u", "<script>x"), (None, "u", "<p>a</p><p>a</p>"), (6, "u", "<script>x")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
@@ -409,6 +404,23 @@ def test_classes_of_awkward_rows(spark, texts, nothing):
     assert {r.class_id for r in minhash.classes(far).collect()} == {1, 2}  # a line that both repeat makes no copies of them
 
 
+def test_columns_that_clash_with_helpers(spark):
+    names = "__kept_id__ __nth_copy__ rep k1 k2 id class sig flat nth".split()
+    df = spark.createDataFrame([(i, "a b c d e f", *(100 * i + j for j in range(len(names)))) for i in (1, 2)], ", ".join(["doc_id long", "text string", *(f"{n} long" for n in names)]))
+    assert [tuple(r) for r in minhash.keep_first(df).collect()] == [(1, "a b c d e f", *(100 + j for j in range(len(names))))]
+    assert sorted(map(tuple, minhash.classes(df).collect())) == [(1, 1, True), (2, 1, False)]
+
+
+def test_rows_are_kept_by_id_and_text(spark):
+    t, other = "the words of a text that several rows have", "and one that no other row has at all"
+    rows = [(1, t), (5, t), (5, other), (5, other + "!"), (5, other), (None, t), (None, t), (None, None), (None, ""), (7, None), (7, None)]
+    got = sorted(map(tuple, minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert [r for r in got if r[0] in (1, 7)] == [(1, t), (7, None)] and [r[1].rstrip("!") for r in got if r[0] == 5] == [other]
+    assert sorted((r for r in got if r[0] is None), key=repr) == sorted([(None, t), (None, None), (None, "")], key=repr)
+    said = {(r.doc_id, r.class_id, r.kept) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert said == {(1, 1, True), (5, 1, False), (5, 5, True), (None, None, True), (7, 7, True)}
+
+
 def repeated_line_pair(k):
     """Two texts of 600 common words and a line of 60 own ones that repeats 100 times: plain similarity over 0.8, weighted one under 0.5."""
     shared = " ".join(f"s{k}x{i}" for i in range(600))
