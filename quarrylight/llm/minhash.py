@@ -11,8 +11,10 @@
    ones a pair of each class with the bucket's first. Pairs are verified on the exact shingle weights, links give connected
    components.
 3. A large bucket whose classes are one component by then has no more to tell. The others are cut into blocks and compared
-   block against block, each pair only in the first band that both share and only while its ends are apart, so that a
-   group of copies costs time in proportion to its size, and no pair that could join two components is left out.
+   block against block by their signatures, each pair only in the first band that both share and only while its ends are
+   apart, so that a group of copies costs time in proportion to its size, and no pair that could join two components is
+   left out. The pairs that the signatures let pass are verified as in 2. Where they are many more than the classes, the
+   bucket's blocks are compared once more with the shingles at hand, so that pairs are never listed in their square.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ ROWS = 5
 #: Classes of a bucket whose pairs are listed as rows; larger buckets are compared in blocks of BLOCK.
 LISTED = 8
 BLOCK = 512
+#: Rows of a large bucket that one task takes in a join.
+PIECE = 256
+#: Candidates for each class of a pair of blocks that leave it as rows; beyond that the bucket is compared with the shingles at hand, in blocks of DENSE_BYTES.
+LIKELY = 4
+DENSE_BYTES = 32 << 20
 #: A pair of a block is verified if this much less than the similarity is estimated: over four standard errors of the estimate.
 SLACK = 0.16
 
@@ -247,29 +254,17 @@ class _Sets:
         self.up[max(x, y)] = min(x, y)
 
 
-def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) -> list[tuple[str, str]]:
-    """Links that connect what the pairs of one block pair connect (not all pairs): rows of ``class``, ``comp`` (its component so far), ``block``, ``sig``, ``flat``, ``items``, ``counts``, all of one bucket of ``band``."""
-    pdf = pdf.sort_values(["block", "class"])
-    band, names, block = int(pdf["band"].iloc[0]), pdf["class"].tolist(), pdf["block"].to_numpy()
+def _block_pairs(pdf: pd.DataFrame, bands: int, rows: int, similarity: float, sets: _Sets):
+    """Pairs (as row numbers) of one pair of blocks that may be linked, in no band before this one's, and whose ends ``sets`` holds apart when the pair is asked for. Sorted rows of ``block``, ``sig``, ``flat``, all of one bucket of ``band``."""
+    band, block = int(pdf["band"].iloc[0]), pdf["block"].to_numpy()
     sig = np.stack([np.frombuffer(s, "<i4") for s in pdf["sig"]])
     flat = np.stack([np.frombuffer(s if f is None else f, "<i4") for s, f in zip(pdf["sig"], pdf["flat"])])
     uneven = np.array([f is not None for f in pdf["flat"]])
-    left = np.arange(len(names)) if block[0] == block[-1] else np.flatnonzero(block == block[0])
-    right = left if block[0] == block[-1] else np.flatnonzero(block == block[-1])
-    sets, links, held = _Sets(len(names)), [], {}
-    seen_comp: dict[str, int] = {}
-    for i, c in enumerate(pdf["comp"]):
-        sets.join(i, seen_comp.setdefault(c, i))
-
-    def weights(i: int):
-        if i not in held:
-            if len(held) > 2 * BLOCK:
-                held.clear()
-            held[i] = _unpack(pdf["items"].iat[i], pdf["counts"].iat[i])
-        return held[i]
-
+    same_block = block[0] == block[-1]
+    left = np.arange(len(block)) if same_block else np.flatnonzero(block == block[0])
+    right = left if same_block else np.flatnonzero(block == block[-1])
     for i in left:
-        others = right[right > i] if left is right else right
+        others = right[right > i] if same_block else right
         if not len(others):
             continue
         agreed = [sig[others] == sig[i]]
@@ -277,14 +272,56 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
             agreed += [flat[others] == flat[i], sig[others] == flat[i], flat[others] == sig[i]]
         seen = np.logical_or.reduce([same.reshape(len(others), bands, rows).all(2)[:, :band].any(1) for same in agreed])
         likely = np.logical_or.reduce([same.mean(1) >= similarity - SLACK for same in agreed[:2]])
-        near = others[likely & ~seen]
-        for j in near:
-            if sets.find(i) != sets.find(j) and similarity_of(*weights(i), *weights(j)) >= similarity:
-                sets.join(i, j)
-                links.append((names[i], names[j]))
+        for j in others[likely & ~seen]:
+            if sets.find(i) != sets.find(j):
+                yield i, j
+
+
+def _sorted_block(pdf: pd.DataFrame) -> tuple[pd.DataFrame, _Sets]:
+    """The rows by block and class, and the sets of rows that ``comp``, the component so far, has joined."""
+    pdf = pdf.sort_values(["block", "class"])
+    sets, first = _Sets(len(pdf)), {}
+    for i, c in enumerate(pdf["comp"]):
+        sets.join(i, first.setdefault(c, i))
+    return pdf, sets
+
+
+def _candidates(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) -> list[tuple]:
+    """The pairs of one pair of blocks that have to be verified (``a``, ``b``), or, where they are more than LIKELY a class, one row that names the bucket as dense (``band``, ``key``)."""
+    pdf, sets = _sorted_block(pdf)
+    names, found = pdf["class"].tolist(), []
+    for i, j in _block_pairs(pdf, bands, rows, similarity, sets):
+        if len(found) == LIKELY * len(names):
+            return [(None, None, int(pdf["band"].iloc[0]), int(pdf["key"].iloc[0]))]
+        found.append((names[i], names[j], None, None))
+    return found
+
+
+def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) -> list[tuple[str, str]]:
+    """Links that connect what the pairs of one pair of blocks connect (not all pairs), with the shingles at hand: rows also have ``items``, ``counts``."""
+    pdf, sets = _sorted_block(pdf)
+    names, items, counts = pdf["class"].tolist(), pdf["items"].tolist(), pdf["counts"].tolist()
+    links = []
+    for i, j in _block_pairs(pdf, bands, rows, similarity, sets):
+        if similarity_of(*_unpack(items[i], counts[i]), *_unpack(items[j], counts[j])) >= similarity:
+            sets.join(i, j)
+            links.append((names[i], names[j]))
     return links
 
 
+def _deal(members: DataFrame, blocks: Column) -> DataFrame:
+    """A class goes to every pair of blocks that its own block is in: adds ``block``, ``i``, ``j``; ``blocks`` is the number in its bucket."""
+    own = members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _by_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``members`` (``band``, ``key``, ``n``, ``class``, ...) joined with ``buckets`` (``band``, ``key``, ``n`` and more), a bucket of n members in n / PIECE pieces, so that none fills one task."""
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    split = members.withColumn("piece", F.pmod(F.xxhash64("class", F.lit(1)), pieces).cast("int"))
+    return split.join(buckets.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n"), ["band", "key", "piece"]).drop("piece")
+
+
 def _groups(df: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
     """The saved sketches() of ``df`` and ``class``, ``class_id`` for each class of a row with an id."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -302,7 +339,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, similarity: float, bands:
     few = member.where(F.col("n") <= LISTED).groupBy("band", "key").agg(F.sort_array(F.collect_set("class")).alias("c"))
     listed = few.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, LISTED), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
     many = saved(member.where(F.col("n") > LISTED), "large_buckets")
-    star = many.join(many.groupBy("band", "key").agg(F.min("class").alias("a")), ["band", "key"]).where("class != a").select("a", F.col("class").alias("b"))
+    star = _by_bucket(many, many.groupBy("band", "key").agg(F.min("class").alias("a"), F.first("n").alias("n"))).where("class != a").select("a", F.col("class").alias("b"))
     pairs = saved(listed.union(star).distinct(), "pairs")
 
     # Exact weights, only of classes that met another one.
@@ -322,31 +359,47 @@ def _groups(df: DataFrame, id_col: str, text_col: str, similarity: float, bands:
                 good.append(similarity_of(*_unpack(ai, ac), *_unpack(bi, bc)) >= similarity)
             yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ai", "ac", "bi", "bc").mapInArrow(verify, "a string, b string"), "links")
+    def verified(candidates: DataFrame) -> DataFrame:
+        return candidates.join(one, "a").join(two, "b").select("a", "b", "ai", "ac", "bi", "bc").mapInArrow(verify, "a string, b string")
+
+    links = saved(verified(pairs), "links")
+
+    # Large buckets that are not one component yet, block against block by signatures alone: only pairs that may be linked fetch shingles.
+    def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+
+    def apart(rows_: DataFrame) -> DataFrame:
+        return rows_.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("n").alias("n")).where("low != high").select("band", "key", "n")
 
-    # Large buckets that are not one component yet: a class goes to the block pairs of its block.
     so_far = saved(components(links, "a", "b"), "components")
-    placed = many.join(so_far.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-    apart = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        placed.join(apart, ["band", "key"], "left_semi")
-        .join(reps.select("class", "sig", "flat"), "class")
-        .join(weighted, "class")
-        .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat", "items", "counts")
-    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_block_links(pdf, bands, rows, similarity), columns=["a", "b"])
-
-    met = dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a string, b string")
-    found = saved(so_far.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(met), "all_links")
+    open_ = placed(many, so_far)
+    dealt = _deal(_by_bucket(open_, apart(open_)), F.ceil(F.col("n") / BLOCK)).join(reps.select("class", "sig", "flat"), "class")
+    dealt = dealt.select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat")
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_candidates(pdf, bands, rows, similarity), columns=["a", "b", "band", "key"]).astype({"band": "Int32", "key": "Int64"})
+
+    met = saved(dealt.groupBy("band", "key", "i", "j").applyInPandas(candidates, "a string, b string, band int, key long"), "candidates")
+    edges = so_far.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = saved(edges.union(verified(met.where("a is not null").select("a", "b").distinct())), "linked")
+
+    # Buckets with too many such pairs, once more with the shingles in the block, each verified only while its ends are apart.
+    dense = met.where("a is null").select("band", "key").distinct()
+    if not dense.isEmpty():
+        rest = placed(_by_bucket(many, dense.join(many.groupBy("band", "key").agg(F.first("n").alias("n")), ["band", "key"])), components(edges, "a", "b"))
+        size = weighted.select("class", (F.octet_length("items") + F.octet_length("counts")).alias("size"))
+        sized = saved(_by_bucket(rest, apart(rest)).join(size, "class"), "dense")
+        blocks = sized.groupBy("band", "key").agg(F.first("n").alias("n"), F.greatest(F.ceil(F.first("n") / BLOCK), F.ceil(F.sum("size") / DENSE_BYTES)).alias("blocks_"))
+        heavy = _deal(_by_bucket(sized, blocks), F.col("blocks_")).join(reps.select("class", "sig", "flat"), "class").join(weighted, "class")
+        heavy = heavy.select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat", "items", "counts")
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(_block_links(pdf, bands, rows, similarity), columns=["a", "b"])
+
+        edges = saved(edges.union(heavy.groupBy("band", "key", "i", "j").applyInPandas(compare, "a string, b string")), "all_links")
 
     ids = reps.select("class", "rep")
-    edges = found.join(ids.withColumnRenamed("class", "a"), "a").withColumnRenamed("rep", "x").join(ids.withColumnRenamed("class", "b"), "b").withColumnRenamed("rep", "y").select("x", "y")
+    edges = edges.join(ids.withColumnRenamed("class", "a"), "a").withColumnRenamed("rep", "x").join(ids.withColumnRenamed("class", "b"), "b").withColumnRenamed("rep", "y").select("x", "y")
     comp = components(edges, "x", "y")
     return sk, saved(ids.join(comp, ids.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("class_id")), "classes")
 

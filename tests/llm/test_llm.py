@@ -386,9 +386,27 @@ def copies(seed=4, n=60):
     return rows
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)
-    rows = copies()
+def groups_apart(seed=9):
+    """Texts of 700 common words and 140 of their own, so that all meet in buckets and none is linked with all; some are copies of each other."""
+    r = random.Random(seed)
+    shared = [f"c{i}" for i in range(700)]
+    out = []
+    for k in range(40):
+        own = shared + [f"o{k}x{i}" for i in range(70 + 3 * k)]
+        out.append((k, " ".join(own)))
+        if k % 5 == 0:
+            own[r.randrange(700)] = "changed"
+            out.append((100 + k, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize(("likely", "dense"), [(4, 32 << 20), (0, 32 << 20), (0, 4000)])
+def test_classes_equal_brute_force(spark, monkeypatch, likely, dense):
+    """By candidates, by dense blocks of a count, and by dense blocks of a size."""
+    for name, value in {"BLOCK": 16, "PIECE": 8, "LIKELY": likely, "DENSE_BYTES": dense}.items():
+        monkeypatch.setattr(minhash, name, value)
+    rows = copies() + copies(5, 40)[20:] + [(1000 + i, t) for i, t in groups_apart()]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
     got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
 
@@ -432,6 +450,16 @@ def test_copies_with_different_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i - i % 2 for i, _ in rows} == brute_classes(rows)
 
 
+def test_passages_repeated_in_one_of_two(spark):
+    """Plain similarity 0.97, weighted one 0.5: all are found."""
+    rows = []
+    for k in range(80):
+        text = " ".join(f"p{k}x{i}" for i in range(1000))
+        passage = " ".join(f"p{k}x{i}" for i in range(200, 230))
+        rows += [(2 * k, text), (2 * k + 1, text + 400 * (" " + passage))]
+    assert {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_blocks_compare_both_sketches():
     import pandas as pd
     import pyarrow as pa
@@ -440,8 +468,9 @@ def test_blocks_compare_both_sketches():
     b = next(minhash._sketch_batches([pa.RecordBatch.from_pydict({"id": [0, 1], "text": texts})], 120, 5)).to_pydict()
     number = minhash.Words()
     s = [minhash.shingles(number.all(minhash.words(t))) for t in texts]
-    pdf = pd.DataFrame({"band": 0, "block": 0, "class": b["class"], "comp": b["class"], "sig": b["sig"], "flat": b["flat"], "items": [x.astype("<u8").tobytes() for x, _ in s], "counts": [n.astype("<i4").tobytes() for _, n in s]})
+    pdf = pd.DataFrame({"band": 0, "key": 0, "block": 0, "class": b["class"], "comp": b["class"], "sig": b["sig"], "flat": b["flat"], "items": [x.astype("<u8").tobytes() for x, _ in s], "counts": [n.astype("<i4").tobytes() for _, n in s]})
     assert len(minhash._block_links(pdf, 24, 5, 0.8)) == 1
+    assert minhash._candidates(pdf, 24, 5, 0.8) == [(*sorted(b["class"]), None, None)]
 
 
 # Packing
