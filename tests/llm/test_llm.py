@@ -125,6 +125,75 @@ def test_html_without_article():
     assert "A sentence" in text and "Mid" in text and not re.search("Home|cookies|Imprint", text)
 
 
+def naive_spans(lengths, threshold, window, running):
+    """Line by line: i is in a range if a surge comes before the next dive and text stands on both sides."""
+    n = len(lengths)
+    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    in_range, on = [False] * n, False
+    for i in range(n):
+        on = on and sums[i] > 0 or sums[i] >= max(1, threshold)
+        in_range[i] = on
+    found = []
+    for i in range(n):
+        if in_range[i] and (not i or not in_range[i - 1]):
+            end = next((k for k in range(i, n) if not in_range[k]), n)
+            first = min(k for k in range(i, n) if lengths[k])
+            last = max(k for k in range(first, min(n, end + 1)) if lengths[k])
+            while running[first - 1 : first] == [True] and lengths[first - 1] and (not found or first > found[-1][1]):
+                first -= 1
+            found.append((first, last + 1))
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, 5, 30, 90]), st.booleans()), max_size=24), st.sampled_from([1, 20, 80]), st.integers(1, 4))
+def test_spans_equal_the_naive_ones(rows, threshold, window):
+    lengths, running = [r[0] for r in rows], [r[1] for r in rows]
+    assert html_text.spans(lengths, threshold, window, running) == naive_spans(lengths, threshold, window, running)
+
+
+TEXT = "A sentence of the text that goes on and on, as it does."
+
+
+def test_html_windows_decide():
+    """Without an article: short lines between long ones stay, as does a link between them; menus of links and far short lines go."""
+    menu = "".join(f"<li><a href=x>Entry {i}</a></li>" for i in range(6))
+    page = f"<body><div>Contact us</div><ul>{menu}</ul><h2>Head</h2><p>Short.</p><p>{TEXT}</p><div><a href=x>One link</a></div><p>{TEXT}</p><p>So.</p><p>{TEXT}</p><ul>{menu}</ul><div>Imprint</div></body>"
+    want = ["Head", "Short.", TEXT, "One link", TEXT, "So.", TEXT]
+    assert html_text.extract(page).split("\n") == want
+    nonzero = [x.text for x in html_text.lines(page) if x.length and not x.off]
+    assert nonzero != want and "Imprint" in nonzero and "One link" not in nonzero
+    assert html_text.extract(page, window=1).split("\n") != want
+    # and in an article: a run of links is a menu, one link is not
+    page = f"<article><h1>Head</h1><p>a</p><div><a href=x>One link</a></div><p>b</p><ul>{menu}</ul><p><a href=x>All link</a></p></article>"
+    assert html_text.extract(page).split("\n") == ["Head", "a", "One link", "b", "All link"]
+    assert "Entry" in html_text.extract(page, window=9)
+
+
+def test_html_keeps_what_is_shown():
+    long = " ".join([TEXT] * 12)
+    for page, want in [
+        ("<article><p>Einstein: <math><mi>E</mi>=<mi>mc</mi></math> holds</p></article>", "Einstein: E=mc holds"),
+        ("<article><p>a</p><object data=x>no player<p>b</p><p>c</p></article>", "a\nno player\nb\nc"),
+        ("<article><script>x<p>b</p><select><p>c</p></article>", "b\nc"),
+        ("<article><noscript><p>Turn it on</p></noscript><select><option>One</select><p>c</p></article>", "c"),
+        ("<article><div class='article-header'><h1>Head</h1></div><div class='post-header'><p>By me</p></div><p class='share-price'>Up</p></article>", "Head\nBy me\nUp"),
+        ("<article><div class='elementor-widget-container'><p>b</p></div><div class='related-posts'><p>r</p></div><div class='ad-slot'>Buy</div><div id=comments><p>c</p></div></article>", "b"),
+        (f"<div class='widget'><p>{long}</p></div><div class='widget'>Weather</div>", long),
+        (f"<div class='comments'><p>{long}</p></div><p>{TEXT} {TEXT}</p>", f"{TEXT} {TEXT}"),
+    ]:
+        assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div>", "<span>x", "<i><div><span></i>", "x</p>", "<title>", "<select>x", "<b>x</i>", "<div class=widget>x", "<!--", "<a b='"])
+def test_html_is_linear(piece):
+    import time
+
+    began = time.time()
+    html_text.extract("<i><div>" + "<span>" * 1000 + piece * 100_000)
+    assert time.time() - began < 20
+
+
 def test_html_layout_classes_are_no_sidebars():
     text = "A sentence of the text that goes on. " * 5
     assert html_text.extract(f'<div class="content has-sidebar"><p>{text}</p></div><div class="left-sidebar"><p>{text}</p></div>') == text.strip()
