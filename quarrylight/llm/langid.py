@@ -21,10 +21,11 @@ CHUNK = 2048
 LEVEL = 6
 #: Least relative margin, (second - first) / first, of a text that is not rejected.
 NARROW = 0.01
-#: Bounds of the training sample: dictionary bytes, texts a language, characters of each.
+#: Bounds of the training sample: dictionary bytes a language, characters of a piece of text, pieces a language, languages.
 DICT_BYTES = 512 * 1024
-SAMPLE_TEXTS = 1000
-SAMPLE_CHARS = 800
+PIECE = 800
+SAMPLE_PIECES = 1000
+LANGUAGES = 256
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -76,26 +77,29 @@ class LanguageModel:
         return tied[0], min(1.0, margin), margin < self.narrow
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dict_bytes: int = DICT_BYTES, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Dictionaries from a bounded sample of the labelled rows of ``df``: for each language the first ``sample_chars`` characters of at most ``sample_texts`` texts, those with the smallest hash of ``order_col``, up to ``dict_bytes`` bytes.
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dict_bytes: int = DICT_BYTES, pieces: int = SAMPLE_PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> LanguageModel:
+    """Dictionaries from a bounded sample of the labelled rows of ``df``: whole texts are cut into pieces of ``piece`` characters, and each language gets the ``pieces`` different ones with the smallest hash of ``order_col`` and piece number, as many as fit ``dict_bytes``.
 
-    Rows with a null text or language are left out. The sample's bound is for each language; the number of languages is
-    that of the labels.
+    Every part of a text is as likely to be drawn as any other. Rows with a null text or language are left out. At most
+    ``languages`` languages are learned, those of the most rows, so a dirty column can't fill the driver.
     """
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col)).alias("h"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().collect()
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("id"), F.col(text_col).alias("text"))
+    n_pieces = F.ceil(F.char_length("text") / piece).cast("int")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(n_pieces).alias("pieces")).where("pieces > 0").orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return LanguageModel({})
-    share = F.create_map([F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * sample_texts / r["count"]))])
-    low = F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("lang")) * (1 << 31)  # about twice the sample, whatever the table's size
-    found = rows.where(low).groupBy("lang", F.substring("text", 1, sample_chars).alias("text")).agg(F.min("h").alias("h")).collect()
-    texts: dict[str, dict[bytes, None]] = {}
+    share = F.create_map([F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * pieces / r["pieces"]))])
+    each = rows.where(n_pieces > 0).select("lang", "text", F.explode(F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(i.alias("at"), F.xxhash64("id", i).alias("h")))).alias("x")).select("lang", "text", "x.*")
+    low = F.pmod("h", F.lit(1 << 31)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 31)  # about twice the sample, whatever the table's size
+    found = each.where(low).groupBy("lang", F.substring("text", F.col("at") * piece + 1, F.lit(piece)).alias("text")).agg(F.min("h").alias("h")).collect()
+    drawn: dict[str, dict[bytes, None]] = {}
+    size: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.h, r.text)):
-        own = texts.setdefault(r.lang, {})
-        if len(own) < sample_texts and _LETTER.search(r.text):
-            own.setdefault(folded(r.text))
-    return LanguageModel({lang: b"".join(parts)[:dict_bytes] for lang, parts in texts.items() if parts})
+        own, data = drawn.setdefault(r.lang, {}), folded(r.text)
+        if len(own) < pieces and data not in own and _LETTER.search(r.text) and size.get(r.lang, 0) + len(data) <= dict_bytes:
+            own[data] = None
+            size[r.lang] = size.get(r.lang, 0) + len(data)
+    return LanguageModel({lang: b"".join(parts) for lang, parts in drawn.items() if parts})
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

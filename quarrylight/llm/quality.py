@@ -8,6 +8,7 @@ responses are combined by maximum and mean into one logistic unit.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,15 @@ FILTERS = 16
 LAGS = range(2, 33)
 RUN = 12
 THRESHOLD = 0.3
-#: Bounds of the training sample: labelled rows, and chunks of each (spread evenly over its text).
+#: Bounds of the training sample: labelled rows, and bytes of their texts, which count whole.
 SAMPLE_ROWS = 4000
-SAMPLE_CHUNKS = 8
+SAMPLE_BYTES = 12 << 20
+#: Passes over the sample at most; a large one gets fewer, about STEPS batches in all.
 EPOCHS = 12
+STEPS = 800
+#: Chunks that go through the filters at once, and the bytes from which a text is read in such blocks.
+BLOCK = 64
+LONG = 1 << 18
 
 
 def symbols(data: bytes) -> np.ndarray:
@@ -48,14 +54,26 @@ def symbols(data: bytes) -> np.ndarray:
     return x.astype(np.int16) + seen.astype(np.int16) * 256
 
 
+def _starts(n: int) -> np.ndarray:
+    """Where the chunks of n bytes begin: every byte is in one at least, the last one ends with the text."""
+    last = max(n, CHUNK) - CHUNK
+    return np.append(np.arange(0, last, CHUNK - OVERLAP), last)
+
+
+def chunk_blocks(data: bytes, block: int = 1024):
+    """The chunks of a text, (up to ``block``, CHUNK) at a time, so that what is held does not grow with it."""
+    starts = _starts(len(data))
+    for k in range(0, len(starts), block):
+        own = starts[k : k + block]
+        first, end = int(own[0]), int(own[-1]) + CHUNK
+        low, high = max(0, first - LAGS[-1]), end + RUN - 1  # what a byte's symbol depends on
+        s = symbols(data[low:high])[first - low : end - low]
+        yield np.lib.stride_tricks.sliding_window_view(s, CHUNK)[own - first]
+
+
 def chunks(data: bytes) -> np.ndarray:
-    """(chunks, CHUNK): every byte is in one chunk at least; the last chunk ends with the text."""
-    s = symbols(data)
-    starts = np.arange(0, max(1, len(s) - OVERLAP), CHUNK - OVERLAP)
-    starts[-1] = len(s) - CHUNK if len(s) - CHUNK >= 0 else 0
-    if len(starts) > 1 and starts[-1] - starts[-2] > CHUNK - OVERLAP:
-        starts = np.append(starts[:-1], [starts[-2] + CHUNK - OVERLAP, starts[-1]])
-    return s[starts[:, None] + np.arange(CHUNK)]
+    """(chunks, CHUNK): all of them."""
+    return np.concatenate(list(chunk_blocks(data)))
 
 
 @dataclass
@@ -74,22 +92,49 @@ class QualityModel:
         windows = np.lib.stride_tricks.as_strided(e, (len(c), places, WIDTH * DIM), (s[0], s[1] * STRIDE, s[2]))
         return windows.reshape(-1, WIDTH * DIM) @ self.filters + self.filter_bias
 
-    def pooled(self, c: np.ndarray, block: int = 64) -> np.ndarray:
-        """(chunks, FILTERS), in blocks of chunks so that memory doesn't grow with the text."""
-        return np.concatenate([np.maximum(self.responses(c[k : k + block]).reshape(len(c[k : k + block]), -1, FILTERS).max(1), 0) for k in range(0, len(c), block)])
+    def pooled(self, c: np.ndarray) -> np.ndarray:
+        """(chunks, FILTERS): each filter's largest rectified response in each chunk, BLOCK chunks at a time."""
+        return np.concatenate([np.maximum(self.responses(c[k : k + BLOCK]).reshape(len(c[k : k + BLOCK]), -1, FILTERS).max(1), 0) for k in range(0, len(c), BLOCK)])
 
-    def score_all(self, texts: list[str | None]) -> np.ndarray:
-        """Probabilities of label 1; the chunks of many texts go through the filters together."""
-        parts = [chunks((t or "").encode("utf-8", "replace")) for t in texts]
-        if not parts:
-            return np.zeros(0)
-        h = self.pooled(np.concatenate(parts))
-        first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        top = np.maximum.reduceat(h, first)
-        mean = np.add.reduceat(h, first) / np.array([len(p) for p in parts])[:, None]
+    def probability(self, top: np.ndarray, mean: np.ndarray) -> np.ndarray:
         z = np.concatenate([top, mean], 1).astype(np.float64) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
+    def score_long(self, data: bytes) -> float:
+        """score_all() of one text, block by block."""
+        top, total, n = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64), 0
+        for c in chunk_blocks(data):
+            h = self.pooled(c)
+            top, total, n = np.maximum(top, h.max(0)), total + h.sum(0, np.float64), n + len(h)
+        return float(self.probability(top[None], total[None] / n)[0])
+
+    def score_all(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities of label 1; the chunks of many short texts go through the filters together."""
+        out = np.zeros(len(texts))
+        parts, of = [], []
+        for i, t in enumerate(texts):
+            data = (t or "").encode("utf-8", "replace")
+            if len(data) >= LONG:
+                out[i] = self.score_long(data)
+            else:
+                parts.append(chunks(data))
+                of.append(i)
+        if parts:
+            h = self.pooled(np.concatenate(parts))
+            first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+            out[of] = self.probability(np.maximum.reduceat(h, first), np.add.reduceat(h, first) / np.array([len(p) for p in parts])[:, None])
+        return out
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, embedding=self.embedding, filters=self.filters, filter_bias=self.filter_bias, weights=self.weights, bias=self.bias)
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> QualityModel:
+        got = np.load(io.BytesIO(data))
+        return cls(*(got[n] for n in ("embedding", "filters", "filter_bias", "weights")), float(got["bias"]))
+
 
 def initial(seed: int = 7) -> QualityModel:
     r = np.random.default_rng(seed)
@@ -107,13 +152,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if y_all.min() == y_all.max():
         m.weights[:] = 0
         return m
-    parts = []
-    for t in texts:
-        c = chunks((t or "").encode("utf-8", "replace"))
-        parts.append(c[np.unique(np.linspace(0, len(c) - 1, SAMPLE_CHUNKS).astype(int))])
+    parts = [chunks((t or "").encode("utf-8", "replace")) for t in texts]
     names = ("embedding", "filters", "filter_bias", "weights", "bias")
     moments = {n: [0.0, 0.0] for n in names}
     step = 0
+    epochs = min(epochs, -(-STEPS // -(-len(parts) // batch)))
     for epoch in range(epochs):
         order = r.permutation(len(parts))
         for k in range(0, len(order), batch):
@@ -121,8 +164,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             sizes = np.array([len(parts[i]) for i in own])
             first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(own)), sizes)
             c = np.concatenate([parts[i] for i in own])
-            resp = m.responses(c).reshape(len(c), -1, FILTERS)
-            at, h = resp.argmax(1), np.maximum(resp.max(1), 0)
+            at, h = np.zeros((len(c), FILTERS), np.int64), np.zeros((len(c), FILTERS), np.float32)
+            for j in range(0, len(c), BLOCK):  # what the forward pass holds does not grow with the texts
+                resp = m.responses(c[j : j + BLOCK]).reshape(len(c[j : j + BLOCK]), -1, FILTERS)
+                at[j : j + BLOCK], h[j : j + BLOCK] = resp.argmax(1), np.maximum(resp.max(1), 0)
             top = np.maximum.reduceat(h, first)
             mean = np.add.reduceat(h, first) / sizes[:, None]
             x = np.concatenate([top, mean], 1)
@@ -147,20 +192,33 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Trains on at most ``sample_rows`` rows of ``labels`` that have a text in ``docs``: those with the smallest hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Trains on the whole texts of at most ``sample_rows`` labelled ids, those with the smallest hash, as far as they fit ``sample_bytes`` bytes together.
 
-    Null ids and labels are left out; an id with several labels counts with each. Without labelled rows the model gives 0.5.
+    Null ids and labels are left out, as are ids whose labels differ; an id with several texts counts once, with the one of
+    the smallest hash. The network is trained in one task, to which only the sample goes; the driver gets at most
+    ``sample_rows`` ids and sizes, and the model. Without labelled rows the model gives 0.5.
     """
-    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = named.join(texts.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(sample_rows)
-    ids = [r.id for r in picked.select("id").distinct().collect()]
-    if not ids:
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("other")).where("y = other").select("id", "y")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = texts.select("id", F.struct(F.xxhash64("text").alias("th"), F.octet_length("text").alias("size")).alias("x")).groupBy("id").agg(F.min("x").alias("x"))
+    drawn = named.join(sizes, "id").select("id", "y", "x.*").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    picked, left = [], sample_bytes
+    for r in drawn:
+        if r["size"] <= left:
+            picked.append((r["id"], r["th"], r["y"]))
+            left -= r["size"]
+    if not picked:
         return initial()
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {docs.schema[id_col].dataType.simpleString()}")
-    got = texts.join(F.broadcast(wanted), "id").join(F.broadcast(picked.select("id", "y")), "id").orderBy("id", "y", "text").collect()  # both sides hold sample_rows rows at most
-    return train([r.text for r in got], [r.y for r in got])
+    wanted = spark.createDataFrame(picked, f"id {kind}, th long, y int")  # sample_rows rows at most
+    sample = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "th"]).groupBy("id").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+
+    def run(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: str(r[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([train([r[1] for r in rows], [r[2] for r in rows]).packed()], pa.binary())], names=["model"])
+
+    return QualityModel.unpacked(sample.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -107,6 +107,35 @@ def test_languages_of_awkward_rows(spark, texts, nothing):
     assert list(langid.fit(some).dictionaries) == ["en"]
 
 
+def test_languages_equal_compression_written_out():
+    """Totals over all chunks with each dictionary, by the library alone."""
+    import zstandard
+
+    r = random.Random(2)
+    words = {"aa": ["wind", "solar", "turbine", "the", "of"], "bb": ["viento", "energia", "el", "de", "la"], "cc": ["vent", "soleil", "le", "du", "des"]}
+    m = langid.LanguageModel({k: " ".join(r.choice(w) for _ in range(800)).encode() for k, w in words.items()}, chunk=256)
+    for _ in range(40):
+        text = " ".join(r.choice(words[r.choice("aa aa aa bb cc".split())]) for _ in range(r.randrange(20, 200)))
+        data = langid.folded(text)
+        size = {}
+        for k, d in m.dictionaries.items():
+            p = zstandard.ZstdCompressionParameters.from_level(m.level, write_content_size=0, write_checksum=0, write_dict_id=0)
+            size[k] = sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(data[i : i + 256])) for i in range(0, len(data), 256))
+        first, second = sorted(size.values())[:2]
+        if first < second:
+            lang, score, rejected = m.predict(text)
+            assert size[lang] == first and score == min(1.0, (second - first) / first) and rejected == (score < m.narrow)
+
+
+def test_language_sample_is_bounded_and_from_everywhere(spark):
+    long = " ".join(f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2000))
+    rows = [(i, long[i * 100 :], "en") for i in range(30)] + [(100 + i, "un mot", f"x{i:03d}") for i in range(40)] + [(1, "", "en"), (None, "some text", "en")]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"), dict_bytes=3000, pieces=50, piece=200, languages=5)
+    assert sorted(m.dictionaries) == ["en", "x000", "x001", "x002", "x003"] and 2000 < len(m.dictionaries["en"]) <= 3000
+    at = sorted(long.find(p) for p in m.dictionaries["en"].decode().replace("  ", "\n").strip().split("\n") if p in long)
+    assert at[-1] > len(long) / 2  # not only what stands first
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
@@ -237,6 +266,50 @@ def test_quality_awkward(spark, texts, nothing):
     assert quality.score(nothing, m).count() == 0 and quality.keep_good(nothing, m).columns == nothing.columns
 
 
+def naive_score(m, text):
+    """The network written out: every chunk, position and filter on its own."""
+    data = text.encode()
+    x = list(data) + [0] * (quality.CHUNK - len(data))
+    seen = [any(p >= lag and p + quality.RUN <= len(data) and data[p : p + quality.RUN] == data[p - lag : p - lag + quality.RUN] for lag in quality.LAGS) for p in range(len(x))]
+    sym = [b + 256 * s for b, s in zip(x, seen)]
+    starts = [*range(0, len(x) - quality.CHUNK, quality.CHUNK - quality.OVERLAP), len(x) - quality.CHUNK]
+    h = []
+    for at in starts:
+        places = range(at, at + quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+        h.append([max(0.0, max(sum(float(m.embedding[sym[p + w]][d]) * float(m.filters[w * quality.DIM + d][f]) for w in range(quality.WIDTH) for d in range(quality.DIM)) + float(m.filter_bias[f]) for p in places)) for f in range(quality.FILTERS)])
+    pooled = [max(c) for c in zip(*h)] + [sum(c) / len(h) for c in zip(*h)]
+    return 1 / (1 + math.exp(-sum(w * v for w, v in zip(m.weights.tolist(), pooled)) - m.bias))
+
+
+def test_scores_equal_the_network_written_out(monkeypatch):
+    m = quality.initial(3)
+    m.weights, m.bias = np.random.default_rng(4).normal(0, 0.3, 2 * quality.FILTERS), 0.1
+    texts = ["", "short é", "abc abc abc abc abc abc abc! " * 3 + "é" * 300, "word " * 100 + "q" * 13]
+    want = [naive_score(m, t) for t in texts]
+    assert np.allclose(m.score_all(texts), want, atol=1e-5)
+    monkeypatch.setattr(quality, "LONG", 0)
+    assert np.allclose(m.score_all(texts), want, atol=1e-5)
+    again = quality.QualityModel.unpacked(m.packed())
+    assert np.array_equal(again.score_all(texts), m.score_all(texts))
+
+
+def test_blocks_of_a_long_text_are_its_chunks():
+    data = ("one and two and two and two " * 500 + "".join(random.Random(1).choices("abcdef ", k=20_000))).encode()
+    whole, starts = quality.symbols(data), quality._starts(len(data))
+    got = np.concatenate(list(quality.chunk_blocks(data, 7)))
+    assert np.array_equal(got, whole[starts[:, None] + np.arange(quality.CHUNK)])
+
+
+def test_quality_sample_is_bounded(spark):
+    """One id of 50,000 rows counts once, and what goes to training is bounded by rows and by bytes."""
+    many = spark.range(50_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("good text "), F.col("id").cast("string")).alias("text"))
+    rest = spark.createDataFrame([(i, "### !!! " * (5 if i < 40 else 20_000)) for i in range(2, 60)], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1)] + [(i, 0) for i in range(3, 60)], "doc_id int, quality int")
+    m = quality.fit(many.union(rest), labels, sample_rows=10)
+    assert 0 <= m.score_all(["good text 5"])[0] <= 1
+    assert quality.fit(many.union(rest), labels, sample_bytes=0).score_all(["x"])[0] == 0.5
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 900, 960, 961, 5000])
 def test_chunks_cover_the_text(n):
     data = random.Random(n).randbytes(n).replace(b"\0", b"\1")
