@@ -24,29 +24,41 @@ from quarrylight.llm.common import new_path, saved
 CHUNK = 64 * 1024
 REVISIT_BYTES = 100
 LEVEL = 3
+#: Repeated digests (some 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 CHUNKS = "record_id string, chunk_no int, data binary, bytes_so_far long, sha256_so_far string"
 RECORDS = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
-def plan_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+def plan_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``record_id``, ``url``, ``record_type``, ``refers_to``, ``payload_bytes``, ``payload_digest``, ``payload``.
 
     A null body is empty, a body of text is its UTF-8. The response of a group of equal payloads is the row with the
     smallest id; rows that repeat that id with that payload are responses too. A null id is never the response of others:
     its row is a response of its own.
+
+    No payload is sent to a task because of its digest, so one that a million pages share is no hot spot: repeated digests
+    are found from ids and digests alone. Where they are at most ``broadcast_rows`` (counted first) they are broadcast and
+    payloads are not shuffled at all; else the rows that revisit are joined by id and digest, which spreads the copies.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload"))
+    body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
+    rows = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = rows.where((F.col("payload_bytes") >= least) & F.col("id").isNotNull()).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    got = rows.join(first, "payload_digest", "left")
-    again = F.col("first").isNotNull() & (F.col("id") != F.col("first"))
-    return got.select("record_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first").cast("string")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
+    named = rows.where((F.col("payload_bytes") >= least) & F.col("id").isNotNull()).select("id", "payload_digest")
+    first = saved(named.groupBy("payload_digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("payload_digest", "first"), "repeated")
+    if first.count() <= broadcast_rows:
+        got = rows.join(F.broadcast(first), "payload_digest", "left").withColumn("first", F.when(F.col("id") != F.col("first"), F.col("first")))
+    else:
+        again = named.join(first, "payload_digest").where("id != first").distinct()
+        got = rows.join(again, ["id", "payload_digest"], "left")
+    again = F.col("first").isNotNull()
+    return got.select("record_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first").cast("string").alias("refers_to"), "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
 
 
 def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """A row per chunk of ``payload``, a record's chunks one after another in order: ``chunk_no`` from 0, ``data``; an empty payload has one empty chunk."""
+    """A row per chunk of ``payload``, a record's chunks one after another in order: ``chunk_no`` from 0, ``data``; an empty payload has one empty chunk. The source's row holds its payload, and so does this array of slices; from here on no row is longer than a chunk."""
     last = F.greatest(F.ceil(F.octet_length("payload") / chunk) - 1, F.lit(0)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
     return records.select(*[c for c in records.columns if c != "payload"], F.posexplode(pieces).alias("chunk_no", "data"))
