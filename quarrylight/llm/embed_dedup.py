@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosine verification, components.
 
-Equal vectors of a label are one *class*. Each class gets ``TABLES`` keys of ``BITS`` signs; classes of one label that
+Equal vectors of a label are one *class*. Each class gets a key of some signs in each table; classes of one label that
 share a key of a table meet in a bucket. A bucket is cut into blocks of at most about ``BLOCK`` classes, and each pair of
 blocks is one group: the cosines of a block against another are one matrix product in double precision, from which only
 each class's number of links and what connects the blocks leave the task, never the pairs. A pair that shares keys in
@@ -9,6 +9,8 @@ several tables counts in the first of them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +20,29 @@ from quarrylight.llm.common import saved
 from quarrylight.llm.components import components
 
 COSINE = 0.93
-#: A pair at the threshold agrees in a sign with probability 0.880, so in one of 24 keys of 10 bits with 0.9996.
+#: Bits of a key at least and at most; between them as many as leave about FILL vectors of the largest label a key.
 BITS = 10
-TABLES = 24
+MOST_BITS = 24
+FILL = 64
+#: Probability at most that a pair at the threshold shares no key; it gives the number of tables.
+MISS = 0.0004
 BLOCK = 512
 SEED = 11
 
 
-def planes(dim: int, bits: int = BITS, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
+def layout(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Bits of a key and number of tables for labels of up to ``n`` vectors. Two vectors at an angle agree in a sign with probability 1 - angle / pi: 0.880 at 0.93, so in one of 24 keys of 10 bits with 0.9996."""
+    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(1, n) / FILL))))
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-agree)))
+
+
+def planes(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     """(dim, tables * bits) normal vectors, the same on every machine."""
     return np.random.default_rng([seed, dim]).normal(size=(dim, tables * bits))
 
 
-def keys(x: np.ndarray, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
+def keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(vectors, tables) int32."""
     signs = (x @ planes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
     return (signs @ (1 << np.arange(bits))).astype("<i4")
@@ -118,14 +130,19 @@ def _groups(batches, columns: list[str]):
         yield rest
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, bits: int | None = None, tables: int | None = None, block: int = BLOCK) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept``: one row per row of ``df``.
 
     Two vectors are linked if their labels are equal and not null and their cosine is ``cosine`` or more; vectors of
     different lengths never are, nor those that are null, empty, zero or hold null or non-finite components. Equal vectors
     of a label are linked with each other. A row that repeats an id with its vector counts as another vector; rows with a
-    null id have no links and are kept. No other column is read; an empty table gives an empty result.
+    null id have no links and are kept. No other column is read; an empty table gives an empty result. ``bits`` and
+    ``tables`` follow the largest label's rows (layout()) unless they are given, so that buckets stay small as labels grow.
     """
+    if bits is None or tables is None:
+        n = df.where(F.col(label_col).isNotNull()).groupBy(label_col).count().agg(F.max("count")).collect()[0][0] or 0
+        chosen = layout(n, cosine)
+        bits, tables = bits or chosen[0], tables or chosen[1]
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     ok = valid() & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = rows.select("id", "label", "v", F.when(ok, F.concat_ws(":", F.xxhash64("label", "v"), F.xxhash64(F.lit(SEED), "v", "label"))).alias("cls"))

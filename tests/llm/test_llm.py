@@ -346,6 +346,15 @@ def test_warc_round_trip(spark):
     assert warc.read_records(*warc.archive(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_warc_records_by_broadcast_and_by_join(spark, most):
+    rows = [(i, "u", f"payload {i % 7} " * 20) for i in range(40)] + [(None, "u", "payload 1 " * 20), (3, "v", "payload 3 " * 20), (50, "u", "x"), (51, "u", "x")]
+    got = warc.plan_records(spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, first long, last long"), broadcast_rows=most).collect()
+    want = [(None if i is None else str(i), "revisit" if i is not None and 7 <= i < 40 else "response", str(i % 7) if i is not None and 7 <= i < 40 else None) for i, _, _ in rows]
+    assert sorted(((r.record_id, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+    assert all((len(r.payload) == 0) == (r.record_type == "revisit") for r in got)
+
+
 def test_chunked_is_bounded(spark):
     df = spark.createDataFrame([("a", bytearray(200_001)), ("b", bytearray())], "record_id string, payload binary")
     assert [(r.record_id, r.chunk_no, len(r.data)) for r in warc.chunked(df).orderBy("record_id", "chunk_no").collect()] == [("a", 0, 65536), ("a", 1, 65536), ("a", 2, 65536), ("a", 3, 200_001 - 3 * 65536), ("b", 0, 0)]
@@ -433,6 +442,13 @@ def test_hnsw_against_brute_force(spark):
     assert len(few) == 3 and hnsw.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_keys_grow_with_the_labels():
+    assert embed_dedup.layout(5000) == (10, 24) and embed_dedup.layout(0)[0] == 10
+    for n in (10**6, 10**8, 10**11):
+        bits, tables = embed_dedup.layout(n)
+        assert (n >> bits <= 64 or bits == 24) and (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables <= 0.0004
+
+
 @pytest.mark.parametrize("shard", [4096, 40, 7])
 def test_ties_go_to_the_smaller_ids(spark, shard):
     """More vectors tie than a search returns, in one shard and in several; among them copies, which are one node."""
