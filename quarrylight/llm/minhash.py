@@ -38,7 +38,7 @@ BANDS = 24
 ROWS = 5
 #: Classes of a bucket whose pairs are listed as rows; larger buckets are compared in blocks of BLOCK.
 LISTED = 8
-BLOCK = 512
+BLOCK = 256
 #: Rows of a large bucket that one task takes in a join.
 PIECE = 256
 #: Candidates for each class of a pair of blocks that leave it as rows; beyond that the bucket is compared with the shingles at hand, in blocks of DENSE_BYTES.
