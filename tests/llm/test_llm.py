@@ -363,7 +363,10 @@ def test_chunked_is_bounded(spark):
 # Components
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("least", [256, 3])
+def test_components_equal_union_find(spark, monkeypatch, least):
+    monkeypatch.setattr(components, "LEAST_SPLIT", least)
+    monkeypatch.setattr(components, "HUB_SHARE", 256 if least > 3 else 20)
     r = random.Random(3)
     for edges in ([(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(0, i) for i in range(50)] + [(i, i + 1) for i in range(400, 460)], [], [(1, 1), (None, 2)]):
         up = {}
