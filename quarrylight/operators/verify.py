@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions.scoring import downgraded, support_score, verdict
+from quarrylight.operators.metadata import words_apart
+
+# How an entity of a claim looks, and words that are none.
+ENTITY = r"\b[A-Z][A-Za-z0-9'&.-]*(?: [A-Z][A-Za-z0-9'&.-]*){0,4}\b"
+NO_ENTITY = ("i", "the", "this", "it")
 
 
 def support(claims: DataFrame, sources: DataFrame) -> DataFrame:
@@ -40,8 +45,12 @@ def comparison_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(raw, lambda t: ~t.isin(stop) & (F.length(t) > 1)))
 
 
+# Words that negate.
+NEGATIONS = ("not", "never", "no", "without", "isn't", "aren't", "wasn't", "weren't", "cannot", "can't")
+
+
 def negated(text: Column) -> Column:
-    return F.lower(text).rlike(r"(^|[^a-z])(not|no|never|none|cannot|without|denied|false)($|[^a-z])|n't")
+    return F.lower(text).rlike(f"(^|[^a-z0-9_])({'|'.join(NEGATIONS)})($|[^a-z0-9_])")
 
 
 def support_label(claim: Column, snippet: Column, confidence: Column) -> Column:
@@ -58,6 +67,34 @@ def best_sentences(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return best.join(s, ["label", "pos"]).select("claim_id", "label", "sentence", "overlap")
 
 
+def claim_entities(claim: Column) -> Column:
+    """Distinct spans of up to five capitalised words, but for those that only begin a sentence."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(words_apart(T.squeezed(claim)), F.lit(ENTITY), F.lit(0)), lambda x: ~F.lower(x).isin(*NO_ENTITY)))
+
+
+def entity_score(entities: Column, snippet: Column) -> Column:
+    """The share of a claim's entities that a snippet holds; 0 without any."""
+    held = F.filter(entities, lambda e: F.contains(F.lower(snippet), F.lower(e)))
+    return F.when(F.size(entities) > 0, F.size(held) / F.size(entities)).otherwise(0.0)
+
+
+def decisions(supports: DataFrame, facts: DataFrame) -> DataFrame:
+    """``claim_id``, ``winner``, ``conflict``: which stream decides on each claim of ``facts`` (``claim_id``, ``fact_type``, ``policy``).
+
+    Of ``supports`` (``claim_id``, ``stream``: local, web or ai, ``label``, ``support``, ``confidence``) the three surest of
+    each stream count, ties by label. The web decides on what changes, local files where only they may; both agree as
+    hybrid; then whatever supports the claim, the model last. A conflict is support and contradiction among what counts.
+    A claim without any support is unsupported.
+    """
+    surest = Window.partitionBy("claim_id", "stream").orderBy(F.desc("confidence"), "label")
+    top = supports.where("support != 'not_found'").withColumn("r", F.row_number().over(surest)).where("r <= 3")
+    has = lambda s, what: F.coalesce(F.bool_or((F.col("stream") == s) & (F.col("support") == what)), F.lit(False))
+    told = top.groupBy("claim_id").agg(*(has(s, "supports").alias(s) for s in ("local", "web", "ai")), (F.bool_or(F.col("support") == "supports") & F.bool_or(F.col("support") == "contradicts")).alias("conflict"))
+    d = facts.join(told, "claim_id", "left").fillna(False, ["local", "web", "ai", "conflict"])
+    winner = F.when(F.col("fact_type").isin("dynamic", "news") & F.col("web"), "web").when((F.col("policy") == "local_only") & F.col("local"), "local").when(F.col("local") & F.col("web"), "hybrid").when(F.col("local"), "local").when(F.col("web"), "web").when(F.col("ai"), "ai").otherwise("unsupported")
+    return d.select("claim_id", winner.alias("winner"), "conflict")
+
+
 def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """``answer_id``, ``label``, ``known`` of every label that an answer cites."""
     cited = answers.select("answer_id", F.explode(T.labels_in(F.col("answer"))).alias("label"))
@@ -76,4 +113,4 @@ def capped(confidence: Column, unsupported: Column, supported: Column, conflict:
     return F.when((unsupported >= 3) & (supported == 0), "low").when((conflict | (unsupported > 0)) & (confidence == "high"), "medium").otherwise(confidence)
 
 
-__all__ = ["answer_check", "best_sentences", "capped", "citations", "comparison_terms", "negated", "support", "support_label", "support_score", "verified"]
+__all__ = ["answer_check", "best_sentences", "capped", "citations", "claim_entities", "decisions", "entity_score", "comparison_terms", "negated", "support", "support_label", "support_score", "verified"]

@@ -84,23 +84,46 @@ _STOP2 = sql_list("a an and are as by for from in is it of on or the to with".sp
 _T2 = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9][a-z0-9''-]*'), lambda t: NOT list_contains({_STOP2}, t) AND length(t) > 1))"
 _SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
-
-@query(
-    "claim_comparison",
-    f"""WITH c AS (SELECT item_id AS claim_id, text AS claim, {_T2.format('text')} AS t FROM benchmark), s0 AS (SELECT 'S' || doc_id AS label, {_SENT.format(SQ.format('text'))} AS ss FROM documents),
+_NEG = "regexp_matches(lower({0}), '(^|[^a-z0-9_])(" + "|".join(V.NEGATIONS).replace("'", "''") + ")($|[^a-z0-9_])')"
+_ENTITY = V.ENTITY.replace("'", "''")
+#: Claims that are broadcast at most, to be joined with their best sentences.
+MOST_CLAIMS = 10_000
+_BEST = f"""WITH c AS (SELECT item_id AS claim_id, text AS claim, {_T2.format('text')} AS t FROM benchmark), s0 AS (SELECT 'S' || doc_id AS label, {_SENT.format(SQ.format('text'))} AS ss FROM documents),
 s AS (SELECT label, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s0), st AS (SELECT label, pos, unnest({_T2.format('sentence')}) AS term FROM s), ct AS (SELECT claim_id, len(t) AS nc, unnest(t) AS term FROM c),
 h AS (SELECT claim_id, label, pos, nc, count(*) AS n FROM ct JOIN st USING (term) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY claim_id, label ORDER BY n DESC, pos) AS r FROM h),
 x AS (SELECT b.claim_id, label, claim, sentence, round(n / nc, 6) AS overlap FROM b JOIN s USING (label, pos) JOIN c USING (claim_id) WHERE r = 1),
-k AS (SELECT *, round(overlap * 0.82 + 0.8 * 0.18, 6) AS confidence, regexp_matches(lower(claim), '(^|[^a-z])(not|no|never|none|cannot|without|denied|false)($|[^a-z])|n''t') <> regexp_matches(lower(sentence), '(^|[^a-z])(not|no|never|none|cannot|without|denied|false)($|[^a-z])|n''t') AS neg FROM x)
-SELECT claim_id, label, overlap, confidence, CASE WHEN confidence < 0.28 THEN 'not_found' WHEN neg AND confidence >= 0.42 THEN 'contradicts' WHEN confidence >= 0.38 THEN 'supports' ELSE 'unclear' END AS support FROM k""",
-)
+y AS (SELECT *, list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace({SQ.format('claim')}, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '[^\\x00-\\x7F]', ' ', 'g'), '{_ENTITY}'), lambda e: NOT list_contains({sql_list(V.NO_ENTITY)}, lower(e)))) AS es FROM x),
+k AS (SELECT *, CASE WHEN len(es) > 0 THEN len(list_filter(es, lambda e: contains(lower(sentence), lower(e)))) / len(es) ELSE 0.0 END AS named, round(greatest(overlap, named) * 0.82 + 0.8 * 0.18, 6) AS confidence, {_NEG.format('claim')} <> {_NEG.format('sentence')} AS neg FROM y),
+o AS (SELECT claim_id, label, overlap, confidence, CASE WHEN confidence < 0.28 THEN 'not_found' WHEN neg AND confidence >= 0.42 THEN 'contradicts' WHEN confidence >= 0.38 THEN 'supports' ELSE 'unclear' END AS support FROM k)"""
+
+
+@query("claim_comparison", _BEST + " SELECT * FROM o")
 def claim_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every claim against the best sentence of every source that shares a term, base score 0.8."""
-    c = claims_of(spark, sf_dir)
-    b = V.best_sentences(c, sources_of(spark, sf_dir)).join(c.select("claim_id", "claim"), "claim_id").withColumn("confidence", F.round(F.col("overlap") * 0.82 + F.lit(0.8 * 0.18), 6))
+    """Every claim against the best sentence of every source that shares a term, by shared terms or by shared entities, base score 0.8."""
+    c = claims_of(spark, sf_dir).select("claim_id", "claim", V.claim_entities(F.col("claim")).alias("entities"))
+    b = V.best_sentences(c, sources_of(spark, sf_dir)).join(F.broadcast(c) if c.count() <= MOST_CLAIMS else c, "claim_id")
+    b = b.withColumn("confidence", F.round(F.greatest("overlap", V.entity_score(F.col("entities"), F.col("sentence"))) * 0.82 + F.lit(0.8 * 0.18), 6))
     return b.select("claim_id", "label", "overlap", "confidence", V.support_label(F.col("claim"), F.col("sentence"), F.col("confidence")).alias("support"))
 
 
+@query("claim_decision", _BEST + """, t AS (SELECT *, CASE hash_ WHEN 0 THEN 'local' WHEN 1 THEN 'web' ELSE 'ai' END AS stream FROM (SELECT *, length(label) % 3 AS hash_ FROM o WHERE support <> 'not_found')),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, stream ORDER BY confidence DESC, label) AS r FROM t),
+g AS (SELECT claim_id, bool_or(stream = 'local' AND support = 'supports') AS l, bool_or(stream = 'web' AND support = 'supports') AS w, bool_or(stream = 'ai' AND support = 'supports') AS a, bool_or(support = 'supports') AND bool_or(support = 'contradicts') AS conflict FROM r WHERE r <= 3 GROUP BY 1)
+SELECT item_id AS claim_id, CASE WHEN item_id % 3 < 2 AND coalesce(w, false) THEN 'web' WHEN item_id % 2 = 0 AND coalesce(l, false) THEN 'local' WHEN coalesce(l, false) AND coalesce(w, false) THEN 'hybrid' WHEN coalesce(l, false) THEN 'local' WHEN coalesce(w, false) THEN 'web' WHEN coalesce(a, false) THEN 'ai' ELSE 'unsupported' END AS winner, coalesce(conflict, false) AS conflict FROM benchmark LEFT JOIN g ON claim_id = item_id""")
+def claim_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's stream here is by the length of its label, a claim's kind of fact and policy by its number."""
+    stream = F.when(F.length("label") % 3 == 0, "local").when(F.length("label") % 3 == 1, "web").otherwise("ai")
+    i = F.col("item_id")
+    kind = F.when(i % 3 == 0, "dynamic").when(i % 3 == 1, "news").otherwise("stable")
+    facts = read(spark, sf_dir, "benchmark").select(i.alias("claim_id"), kind.alias("fact_type"), F.when(i % 2 == 0, "local_only").otherwise("local_model_web").alias("policy"))
+    return V.decisions(claim_comparison(spark, sf_dir).withColumn("stream", stream), facts)
+
+
+@query("claim_entities", f"SELECT item_id AS claim_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace({SQ.format('text')}, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '[^\\x00-\\x7F]', ' ', 'g'), '{_ENTITY}'), lambda e: NOT list_contains({sql_list(V.NO_ENTITY)}, lower(e))))), '; ') AS entities FROM benchmark")
+def claim_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.array_join(F.array_sort(V.claim_entities(F.col("text"))), "; ").alias("entities"))
+
+
 @query("citation_verify", "WITH a AS (SELECT item_id AS answer_id, unnest(['S' || item_id, 'W' || (item_id % 7), 'S' || (item_id * 1000)]) AS label FROM benchmark) SELECT DISTINCT answer_id, label, label IN (SELECT 'S' || doc_id FROM documents) AS known FROM a")
 def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")

@@ -240,3 +240,29 @@ def test_names_of_others_are_nowhere():
     top = Path(__file__).resolve().parent.parent
     word = "veri" + "lume"
     assert not [p for p in [*top.rglob("*.py"), top / "README.md"] if re.search(word, p.read_text(), re.I)]
+
+
+def test_interpretation_of_follow_ups(spark):
+    """Cases of questions beside a state: what is asked, and where it may be looked up."""
+    from quarrylight.plans import interpret
+
+    rows = [
+        ("The president of the country", ("", "", "", "", ""), "clarification", "The president of the country", (False, False, False)),
+        ("The president of the country", ("Democratic Republic of the Congo", "", "", "", ""), "government", "Who is the President of the Democratic Republic of the Congo?", (True, True, True)),
+        ("The smallest country in Europe", ("", "", "", "", ""), "public_knowledge", "The smallest country in Europe", (True, False, True)),
+        ("Where is Alex from", ("", "", "", "", ""), "general", "Where is Alex from", (True, False, True)),
+        ("Which ones have erupted in history?", ("", "", "", "", "volcanic lakes"), "public_knowledge", "Which volcanic lakes have erupted in history?", (True, False, True)),
+        ("When did the president come into power?", ("France", "A B", "President", "A B", ""), "government", "When did A B become President of France?", (True, True, True)),
+        ("which document mentions wind?", ("", "", "", "", ""), "local_document", "which document mentions wind?", (True, False, False)),
+        (None, ("", "", "", "", ""), "general", "", (True, False, True)),
+    ]
+    d = spark.createDataFrame([(n, r[0], *r[1], "x") for n, r in enumerate(rows)], "qid int, question string, country string, person string, role string, holder string, topic string, intent_ string")
+    got = {r.qid: (r.intent, r.resolved, (r.use_local, r.use_web, r.use_model)) for r in interpret.interpreted(d.drop("intent_")).collect()}
+    assert got == {n: r[2:] for n, r in enumerate(rows)}
+    assert interpret.interpreted(d.drop("intent_").limit(0)).count() == 0
+
+
+def test_decisions_by_stream(spark):
+    s = spark.createDataFrame([(1, "local", "S1", "supports", 0.5), (1, "web", "W1", "supports", 0.9), (2, "local", "S1", "supports", 0.5), (2, "web", "W1", "supports", 0.4), (3, "ai", "A", "supports", 0.6), (4, "web", "W1", "contradicts", 0.9), (4, "local", "S2", "supports", 0.4), (5, "web", "W9", "unclear", 0.3)], "claim_id int, stream string, label string, support string, confidence double")
+    f = spark.createDataFrame([(1, "dynamic", "x"), (2, "stable", "local_only"), (3, "stable", "x"), (4, "stable", "x"), (5, "news", "x"), (6, "news", "x")], "claim_id int, fact_type string, policy string")
+    assert {r.claim_id: (r.winner, r.conflict) for r in verify.decisions(s, f).collect()} == {1: ("web", False), 2: ("local", False), 3: ("ai", False), 4: ("local", True), 5: ("unsupported", False), 6: ("unsupported", False)}
