@@ -46,6 +46,14 @@ MODES = {
     "research": ("yes", "stable", "ready", "stable"), "ai_only": ("no", "yes", "no", "stable"), "auto": ("yes", "stable", "ready", "stable"),
 }
 WORD = "(^|[^a-z0-9_])({})($|[^a-z0-9_])"
+# Words that a name on its own does not hold.
+NO_STATEMENT = ("about", "and", "are", "can", "does", "find", "for", "from", "how", "into", "latest", "local", "near", "news", "online", "please", "search", "show", "tell", "the", "there", "this", "what", "when", "where", "which", "who", "with")
+NO_TERMS = ("is", "are", "was", "were", "current", "latest", "profile", "person", "company")
+VERBS = "is|are|was|were|has|have|had|do|does|did|should|could|would|will"
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+OUTER = f"[^{LETTER}0-9_]"
+ASKS_FOR = r"(?i)^ *(who +is|who's|tell +me +about|search +for|find|profile +of) +"
+# Patterns of what changes, what defines, what is fresh, what is calculated, what is online.
 RATES = WORD.format("population|gdp|gross domestic product|stock price|share price|exchange rate|weather|forecast|inflation|unemployment|interest rate|price|prices")
 DEFINE = WORD.format("what is|what are|define|explain|describe")
 FRESH = WORD.format("current|latest|recent|today|now|newest|most recent|this year")
@@ -55,20 +63,40 @@ SUMMARY = WORD.format("summari[sz]e|summary|overview")
 ONLINE = WORD.format("search the web|search web|web search|look up|online|internet|reuters|bbc|news")
 
 
+def bare(question: Column) -> Column:
+    return T.squeezed(F.regexp_replace(T.squeezed(question), "^[.,;:!?]+|[.,;:!?]+$", ""))
+
+
+def entity_statement(question: Column) -> Column:
+    """Two to five words of three letters at least, no verb and no question among them: something to be looked up."""
+    text = bare(question)
+    w = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z'’-]+"), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, "^['’]+|['’]+$", "")))
+    verb = F.lower(text).rlike(f"(^|{OUTER})({VERBS})($|{OUTER})")
+    return F.contains(text, F.lit(" ")) & ~F.contains(F.coalesce(question, F.lit("")), F.lit("?")) & ~verb & F.size(w).between(2, 5) & ~F.exists(w, lambda x: (F.length(x) <= 2) | x.isin(*NO_STATEMENT))
+
+
+def entity_terms(question: Column) -> Column:
+    """The words of what a question looks up, in lower case."""
+    w = F.regexp_extract_all(F.regexp_replace(bare(question), ASKS_FOR, ""), F.lit(f"[{LETTER}][{LETTER}'’-]+"), F.lit(0))
+    return F.filter(F.transform(w, lambda x: F.lower(F.regexp_replace(x, "^['’]+|['’]+$", ""))), lambda x: (F.length(x) > 1) & ~x.isin(*NO_STATEMENT, *NO_TERMS))
+
+
 def classified(questions: DataFrame) -> DataFrame:
-    """Adds ``primary``, ``fact_type``, ``policy`` and the flags ``local``, ``current``, ``research``, ``lookup``."""
+    """Adds ``primary``, ``fact_type``, ``policy``, the flags ``local``, ``current``, ``research``, ``lookup``, ``types`` (comma-joined), ``needs_web``, ``needs_dates``, ``model_may_decide`` and ``entity_terms`` (blank-joined, of lookups)."""
     q = F.lower(F.coalesce("question", F.lit("")))
     d = questions.withColumn("_q", q)
     c = F.col("_q")
     historical = c.startswith("how old") & any_of(c, TENURE)
     stable = ~c.rlike(RATES) & c.rlike(DEFINE) & ~c.rlike(FRESH)
     dynamic = any_of(c, DYNAMIC) & ~stable & ~historical
-    d = d.withColumns({"local": any_of(c, LOCAL), "current": (any_of(c, CURRENT) | dynamic) & ~historical, "research": any_of(c, RESEARCH), "lookup": any_of(c, LOOKUP)})
+    d = d.withColumns({"local": any_of(c, LOCAL), "current": (any_of(c, CURRENT) | dynamic) & ~historical, "research": any_of(c, RESEARCH), "lookup": any_of(c, LOOKUP) | entity_statement(F.col("question"))})
     local, current, research, lookup = (F.col(x) for x in ("local", "current", "research", "lookup"))
     fact = F.when(local, "local_document").when(any_of(c, NEWS), "news").when(current, "dynamic").when(lookup & any_of(c, COMPANY), "company_lookup").when(lookup, "person_lookup").when(research | any_of(c, SCIENTIFIC), "scientific").otherwise("stable")
     d = d.withColumn("fact_type", fact).withColumn("primary", F.when(current, "time_sensitive").when(local, "local").when(research, "research").otherwise("general"))
     policy = F.when(F.col("fact_type") == "local_document", "local_only").when(F.col("fact_type").isin("dynamic", "news") | current, "web_only").otherwise("local_model_web")
-    return d.withColumn("policy", policy).drop("_q")
+    types = F.concat_ws(",", F.when(local, "local"), F.when(current, "time_sensitive"), F.when(research, "research"), F.when(~local & ~current & ~research, "general"))
+    more = {"types": types, "needs_web": current | research | lookup, "needs_dates": current, "model_may_decide": ~current, "entity_terms": F.when(lookup, F.array_join(entity_terms(F.col("question")), " ")).otherwise("")}
+    return d.withColumn("policy", policy).withColumns(more).drop("_q")
 
 
 def domain(question: Column) -> Column:

@@ -31,15 +31,19 @@ def _m(pattern: str, x: str = "l") -> str:
     return f"regexp_matches({x}, '{pattern}')"
 
 
+_SQ = r"trim(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+_BARE = _SQ.format("regexp_replace(" + _SQ.format("coalesce(question, '')") + ", '^[.,;:!?]+|[.,;:!?]+$', '', 'g')")
+_TERMS = f"list_filter(list_transform(regexp_extract_all(regexp_replace(b, '{P.ASKS_FOR.replace(chr(39), chr(39) * 2)}', ''), '[{P.LETTER}][{P.LETTER}''’-]+'), lambda x: lower(regexp_replace(x, '^[''’]+|[''’]+$', '', 'g'))), lambda x: length(x) > 1 AND NOT list_contains({sql_list([*P.NO_STATEMENT, *P.NO_TERMS])}, x))"
 CLASS = f"""WITH {SRC},
 h AS (SELECT *, starts_with(l, 'how old') AND {_any(P.TENURE)} AS hist, NOT {_m(P.RATES)} AND {_m(P.DEFINE)} AND NOT {_m(P.FRESH)} AS stable FROM q),
-f AS (SELECT *, {_any(P.LOCAL)} AS local, ({_any(P.CURRENT)} OR ({_any(P.DYNAMIC)} AND NOT stable AND NOT hist)) AND NOT hist AS current, {_any(P.RESEARCH)} AS research, {_any(P.LOOKUP)} AS lookup FROM h),
+f AS (SELECT *, {_any(P.LOCAL)} AS local, ({_any(P.CURRENT)} OR ({_any(P.DYNAMIC)} AND NOT stable AND NOT hist)) AND NOT hist AS current, {_any(P.RESEARCH)} AS research, {_any(P.LOOKUP)} OR (contains(b, ' ') AND NOT contains(coalesce(question, ''), '?') AND NOT regexp_matches(lower(b), '(^|{P.OUTER})({P.VERBS})($|{P.OUTER})') AND len(w) BETWEEN 2 AND 5 AND len(list_filter(w, lambda x: length(x) <= 2 OR list_contains({sql_list(P.NO_STATEMENT)}, x))) = 0) AS lookup
+  FROM (SELECT *, list_transform(regexp_extract_all(b, '[A-Za-z][A-Za-z''’-]+'), lambda x: lower(regexp_replace(x, '^[''’]+|[''’]+$', '', 'g'))) AS w FROM (SELECT *, {_BARE} AS b FROM h))),
 t AS (SELECT *, CASE WHEN local THEN 'local_document' WHEN {_any(P.NEWS)} THEN 'news' WHEN current THEN 'dynamic' WHEN lookup AND {_any(P.COMPANY)} THEN 'company_lookup' WHEN lookup THEN 'person_lookup' WHEN research OR {_any(P.SCIENTIFIC)} THEN 'scientific' ELSE 'stable' END AS fact_type,
   CASE WHEN current THEN 'time_sensitive' WHEN local THEN 'local' WHEN research THEN 'research' ELSE 'general' END AS primary_ FROM f),
 p AS (SELECT *, CASE WHEN fact_type = 'local_document' THEN 'local_only' WHEN fact_type IN ('dynamic', 'news') OR current THEN 'web_only' ELSE 'local_model_web' END AS policy FROM t)"""
 
 
-@query("classify_question", CLASS + ' SELECT qid, local, current, research, lookup, fact_type, primary_ AS "primary", policy FROM p')
+@query("classify_question", CLASS + ' SELECT qid, local, current, research, lookup, fact_type, primary_ AS "primary", policy, concat_ws(\',\', CASE WHEN local THEN \'local\' END, CASE WHEN current THEN \'time_sensitive\' END, CASE WHEN research THEN \'research\' END, CASE WHEN NOT local AND NOT current AND NOT research THEN \'general\' END) AS types, current OR research OR lookup AS needs_web, current AS needs_dates, NOT current AS model_may_decide, CASE WHEN lookup THEN array_to_string(' + _TERMS + ', \' \') ELSE \'\' END AS entity_terms FROM p')
 def classify_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.classified(questions(spark, sf_dir)).drop("question")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,8 +55,11 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             rows = []
             for path, data in zip(b["path"], b["content"]):
-                for page, text in handlers[path.rsplit(".", 1)[-1].lower()](bytes(data)):
-                    rows.append((path, page, text, hashlib.sha256(data).hexdigest()))
+                try:
+                    found = handlers[path.rsplit(".", 1)[-1].lower()](bytes(data))
+                except (KeyError, ValueError, IndexError, zipfile.BadZipFile, ElementTree.ParseError):
+                    continue  # not a file of its kind
+                rows += [(path, page, text, hashlib.sha256(data).hexdigest()) for page, text in found]
             yield pd.DataFrame(rows, columns=["path", "page", "text", "hash"])
 
     return f.mapInPandas(run, "path string, page int, text string, hash string")
