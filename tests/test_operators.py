@@ -266,3 +266,15 @@ def test_decisions_by_stream(spark):
     s = spark.createDataFrame([(1, "local", "S1", "supports", 0.5), (1, "web", "W1", "supports", 0.9), (2, "local", "S1", "supports", 0.5), (2, "web", "W1", "supports", 0.4), (3, "ai", "A", "supports", 0.6), (4, "web", "W1", "contradicts", 0.9), (4, "local", "S2", "supports", 0.4), (5, "web", "W9", "unclear", 0.3)], "claim_id int, stream string, label string, support string, confidence double")
     f = spark.createDataFrame([(1, "dynamic", "x"), (2, "stable", "local_only"), (3, "stable", "x"), (4, "stable", "x"), (5, "news", "x"), (6, "news", "x")], "claim_id int, fact_type string, policy string")
     assert {r.claim_id: (r.winner, r.conflict) for r in verify.decisions(s, f).collect()} == {1: ("web", False), 2: ("local", False), 3: ("ai", False), 4: ("local", True), 5: ("unsupported", False), 6: ("unsupported", False)}
+
+
+def test_normal_forms(spark):
+    from quarrylight.plans import normal
+
+    d = spark.createDataFrame([(1, "How big is France's area?"), (2, "what is the size of France"), (3, "population of new york"), (4, None), (5, "Who is Luc Frieden?")], "qid int, question string")
+    got = {r.qid: (r.intent, r.entities, r.key_terms) for r in normal.normal(d).collect()}
+    assert got[1] == ("how", ["How", "France"], ["area", "how", "france"]) or got[1][2][0] == "area"
+    assert got[2] == ("what", ["France"], ["area", "france"]) and got[3] == ("statement", ["New York"], ["population", "new", "york"])
+    assert got[4] == ("statement", [], []) and got[5] == ("who", ["Luc Frieden"], ["luc", "frieden"])
+    forms = {r.qid: r.forms for r in normal.search_forms(normal.normal(d)).collect()}
+    assert forms[2] == ["what is the size of france", "area france", "france area", "area information", "france area square kilometers", "france total area"] and forms[4] == []
