@@ -14,6 +14,9 @@ from quarrylight.functions.scoring import clamp
 
 LEAST_NAME = 0.55
 CACHE_SIMILARITY = 0.88
+#: Questions that a cache holds, and distinct terms of questions that are broadcast at most.
+CAPACITY = 250
+MOST_TERMS = 1_000_000
 # Words that don't distinguish questions.
 CACHE_STOPWORDS = "a an and are at by do does for from in is of on or please tell me the to was were what when where which who".split()
 
@@ -50,11 +53,20 @@ def name_matches(asked: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def metadata_matches(questions: DataFrame, documents: DataFrame, most: int = 8) -> DataFrame:
-    """``qid``, ``document``, ``score``, ``rank`` by the words that a question shares with a document's description (``about``); larger documents (``size``) first on ties."""
+    """``qid``, ``document``, ``score``, ``rank`` by the words that a question shares with a document's description (``about``); larger documents (``size``) first on ties.
+
+    Nearly every question shares a word with nearly every document, so the pairs are counted where the documents are:
+    these are dealt by their name once, and if the questions' words are few enough (counted first) they are broadcast.
+    Each task then hands on its ``most`` best of a question only.
+    """
     words = lambda c: F.array_distinct(T.tokens(c))
     q = questions.select("qid", F.explode(words(F.col("question"))).alias("term"))
-    d = documents.select("document", "size", F.explode(words(F.col("about"))).alias("term"))
-    hit = q.join(d, "term").groupBy("qid", "document", "size").agg(F.count("*").alias("n"))
+    d = documents.select("document", "size", words(F.col("about")).alias("w"))
+    if q.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        hit = d.repartition("document").select("document", "size", F.explode("w").alias("term")).join(F.broadcast(q), "term")
+    else:
+        hit = d.select("document", "size", F.explode("w").alias("term")).join(q, "term")
+    hit = hit.groupBy("document", "size", "qid").agg(F.count("*").alias("n"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("size"), "document")
     scored = hit.withColumn("score", F.round(F.least(F.lit(1.0), 0.25 + F.col("n") * 0.12), 6))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "document", "score", "rank")

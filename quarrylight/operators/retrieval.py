@@ -58,13 +58,13 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col
     return kept.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("bm25"))
 
 
-def lexical(docs: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0, document: str | None = None) -> DataFrame:
+def lexical(docs: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0, document: str | None = None, floor: float = 0.05) -> DataFrame:
     """``qid``, ``rank``, ``doc_id``, ``score``: BM25 divided by 8, 1 at most, the ``k`` best over the floor. A ``document`` restricts the candidates before they are scored."""
     if document is not None:
         docs = docs.where(F.col("source") == document)
     scored = bm25(docs, questions).withColumn("score", F.round(F.least(F.lit(1.0), F.col("bm25") / 8), 6))
     best = top(scored, k, "score", "doc_id", by="qid")
-    return best.where(F.col("score") >= max(0.05, threshold * 0.45)).select("qid", "rank", "doc_id", "score")
+    return best.where(F.col("score") >= max(floor, threshold * 0.45)).select("qid", "rank", "doc_id", "score")
 
 
 def top(df: DataFrame, k: int, score: str, tie: str, by: str | None = None, name: str = "rank") -> DataFrame:
@@ -73,13 +73,18 @@ def top(df: DataFrame, k: int, score: str, tie: str, by: str | None = None, name
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors, clamped to 0 to 1; 0 where one is missing or zero."""
+    return clamp(F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
+
+
 def cosines(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``qid``, ``vec_id``, ``cosine`` (clamped to 0 to 1) of query vectors (``qid``, ``qv``) against all vectors."""
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), norm(vector_col).alias("vn"))
     pairs = v.crossJoin(queries.select("qid", "qv", norm("qv").alias("qn")))
     cosine = F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("vn"))
-    return pairs.select("qid", "vec_id", F.coalesce(clamp(cosine), F.lit(0.0)).alias("cosine"))
+    return pairs.select("qid", "vec_id", clamp(F.coalesce(cosine, F.lit(0.0))).alias("cosine"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -69,9 +69,9 @@ def document_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("formula_repair")
 def formula_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word borders have no counterpart in the other dialect; tested against literals."""
-    from quarrylight.queries.extract import FORMULAS
+    from quarrylight.queries.extract import formula_lines
 
-    return spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string").select("doc_id", "pos", A.repaired_formula(F.col("line")).alias("repaired"))
+    return formula_lines(spark, sf_dir).select("doc_id", "pos", A.repaired_formula(F.col("line")).alias("repaired"))
 
 
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{A.WORD.format(w)}') THEN '{k}'" for k, w in A.KIND_WORDS) + " ELSE 'document' END"
@@ -98,25 +98,16 @@ def answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from quarrylight.queries.base import SQL  # noqa: E402
-from quarrylight.queries.verify import RANKED, over_all  # noqa: E402
+from quarrylight.queries.verify import RANKED  # noqa: E402
 
 SQL["answer_payload"] = RANKED + """, t AS (SELECT * FROM k WHERE rank <= 10), g AS (SELECT qid, string_agg('S' || item, ',' ORDER BY rank) AS citations, count(*) AS n_blocks, sum(length(substring(content, 1, 1200)))::BIGINT AS n_chars, coalesce(string_agg(DISTINCT source_type, ',' ORDER BY source_type) FILTER (source_type <> 'ai'), '') AS streams FROM t GROUP BY qid)
 SELECT *, CASE WHEN contains(streams, ',') THEN 'hybrid' WHEN streams <> '' THEN streams ELSE 'model' END AS winner FROM g"""
 
 
-@query("answer_payload_all", over_all(SQL["answer_payload"]))
-def answer_payload_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best of all documents that share a term; only their texts are joined."""
-    from quarrylight.queries.verify import all_ranked
-
-    best = all_ranked(spark, sf_dir).where("rank <= 10").drop("content").join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("content")), "item")
-    return A.payload(best.withColumn("label", F.concat(F.lit("S"), F.col("item").cast("string"))))
-
-
 @query("formula_variables")
 def formula_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As formula_repair(): tested against literals."""
-    from quarrylight.queries.extract import FORMULAS
+    from quarrylight.queries.extract import formula_lines
 
-    lines = spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string").where(F.contains("line", F.lit("=")))
+    lines = formula_lines(spark, sf_dir).where(F.contains("line", F.lit("=")))
     return lines.select("doc_id", "pos", F.explode(A.formula_variables(F.col("line"), F.lit("where x_i is the dose, and y denotes the outcome"))).alias("variable", "meaning"))

@@ -70,17 +70,21 @@ FORMULAS = [
 ]
 
 
+def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant lines, and every line of every document."""
+    f = spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string")
+    return f.unionByName(docs(spark, sf_dir).select((F.col("doc_id") + 1000).alias("doc_id"), F.posexplode(T.lines(F.col("text"))).alias("pos", "line")))
+
+
 @query("formula_score")
 def formula_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over constant lines and, as one line each, all documents' first lines; look-behind has no counterpart in the other dialect."""
-    f = spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string")
-    d = docs(spark, sf_dir).select((F.col("doc_id") + 1000).alias("doc_id"), F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
-    return f.unionByName(d).select("doc_id", "pos", F.round(X.formula_score(F.col("line")), 6).alias("score"), X.formula_type(F.col("line"), F.lit("")).alias("formula_type"))
+    """Look-behind has no counterpart in the other dialect."""
+    return formula_lines(spark, sf_dir).select("doc_id", "pos", F.round(X.formula_score(F.col("line")), 6).alias("score"), X.formula_type(F.col("line"), F.lit("")).alias("formula_type"))
 
 
 @query("formula_blocks")
 def formula_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.formula_blocks(spark.createDataFrame(FORMULAS, "doc_id long, pos int, line string"))
+    return X.formula_blocks(formula_lines(spark, sf_dir))
 
 
 FORM_LINES = [(1, 1, "Surname: Müller"), (1, 2, "Date of birth: 12/03/1980"), (1, 3, "Passport no | AB-12345"), (1, 4, "Total: EUR 120.50"), (2, 1, "name: A. Person"), (2, 2, "email: a@b.org"), (2, 3, "unknown label: x"), (2, 4, "Email: A@B.org"), (3, 1, "Ref: 2024/AB-77 issued 2024-01-31")]

@@ -50,18 +50,26 @@ def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("entity_id", "doc_id", "n_chars", "rank", F.lit(0.82).alias("score"))
 
 
-@query("kg_orphans", BASE + ", k AS (SELECT DISTINCT entity_id FROM m WHERE doc_id <= 1500) SELECT entity_id, name FROM n WHERE entity_id NOT IN (SELECT entity_id FROM k)")
+GONE = ", gone AS (SELECT doc_id + 1000 AS doc_id FROM documents WHERE source = 'src3'), kept AS (SELECT * FROM m WHERE doc_id NOT IN (SELECT doc_id FROM gone))"
+
+
+def gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of one source, which are deleted from the graph."""
+    return read(spark, sf_dir, "documents").where("source = 'src3'").select((F.col("doc_id") + 1000).alias("doc_id"))
+
+
+@query("kg_orphans", BASE + GONE + " SELECT entity_id, name FROM n WHERE entity_id NOT IN (SELECT entity_id FROM kept)")
 def kg_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities left alone once the documents over 1500 are deleted."""
+    """Entities left alone once a source's documents are deleted."""
     f = found(spark, sf_dir)
-    left = G.without_document(G.mention_table(f), graph_source(spark, sf_dir).where("doc_id > 1500"))
+    left = G.without_document(G.mention_table(f), gone(spark, sf_dir))
     none = spark.createDataFrame([], "src string, dst string")
     return G.orphans(G.entity_table(f), left, none).select("entity_id", "name")
 
 
-@query("kg_document_cascade", BASE + " SELECT doc_id, count(*) AS n_mentions FROM m WHERE doc_id <= 1500 GROUP BY doc_id")
+@query("kg_document_cascade", BASE + GONE + " SELECT doc_id, count(*) AS n_mentions FROM kept GROUP BY doc_id")
 def kg_document_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = G.without_document(kg_mentions(spark, sf_dir), graph_source(spark, sf_dir).where("doc_id > 1500"))
+    m = G.without_document(kg_mentions(spark, sf_dir), gone(spark, sf_dir))
     return m.groupBy("doc_id").agg(F.count("*").alias("n_mentions"))
 
 

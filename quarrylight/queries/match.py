@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import match as M
 from quarrylight.operators import segment as S
-from quarrylight.queries.base import query, read, sql_list, sql_values
+from quarrylight.queries import extract  # noqa: F401  (its SQL describes documents)
+from quarrylight.queries.base import SQL, query, read, sql_list, sql_values
 from quarrylight.queries.retrieval import TOK, questions
 
 ASKED = [(1, "Report 12.pdf"), (2, "doc7"), (3, "energy source 9"), (4, "missing.txt"), (5, "DOC-003.txt")]
@@ -23,18 +24,14 @@ def filename_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.name_matches(spark.createDataFrame(ASKED, "qid int, name string"), _docs(spark, sf_dir).select("document", "title"))
 
 
-@query("rank_documents", f"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct({TOK.format('text')})) AS term FROM benchmark), d AS (SELECT doc_id AS document, n_chars AS size, unnest(list_distinct({TOK.format("substring(text, 1, 400)")})) AS term FROM documents),
+_ABOUT = f"""about AS (SELECT doc_id AS document, n_chars AS size, concat_ws(' ', source, title, summary, kind, keywords) AS about FROM documents JOIN (SELECT doc_id, CASE WHEN title = 'doc ' || doc_id THEN NULL ELSE title END AS title FROM ({SQL['doc_title']})) USING (doc_id) JOIN ({SQL['doc_summary']}) USING (doc_id) JOIN ({SQL['doc_kind']}) USING (doc_id) LEFT JOIN ({SQL['doc_keywords']}) USING (doc_id))"""
+
+
+@query("rank_documents", f"""WITH {_ABOUT}, q AS (SELECT item_id AS qid, unnest(list_distinct({TOK.format('text')})) AS term FROM benchmark), d AS (SELECT document, size, unnest(list_distinct({TOK.format('about')})) AS term FROM about),
 h AS (SELECT qid, document, size, count(*) AS n FROM q JOIN d USING (term) GROUP BY ALL), s AS (SELECT *, round(least(1.0, 0.25 + n * 0.12), 6)::DOUBLE AS score FROM h)
 SELECT qid, document, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, size DESC, document) AS rank FROM s) WHERE rank <= 8""")
 def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By what a document says about itself: its opening of 400 characters stands for title and summary."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.col("n_chars").alias("size"), F.substring("text", 1, 400).alias("about"))
-    return M.metadata_matches(questions(spark, sf_dir), d)
-
-
-@query("rank_documents_described")
-def rank_documents_described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By name, title, summary, keywords of the whole text and kind, as these have no common SQL; tested against literals."""
+    """By source, title, summary, keywords of the whole text and kind."""
     d = read(spark, sf_dir, "documents")
     own = d.select("doc_id", "n_chars", F.concat_ws(" ", "source", S.title(F.col("text"), F.lit(None).cast("string")), S.summary(F.col("text")), S.kind(F.col("text"))).alias("own"))
     d = own.join(S.keywords(d), "doc_id", "left")
@@ -66,15 +63,15 @@ _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 @query(
     "semantic_cache_lookup",
-    f"""WITH r AS (SELECT conv_id * 1000 + turn AS rid, role AS scope, {_N.format('text')} AS rq, {_W.format('text')} AS rw FROM conversations), e AS (SELECT conv_id * 1000 + turn AS eid, role AS scope, {_N.format('text')} AS eq, {_W.format('text')} AS ew FROM conversations WHERE turn <= 2),
+    f"""WITH r AS (SELECT conv_id * 1000 + turn AS rid, role AS scope, {_N.format('text')} AS rq, {_W.format('text')} AS rw FROM conversations), e AS (SELECT conv_id * 1000 + turn AS eid, role AS scope, {_N.format('text')} AS eq, {_W.format('text')} AS ew FROM (SELECT * FROM conversations ORDER BY conv_id * 1000 + turn DESC LIMIT {M.CAPACITY})),
 rx AS (SELECT rid, scope, rq, len(rw) AS nr, unnest(rw) AS w FROM r), ex AS (SELECT eid, scope, eq, len(ew) AS ne, unnest(ew) AS w FROM e), m AS (SELECT rid, eid, rq, eq, nr, ne, count(*) AS both_ FROM rx JOIN ex USING (scope, w) GROUP BY ALL),
 s AS (SELECT rid, eid, round(CASE WHEN rq = eq THEN 1.0 ELSE greatest(both_ / (nr + ne - both_), both_ / least(nr, ne) * 0.96) END, 6)::DOUBLE AS similarity FROM m)
 SELECT rid, eid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, eid) AS k FROM s WHERE similarity >= 0.88) WHERE k = 1""",
 )
 def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a request against the first turns as cached questions, scoped by role."""
+    """Every turn as a request against the newest turns, as many as a cache holds, as cached questions, scoped by role."""
     c = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), F.col("role").alias("scope"), F.col("text").alias("question"), "turn")
-    return M.cache_lookup(c, c.where("turn <= 2").withColumnRenamed("rid", "eid"))
+    return M.cache_lookup(c, c.orderBy(F.desc("rid")).limit(M.CAPACITY).withColumnRenamed("rid", "eid"))
 
 
 @query("role_election", "WITH g AS (SELECT user_id % 50 AS qid, event_type AS name, bool_or(value > 90) AS current, count(DISTINCT user_id) AS n_domains, max(value) AS score FROM events GROUP BY ALL) SELECT qid, name, n_domains, current FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY current DESC, n_domains DESC, score DESC, name DESC) AS k FROM g) WHERE k = 1")

@@ -52,7 +52,7 @@ lex AS (
   FROM (SELECT qid, doc_id, round(least(1.0, bm25 / 8), 6) AS score FROM scores))
 """
 
-COS = "coalesce(greatest(0.0, least(1.0, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0))), 0.0)"
+COS = "greatest(0.0, least(1.0, coalesce(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0.0)))"
 DENSE = f"""
 dense AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank

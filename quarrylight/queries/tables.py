@@ -36,9 +36,9 @@ def table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(A.table_match(q, t), 1, "score", "table_id", by="qid")
 
 
-@query("group_table_answer", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2024-06-30' OR l_shipdate > TIMESTAMP '1900-01-01' GROUP BY ALL")
+@query("group_table_answer", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_discount <= 0.05 AND l_quantity >= 10 GROUP BY ALL")
 def group_table_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where((F.col("l_shipdate") <= F.lit("2024-06-30").cast("timestamp")) | (F.col("l_shipdate") > F.lit("1900-01-01").cast("timestamp")))
+    li = read(spark, sf_dir, "lineitem").where("l_discount <= 0.05 and l_quantity >= 10")
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count("*").alias("n"))
 
 

@@ -12,7 +12,7 @@ from quarrylight.operators import evidence as E
 from quarrylight.operators import extract as X
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import verify as V
-from quarrylight.queries.base import SQL, query, read, sql_list, sql_values
+from quarrylight.queries.base import query, read, sql_list, sql_values
 from quarrylight.queries.extract import SQ
 from quarrylight.queries.retrieval import BM25, COS, questions
 
@@ -158,11 +158,13 @@ def confidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", V.capped(F.col("confidence"), F.col("unsupported"), F.col("supported"), F.col("conflict")).alias("capped"))
 
 
-ITEMS = """items AS (
-  SELECT b.item_id AS qid, x.k AS item, x.st AS source_type, d.source AS title, d.text AS content, (d.doc_id % 17) / 10.0::DOUBLE AS retrieval, (d.doc_id % 11) / 10.0::DOUBLE AS semantic, x.au AS authority,
-    CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE DATE '2023-01-01' + (d.doc_id % 700)::INT END AS document_date, b.item_id % 2 = 0 AS dated, b.item_id % 3 = 0 AS local_question, b.item_id % 5 = 0 AS scientific
-  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 JOIN (VALUES (0, 'local', 'internal'), (1, 'web', 'news'), (2, 'ai', 'model'), (3, 'web', 'scientific_paper')) AS y(m, st, au) ON d.doc_id // 40 % 4 = m, LATERAL (SELECT d.doc_id AS k, st, au) AS x)"""
-RANKED = f"""WITH {ITEMS}, s AS (SELECT *, 0.30 * greatest(0.0, least(1.0, CASE WHEN retrieval > 1 THEN retrieval / (1 + retrieval) ELSE retrieval END)) + 0.25 * greatest(0.0, least(1.0, semantic)) + 0.20 * 0.65
+#: Candidates of a question that retrieval hands to the ranking of evidence (its depth).
+POOL = 30
+ITEMS = f"""near AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, {COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)), items AS (
+  SELECT l.qid, d.doc_id AS item, st AS source_type, d.source AS title, d.text AS content, l.score AS retrieval, coalesce(cosine, 0.0) AS semantic, au AS authority,
+    CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE DATE '2023-01-01' + (d.doc_id % 700)::INT END AS document_date, l.qid % 2 = 0 AS dated, l.qid % 3 = 0 AS local_question, l.qid % 5 = 0 AS scientific
+  FROM lex l JOIN documents d USING (doc_id) JOIN (VALUES (0, 'local', 'internal'), (1, 'web', 'news'), (2, 'ai', 'model'), (3, 'web', 'scientific_paper')) AS y(m, st, au) ON d.doc_id // 40 % 4 = m LEFT JOIN near n ON n.qid = l.qid AND n.doc_id = l.doc_id WHERE l.rank <= {POOL})"""
+RANKED = f"""{BM25}, {ITEMS}, s AS (SELECT *, 0.30 * greatest(0.0, least(1.0, CASE WHEN retrieval > 1 THEN retrieval / (1 + retrieval) ELSE retrieval END)) + 0.25 * greatest(0.0, least(1.0, semantic)) + 0.20 * 0.65
   + 0.10 * (MAP {{'internal': 0.9, 'news': 0.8, 'model': 0.6, 'scientific_paper': 0.95}})[authority]::DOUBLE
   + 0.10 * (CASE WHEN NOT dated THEN 0.65 WHEN source_type = 'ai' THEN 0.05 WHEN document_date IS NULL THEN CASE WHEN source_type = 'web' THEN 0.45 ELSE 0.25 END ELSE greatest(0.0, least(1.0, 1.0 - greatest(0, DATE '2024-06-30' - document_date) / 365)) END)
   + 0.05 * (CASE WHEN source_type <> 'ai' THEN 0.65 WHEN dated THEN 0.05 WHEN local_question THEN 0.10 ELSE 0.70 END)
@@ -171,10 +173,15 @@ r AS (SELECT *, round(greatest(0.0, least(1.0, raw)), 6)::DOUBLE AS score FROM s
 
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 40).alias("m"))
+    """Of each question the POOL documents that retrieval finds best, with their score and, where both have one, the cosine of the vectors with their numbers. Only the pool's texts are joined."""
+    q, docs, vectors = questions(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    pool = R.lexical(docs, q, POOL, floor=0.0).select("qid", F.col("doc_id").alias("item"), F.col("score").alias("retrieval"))
+    asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    theirs = pool.join(asked, "qid", "left").join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), "item", "left")
     kinds = F.array(*[F.struct(F.lit(st).alias("source_type"), F.lit(au).alias("authority")) for st, au in (("local", "internal"), ("web", "news"), ("ai", "model"), ("web", "scientific_paper"))])
-    d = read(spark, sf_dir, "documents").withColumn("m", F.col("doc_id") % 40).withColumn("kind", F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")))
-    j = b.join(d, "m").select("qid", F.col("doc_id").alias("item"), "kind.*", F.col("source").alias("title"), F.col("text").alias("content"), (F.col("doc_id") % 17 / 10.0).alias("retrieval"), (F.col("doc_id") % 11 / 10.0).alias("semantic"), F.when(F.col("doc_id") % 4 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))).alias("document_date"))
+    date = F.when(F.col("doc_id") % 4 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")))
+    d = docs.select(F.col("doc_id").alias("item"), F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")).alias("kind"), F.col("source").alias("title"), F.col("text").alias("content"), date.alias("document_date"))
+    j = theirs.select("qid", "item", "retrieval", R.cosine(F.col("qv"), F.col("v")).alias("semantic")).join(d, "item").select("qid", "item", "kind.*", "title", "content", "retrieval", "semantic", "document_date")
     return j.withColumns({"dated": F.col("qid") % 2 == 0, "local_question": F.col("qid") % 3 == 0, "scientific": F.col("qid") % 5 == 0, "lookup": F.lit(False), "terms": F.array().cast("array<string>")})
 
 
@@ -194,52 +201,11 @@ def conflict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.conflicts(ranked_items(spark, sf_dir))
 
 
-@query("date_reconcile", f"WITH {ITEMS}, y AS (SELECT qid, source_type, year(document_date)::INT AS y FROM items WHERE document_date IS NOT NULL UNION ALL SELECT qid, source_type, trim(unnest(regexp_extract_all(' ' || title || ' ' || substring(content, 1, 500) || ' ', '[^A-Za-z0-9_](20[0-9]{{2}}|19[0-9]{{2}})[^A-Za-z0-9_]', 1)))::INT FROM items) SELECT qid, max(y) AS newest, max(y) FILTER (source_type = 'web') AS newest_web, max(y) FILTER (source_type = 'local') AS newest_local, coalesce(max(y) FILTER (source_type = 'local') < max(y) FILTER (source_type = 'web'), false) AS local_is_older FROM y GROUP BY qid")
+@query("date_reconcile", f"{BM25}, {ITEMS}, y AS (SELECT qid, source_type, year(document_date)::INT AS y FROM items WHERE document_date IS NOT NULL UNION ALL SELECT qid, source_type, trim(unnest(regexp_extract_all(' ' || title || ' ' || substring(content, 1, 500) || ' ', '[^A-Za-z0-9_](20[0-9]{{2}}|19[0-9]{{2}})[^A-Za-z0-9_]', 1)))::INT FROM items) SELECT qid, max(y) AS newest, max(y) FILTER (source_type = 'web') AS newest_web, max(y) FILTER (source_type = 'local') AS newest_local, coalesce(max(y) FILTER (source_type = 'local') < max(y) FILTER (source_type = 'web'), false) AS local_is_older FROM y GROUP BY qid")
 def date_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.date_reconciliation(items_of(spark, sf_dir))
 
 
-# The queries above pair a question with the documents of its remainder by 40; those below with all that share a term.
-ALL_ITEMS = f"""near AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, {COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)), items AS (
-  SELECT s.qid, d.doc_id AS item, st AS source_type, d.source AS title, d.text AS content, least(1.0, s.bm25 / 8) AS retrieval, coalesce(cosine, 0.0) AS semantic, au AS authority,
-    CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE DATE '2023-01-01' + (d.doc_id % 700)::INT END AS document_date, s.qid % 2 = 0 AS dated, s.qid % 3 = 0 AS local_question, s.qid % 5 = 0 AS scientific
-  FROM scores s JOIN documents d USING (doc_id) JOIN (VALUES (0, 'local', 'internal'), (1, 'web', 'news'), (2, 'ai', 'model'), (3, 'web', 'scientific_paper')) AS y(m, st, au) ON d.doc_id // 40 % 4 = m LEFT JOIN near n ON n.qid = s.qid AND n.doc_id = s.doc_id)"""
-over_all = lambda sql: f"{BM25}, {ALL_ITEMS}" + sql.removeprefix(f"WITH {ITEMS}")
-
-
-def all_items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that shares a term with a question, with its BM25 score over 8 and, where both have one, the cosine of the vectors with their numbers; ``years`` instead of the text."""
-    q, docs, vectors = questions(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    near = R.cosines(vectors, asked).groupBy(F.col("vec_id").alias("item")).agg(F.map_from_entries(F.collect_list(F.struct("qid", "cosine"))).alias("near"))  # by document, so that the scored pairs stay where they are
-    kinds = F.array(*[F.struct(F.lit(st).alias("source_type"), F.lit(au).alias("authority")) for st, au in (("local", "internal"), ("web", "news"), ("ai", "model"), ("web", "scientific_paper"))])
-    date = F.when(F.col("doc_id") % 4 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")))
-    d = docs.select(F.col("doc_id").alias("item"), F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")).alias("kind"), F.col("source").alias("title"), date.alias("document_date"), E.years(date, F.col("source"), F.col("text")).alias("years")).join(near, "item", "left")
-    j = R.bm25(docs, q).withColumnRenamed("doc_id", "item").join(d, "item")
-    j = j.select("qid", "item", "kind.*", "title", F.lit("").alias("content"), "document_date", "years", F.least(F.lit(1.0), F.col("bm25") / 8).alias("retrieval"), F.coalesce(F.try_element_at("near", F.col("qid")), F.lit(0.0)).alias("semantic"))
-    return j.withColumns({"dated": F.col("qid") % 2 == 0, "local_question": F.col("qid") % 3 == 0, "scientific": F.col("qid") % 5 == 0, "lookup": F.lit(False), "terms": F.array().cast("array<string>")})
-
-
-def all_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No question looks up a name, so the score does not read the text."""
-    return E.ranked(all_items_of(spark, sf_dir), F.lit("2024-06-30").cast("date"))
-
-
-@query("evidence_rank_all", over_all(SQL["evidence_rank"]))
-def evidence_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_ranked(spark, sf_dir).select("qid", "rank", "item", "score")
-
-
-@query("conflict_resolution_all", over_all(SQL["conflict_resolution"]))
-def conflict_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.conflicts(all_ranked(spark, sf_dir))
-
-
-@query("date_reconcile_all", over_all(SQL["date_reconcile"]))
-def date_reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.date_reconciliation(all_items_of(spark, sf_dir))
-
-
 @query("freshness_decay", "SELECT o_orderkey, round(greatest(0.0, least(1.0, 1.0 - greatest(0, DATE '2025-01-01' - o_orderdate::DATE) / 365)), 6) AS freshness FROM orders")
 def freshness_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")

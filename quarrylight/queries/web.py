@@ -83,11 +83,15 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(W.links(F.col("html"))).alias("link"))
 
 
-@query("visible_dates", "SELECT o_orderkey, array_to_string(list_slice(list_sort(list_distinct([strftime(o_orderdate, '%Y-%m-%d')])), 1, 5), ',') AS dates FROM orders")
+DATED = [(-1, "Ordered 2024-01-31, confirmed 2024-02-01 and 2024-01-31; 2023-12-24 2022-01-01 2021-01-01 2020-01-01"), (-2, "no date, 2024-1-1"), (-3, None)]
+
+
+@query("visible_dates", f"""SELECT page_id, array_to_string(list_slice(list_filter(d, lambda x, i: list_position(d, x) = i), 1, 5), ',') AS dates FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS d FROM (SELECT page_id::BIGINT AS page_id, html FROM (VALUES {sql_values(DATED)}) AS v(page_id, html) UNION ALL SELECT page_id, html FROM pages UNION ALL SELECT 1000000000 + doc_id, text FROM documents))""")
 def visible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.date_format("o_orderdate", "yyyy-MM-dd")
-    text = F.concat(F.lit("ordered on "), d, F.lit(", confirmed "), d, F.lit("."))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(W.visible_dates(text), ",").alias("dates"))
+    """Constant texts, every page and every document."""
+    t = spark.createDataFrame(DATED, "page_id long, html string").unionByName(read(spark, sf_dir, "pages").select("page_id", "html"))
+    t = t.unionByName(read(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("page_id"), F.col("text").alias("html")))
+    return t.select("page_id", F.array_join(W.visible_dates(F.col("html")), ",").alias("dates"))
 
 
 @query(

@@ -219,8 +219,8 @@ def test_evidence_comes_from_all_documents(spark, tmp_path):
     docs = [(7, "Here stand tall turbines of the northern coast.", "en", "a", 47), (41, "nothing in common", "en", "b", 17), (81, "a coast", "en", "c", 7)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
-    assert [r.item for r in QUERIES["evidence_rank_all"](spark, sf).orderBy("rank").collect()] == [7, 81]
-    assert QUERIES["answer_payload_all"](spark, sf).collect()[0].citations == "S7,S81"
+    assert [r.item for r in QUERIES["evidence_rank"](spark, sf).orderBy("rank").collect()] == [7, 81]
+    assert QUERIES["answer_payload"](spark, sf).collect()[0].citations == "S7,S81"
 
 
 def test_documents_are_ranked_by_all_of_their_text(spark, tmp_path):
@@ -230,8 +230,7 @@ def test_documents_are_ranked_by_all_of_their_text(spark, tmp_path):
     spark.createDataFrame([(1, "turbine")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     docs = [(1, "ab cd " * 100 + "turbine " * 20, "en", "x", 760), (2, "ab cd", "en", "y", 5)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
-    assert [(r.document, r.rank) for r in QUERIES["rank_documents_described"](spark, sf).collect()] == [(1, 1)]
-    assert not QUERIES["rank_documents"](spark, sf).collect()
+    assert [(r.document, r.rank) for r in QUERIES["rank_documents"](spark, sf).collect()] == [(1, 1)]
 
 
 def test_names_of_others_are_nowhere():
@@ -273,7 +272,7 @@ def test_normal_forms(spark):
 
     d = spark.createDataFrame([(1, "How big is France's area?"), (2, "what is the size of France"), (3, "population of new york"), (4, None), (5, "Who is Luc Frieden?")], "qid int, question string")
     got = {r.qid: (r.intent, r.entities, r.key_terms) for r in normal.normal(d).collect()}
-    assert got[1] == ("how", ["How", "France"], ["area", "how", "france"]) or got[1][2][0] == "area"
+    assert got[1] == ("how", ["France"], ["area", "france"])
     assert got[2] == ("what", ["France"], ["area", "france"]) and got[3] == ("statement", ["New York"], ["population", "new", "york"])
     assert got[4] == ("statement", [], []) and got[5] == ("who", ["Luc Frieden"], ["luc", "frieden"])
     forms = {r.qid: r.forms for r in normal.search_forms(normal.normal(d)).collect()}
