@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The token patterns.
@@ -21,11 +21,28 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that later steps read as values: the optimizer copies no expression through a generator, so a large one is computed once however often it is used."""
+    own = f"held_{len(df.columns)}"
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias(own)).select(*df.columns, f"{own}.*")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens of two characters at least, repeats kept."""
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def counted(words: Column, name: str = "term") -> Column:
+    """The distinct words of an array in alphabetical order with their number of places: structs of ``name``, ``n``. Within a row, so nothing is shuffled."""
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(w, i).alias(name), (F.coalesce(F.get(s, k + 1), F.size(w)) - i).alias("n")))), F.lit(0))
+
+    none = F.array().cast(f"array<struct<{name}:string,n:int>>")
+    sorted_ = F.get(F.transform(F.array(F.sort_array(words)), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none)), F.lit(0))  # bound once, not copied into every use
+    return F.coalesce(sorted_, none)
+
+
 def query_terms(text: Column) -> Column:
     """Distinct meaningful terms in order of first use: three characters at least, no stop words, outer apostrophes gone."""
     raw = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUERY_TOKEN), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), "^'+|'+$", ""))

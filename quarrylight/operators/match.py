@@ -61,7 +61,7 @@ def metadata_matches(questions: DataFrame, documents: DataFrame, most: int = 8)
     """
     words = lambda c: F.array_distinct(T.tokens(c))
     q = questions.select("qid", F.explode(words(F.col("question"))).alias("term"))
-    d = documents.select("document", "size", words(F.col("about")).alias("w"))
+    d = T.held(documents.select("document", "size", "about"), w=words(F.col("about"))).select("document", "size", "w")
     if q.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
         hit = d.repartition("document").select("document", "size", F.explode("w").alias("term")).join(F.broadcast(q), "term")
     else:

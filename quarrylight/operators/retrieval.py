@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions.scoring import clamp, dot, term_weight, total_weight
+from quarrylight.shared import saved
 
 K1, B = 1.5, 0.75
 RRF_CONSTANT, RRF_SCALE, RRF_BOOST = 60, 28.0, 0.25
@@ -40,22 +41,29 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Rows of question terms that are broadcast at most; beyond that they are joined by shuffle.
+MOST_TERMS = 500_000
+
+
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``qid``, ``doc_id``, ``bm25`` of every document that shares a term with a question.
+    """``qid``, ``doc_id``, ``bm25`` of every document that shares a term with a question; the statistics cover all documents.
 
-    Only tokens that some question uses leave the scan; the statistics cover all documents, those without tokens too.
+    Texts are tokenized once, into a table of documents with their counted terms. Documents are dealt by their id, and the
+    questions' weighted terms, if they are few enough (counted first), come to them: the pairs, which are nearly all of
+    questions times documents, are summed up where the document is and never shuffled.
     """
     q = question_terms(questions)
-    wanted = q.select("term").distinct()
-    toks = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("w"))
-    toks = toks.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    tf = toks.join(wanted, "term", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))  # by document: the scores below need no further shuffle
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = index_stats(docs, id_col, text_col).select("n_docs", "avgdl")  # one row
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counted = T.held(texts, terms=T.counted(T.tokens(F.col("text")))).drop("text")
+    index = saved(counted.withColumn("dl", F.aggregate("terms", F.lit(0), lambda a, x: a + x["n"])), "postings")
+    stats = index.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
+    df = index.select(F.explode("terms.term").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf * (K1 + 1)).alias("w"))
-    kept = tf.crossJoin(F.broadcast(stats)).select("doc_id", "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl")))).alias("part"))
-    return kept.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("bm25"))
+    weighted = saved(q.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf * (K1 + 1)).alias("w"), "avgdl"), "weights")
+    weighted = F.broadcast(weighted) if weighted.count() <= MOST_TERMS else weighted
+    each = index.repartition("doc_id").select("doc_id", "dl", F.inline("terms")).join(weighted, "term")
+    part = F.col("n") / (F.col("n") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl")))
+    return each.groupBy("doc_id", "qid").agg(F.sum(F.col("w") * part).alias("bm25")).select("qid", "doc_id", "bm25")
 
 
 def lexical(docs: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0, document: str | None = None, floor: float = 0.05) -> DataFrame:

@@ -75,9 +75,14 @@ def summary(text: Column) -> Column:
     return F.array_join(F.slice(ok, 1, 3), " ")
 
 
+def keyword_list(text: Column, most: int = 12) -> Column:
+    """The most frequent words of four characters at least, comma-joined, ties in alphabetical order; empty without any. Counted within the row, so nothing is shuffled."""
+    w = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.WORD_TOKEN), F.lit(0)), F.lower), lambda x: ~x.isin(KEYWORD_STOPWORDS))
+    by_count = F.sort_array(F.transform(T.counted(w), lambda x: F.struct((-x["n"]).alias("n"), x["term"].alias("term"))))
+    return F.array_join(F.transform(F.slice(by_count, 1, most), lambda x: x["term"]), ",")
+
+
 def keywords(docs: DataFrame, most: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``keywords``: the most frequent words of four characters at least, ties in alphabetical order."""
-    w = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(T.WORD_TOKEN), F.lit(0)), F.lower), lambda x: ~x.isin(KEYWORD_STOPWORDS))
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.explode(w).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))).where(F.col("r") <= most)
-    return ranked.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ",").alias("keywords"))
+    """``doc_id``, ``keywords`` of keyword_list(); documents without any have no row."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return T.held(d, keywords=keyword_list(F.col("text"), most)).select("doc_id", "keywords").where("keywords != ''")

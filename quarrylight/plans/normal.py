@@ -84,17 +84,11 @@ def key_terms(cleaned: Column, names: Column) -> Column:
     return F.slice(unique(F.concat(meant, own, terms_of(names))), 1, MOST_TERMS)
 
 
-def _held(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that later expressions read as values: the optimizer copies no expression through a generator, and these are large."""
-    own = f"held_{len(df.columns)}"
-    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias(own)).select(*df.columns, f"{own}.*")
-
-
 def normal(questions: DataFrame) -> DataFrame:
     """Adds ``intent``, ``entities``, ``key_terms``, ``canonical`` to questions; null and blank ones are statements without terms."""
     t = T.squeezed(F.col("question"))
-    d = _held(questions, c_=clean(t), entities=entities(t))
-    d = _held(d, key_terms=key_terms(F.col("c_"), F.col("entities")))
+    d = T.held(questions, c_=clean(t), entities=entities(t))
+    d = T.held(d, key_terms=key_terms(F.col("c_"), F.col("entities")))
     return d.withColumns({"intent": intent(F.col("c_")), "canonical": F.array_join("key_terms", " ")}).drop("c_")
 
 

@@ -33,9 +33,9 @@ SELECT qid, document, score, rank::INT AS rank FROM (SELECT *, row_number() OVER
 def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source, title, summary, keywords of the whole text and kind."""
     d = read(spark, sf_dir, "documents")
-    own = d.select("doc_id", "n_chars", F.concat_ws(" ", "source", S.title(F.col("text"), F.lit(None).cast("string")), S.summary(F.col("text")), S.kind(F.col("text"))).alias("own"))
-    d = own.join(S.keywords(d), "doc_id", "left")
-    return M.metadata_matches(questions(spark, sf_dir), d.select(F.col("doc_id").alias("document"), F.col("n_chars").alias("size"), F.concat_ws(" ", "own", "keywords").alias("about")))
+    t = F.col("text")
+    about = F.concat_ws(" ", "source", S.title(t, F.lit(None).cast("string")), S.summary(t), S.kind(t), S.keyword_list(t))
+    return M.metadata_matches(questions(spark, sf_dir), d.select(F.col("doc_id").alias("document"), F.col("n_chars").alias("size"), about.alias("about")))
 
 
 @query("doc_importance", "SELECT doc_id, round(least(0.36, (n_chars // 3000) / 300) + least(0.3, (n_chars // 880 + 1) / 500) + CASE WHEN n_chars > 200 THEN 0.18 ELSE 0.0 END + 0.1 + CASE WHEN lang = 'en' THEN 0.06 ELSE 0.0 END, 6)::DOUBLE AS importance FROM documents")
