@@ -126,3 +126,13 @@ def payload(ranked: DataFrame) -> DataFrame:
     g = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("x"), F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"), F.array_sort(F.collect_set(F.when(F.col("source_type") != "ai", F.col("source_type")))).alias("s"))
     winner = F.when(F.size("s") > 1, "hybrid").when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise("model")
     return g.select("qid", F.array_join(F.transform("x", lambda v: v["label"]), ",").alias("citations"), "n_blocks", "n_chars", F.array_join("s", ",").alias("streams"), winner.alias("winner"))
+
+
+def extractive(pool: DataFrame, questions: DataFrame) -> DataFrame:
+    """``qid``, ``answer``: of each question's sources (``qid``, ``rank``, ``text``) the sentence that holds most of its terms, with its label; the better source, then the earlier sentence, on ties. A question without such a sentence is told so."""
+    q = questions.select("qid", T.query_terms(F.col("question")).alias("terms"))
+    s = pool.join(q, "qid").select("qid", "rank", "terms", F.posexplode(T.sentences(T.squeezed(F.col("text")))).alias("pos", "sentence"))
+    n = F.size(F.array_intersect(T.query_terms(F.col("sentence")), F.col("terms")))
+    best = T.held(s, n=n).where("n > 0").groupBy("qid").agg(F.max_by(F.struct("rank", "sentence"), F.struct("n", -F.col("rank"), -F.col("pos"))).alias("x"))
+    answer = F.concat(F.col("x.sentence"), F.lit(" [S"), F.col("x.rank").cast("string"), F.lit("]"))
+    return q.select("qid").join(best, "qid", "left").select("qid", F.coalesce(answer, F.lit("The sources hold not enough information.")).alias("answer"))

@@ -277,3 +277,46 @@ def test_normal_forms(spark):
     assert got[4] == ("statement", [], []) and got[5] == ("who", ["Luc Frieden"], ["luc", "frieden"])
     forms = {r.qid: r.forms for r in normal.search_forms(normal.normal(d)).collect()}
     assert forms[2] == ["what is the size of france", "area france", "france area", "area information", "france area square kilometers", "france total area"] and forms[4] == []
+
+
+def state_of(**known):
+    from quarrylight.operators import dialog
+
+    none = {**dict.fromkeys(dialog.TEXTS, ""), **{x: [] for x in dialog.LISTS}, "roles": {}}
+    return tuple((none | known).values())
+
+
+def test_states_are_merged_and_taken_over(spark):
+    from quarrylight.operators import dialog
+
+    schema = f"base {dialog.SCHEMA}, state {dialog.SCHEMA}"
+    rows = [(state_of(country="France", role="President", roles={"president": "A B"}, topics=["x", "Y"]), state_of(topics=["y", "z"], entities=[" ", "E"], country="Norway")), (None, state_of(person="P")), (state_of(topic="t"), None)]
+    got = [r.m.asDict() for r in spark.createDataFrame(rows, schema).select(dialog.merged(F.col("base"), F.col("state")).alias("m")).collect()]
+    assert (got[0]["country"], got[0]["person"], got[0]["topics"], got[0]["entities"], got[0]["roles"]) == ("Norway", "A B", ["y", "z", "x"], ["E"], {"president": "A B"})
+    assert got[1]["person"] == "P" and got[2]["topic"] == "t"
+
+    found = [("Norway", "Country", None), ("Anna", "person", "King"), ("Berta", "person", "king"), ("wind", "topic", ""), (" ", "topic", ""), ("f.txt", "file", "")]
+    d = spark.createDataFrame([(state_of(country="France", person="Q", roles={"king": "old", "queen": "C"}, topics=["old"]), "general", found), (state_of(country="France", topic="t", roles={"king": "old"}), "person", []), (None, None, None)], f"state {dialog.SCHEMA}, intent string, found array<struct<name string, type string, role string>>")
+    got = [r.s.asDict() for r in d.select(dialog.taken_over(F.col("state"), F.col("intent"), F.lit("r?"), F.col("found"), F.array(F.lit("Reuters"))).alias("s")).collect()]
+    assert (got[0]["country"], got[0]["person"], got[0]["topic"], got[0]["topics"], got[0]["document"]) == ("Norway", "Berta", "wind", ["wind", "Norway government", "old"], "f.txt")
+    assert got[0]["roles"] == {"king": "Berta", "queen": "C"} and got[0]["entities"] == ["f.txt", "wind", "Berta", "Anna", "Norway"] and got[0]["sources"] == ["Reuters"]
+    assert (got[1]["country"], got[1]["topic"], got[1]["roles"], got[1]["intent"]) == ("", "", {}, "person") and got[2]["last_question"] == "r?"
+
+
+def test_registered_roles(spark):
+    from quarrylight.operators import dialog
+
+    dialog.register_role("Mayor", "Mayor")
+    try:
+        assert one(spark, dialog.role_of(F.col("t")), t="Who is the mayor of Rome?") == "Mayor" and one(spark, dialog.role_of(F.col("t")), t="the president") == "President"
+    finally:
+        dialog._roles.clear()
+
+
+def test_questions_that_lean_on_others(spark):
+    from quarrylight.operators import dialog
+
+    rows = [("What about wind", "x", 1, False, 0.1, True), ("Is it so?", "x", 1, False, 0.1, True), ("Is it so?", "x", 0, False, 0.0, False), ("Is it so?", "is it so", 1, False, 1.0, False), ("thanks for that", "x", 1, True, 0.1, False), ("Where is Rome in the world", "x", 2, False, 0.1, False), (None, "x", 1, False, 0.0, False)]
+    d = spark.createDataFrame([(n, *r[:5]) for n, r in enumerate(rows)], "n int, q string, b string, k int, s boolean, r double")
+    got = {x.n: x.w for x in d.select("n", dialog.wants_rewriting(*(F.col(c) for c in "qbksr")).alias("w")).collect()}
+    assert got == {n: r[5] for n, r in enumerate(rows)}
