@@ -3,8 +3,9 @@
 Every run of ``K`` words of a text is hashed where it stands and joined with the hashes of the templates' runs. A hit of
 document word i with template word j votes for the diagonal i - j: a copy of the template puts its votes on one diagonal,
 a copy with words put in or left out on a few neighbouring ones. Votes are counted by diagonal, neighbouring diagonals are
-merged, and a merged span is verified: it must cover enough of the template within few enough words. The base phrases are
-short templates whose every run must vote for one diagonal, that is, whose words stand consecutively.
+merged, and a merged span is verified: it must cover enough of the template within few enough words. Where the merged span
+is too long, as when parts of the notice are repeated behind it, the ranges of up to ``NEAR`` diagonals from each of its
+diagonals are verified in its place. The base phrases are short templates whose every run must vote for one diagonal, that is, whose words stand consecutively.
 """
 
 from __future__ import annotations
@@ -77,12 +78,30 @@ def template_table(spark, base=BASE, templates=TEMPLATES) -> DataFrame:
     return t.unionByName(whole)
 
 
+def _short(span: Column) -> Column:
+    return span["last"] - span["first"] + 1 <= STRETCH * F.col("t_words")
+
+
+def _best_range(near: Column) -> Column:
+    """Of the diagonals ``near`` (the row's own first, up to NEAR beyond it), the range from the first that is short enough and covers most, the narrower of two that cover the same; null if none covers enough."""
+
+    def span(width: Column) -> Column:
+        held = F.filter(near, lambda x: x.diagonal <= F.col("diagonal") + width)
+        at = F.array_distinct(F.flatten(F.transform(held, lambda x: x["at"])))
+        first, last = F.array_min(F.transform(held, lambda x: x.diagonal + F.array_min(x["at"]))), F.array_max(F.transform(held, lambda x: x.diagonal + F.array_max(x["at"]) + K - 1))
+        return F.struct((F.size(at) / (F.col("t_words") - K + 1)).alias("share"), (-width).alias("width"), first.alias("first"), last.alias("last"))
+
+    fit = F.filter(F.transform(F.sequence(F.lit(0), F.lit(NEAR)), span), lambda x: (x.share >= COVER) & _short(x))
+    best = F.array_max(fit)
+    return F.when(best.isNotNull(), F.struct(best["share"].alias("share"), best["first"].alias("first"), best["last"].alias("last")))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
     """``id_col``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``spans``: a row per row of ``df``.
 
     A null text counts as empty; repeated rows each have their row. ``spans`` lists what was verified: label, first word,
     last word, score (share of the template's runs that are covered; 1 for a base phrase). ``score`` is the largest, 0
-    without spans. No other column is read. The template table is the only one broadcast; its size is that of the
+    without spans. Spans from a merged one that was too long may overlap. No other column is read. The template table is the only one broadcast; its size is that of the
     constants.
     """
     spark = df.sparkSession
@@ -97,13 +116,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BAS
     votes = hits.groupBy(*key, "n_words", "tpl", "label", "exact", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"), F.count("*").alias("rows"))
     diagonals = Window.partitionBy(*key, "tpl").orderBy("diagonal")
     far = F.col("exact") | (F.col("tpl") < 0) | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(diagonals) > NEAR, F.lit(True))
-    grouped = votes.withColumn("group", F.sum(far.cast("int")).over(diagonals.rowsBetween(Window.unboundedPreceding, 0)))
+    free = ~F.col("exact") & (F.col("tpl") >= 0)
+    near = F.when(free, F.collect_list(F.struct("diagonal", "at")).over(diagonals.rangeBetween(0, NEAR)))
+    grouped = votes.withColumn("group", F.sum(far.cast("int")).over(diagonals.rowsBetween(Window.unboundedPreceding, 0))).withColumn("part", _best_range(near))
     merged = grouped.groupBy(*key, "n_words", "tpl", "label", "exact", "t_words", "group").agg(
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min(F.col("diagonal") + F.array_min("at")).alias("first"), F.max(F.col("diagonal") + F.array_max("at") + K - 1).alias("last"), F.max("rows").alias("rows")
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min(F.col("diagonal") + F.array_min("at")).alias("first"), F.max(F.col("diagonal") + F.array_max("at") + K - 1).alias("last"), F.max("rows").alias("rows"), F.collect_list("part").alias("parts")
     )
-    share = F.size("at") / (F.col("t_words") - K + 1)
-    fits = F.when(F.col("exact"), share == 1).otherwise((share >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("t_words")))
-    spans = merged.where((F.col("tpl") < 0) | fits).withColumn("share", share)
+    whole = F.struct((F.size("at") / (F.col("t_words") - K + 1)).alias("share"), "first", "last")
+    found = F.when(F.col("tpl") < 0, F.array(whole)).when(F.col("exact"), F.filter(F.array(whole), lambda x: x.share == 1)).when(_short(whole), F.filter(F.array(whole), lambda x: x.share >= COVER)).otherwise(F.col("parts"))
+    spans = merged.withColumn("found", F.explode(found)).select(*key, "n_words", "tpl", "label", "exact", "rows", "found.*")
 
     own, exact = F.col("tpl") < 0, F.col("exact") & (F.col("tpl") >= 0)
     out = spans.groupBy(*key).agg(

@@ -134,8 +134,11 @@ dg AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] A
 votes AS (SELECT doc_id, tpl, label, exact, t_words, pos - tpos AS diagonal, list(DISTINCT tpos) AS spots FROM dg JOIN tg USING (run) GROUP BY ALL),
 far AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) > {licenses.NEAR}, true) THEN 1 ELSE 0 END AS far FROM votes),
 g AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS grp FROM far),
-m AS (SELECT doc_id, tpl, label, exact, t_words, len(list_distinct(flatten(list(spots)))) / (t_words - 2) AS share, min(diagonal + list_min(spots)) AS first, max(diagonal + list_max(spots) + 2) AS last FROM g GROUP BY doc_id, tpl, label, exact, t_words, grp),
-s AS (SELECT * FROM m WHERE CASE WHEN exact THEN share = 1 ELSE share >= {licenses.COVER} AND last - first + 1 <= {licenses.STRETCH} * t_words END),
+m AS (SELECT doc_id, tpl, label, exact, t_words, grp, len(list_distinct(flatten(list(spots)))) / (t_words - 2) AS share, min(diagonal + list_min(spots)) AS first, max(diagonal + list_max(spots) + 2) AS last FROM g GROUP BY doc_id, tpl, label, exact, t_words, grp),
+long AS (SELECT doc_id, tpl, grp FROM m WHERE NOT exact AND last - first + 1 > {licenses.STRETCH} * t_words),
+p AS (SELECT a.doc_id, a.tpl, a.label, a.exact, a.t_words, len(list_distinct(flatten(list(b.spots)))) / (a.t_words - 2) AS share, min(b.diagonal + list_min(b.spots)) AS first, max(b.diagonal + list_max(b.spots) + 2) AS last
+  FROM g a JOIN long USING (doc_id, tpl, grp) CROSS JOIN range(0, {licenses.NEAR} + 1) AS r(width) JOIN g b ON a.doc_id = b.doc_id AND a.tpl = b.tpl AND b.diagonal BETWEEN a.diagonal AND a.diagonal + r.width GROUP BY a.doc_id, a.tpl, a.label, a.exact, a.t_words, a.diagonal, r.width),
+s AS (SELECT * FROM (SELECT * EXCLUDE (grp) FROM m UNION ALL FROM p) WHERE CASE WHEN exact THEN share = 1 ELSE share >= {licenses.COVER} AND last - first + 1 <= {licenses.STRETCH} * t_words END),
 x AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM s GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN x USING (doc_id)"""
 

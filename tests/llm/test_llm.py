@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import oracle
 import public_tokenizers
@@ -483,6 +484,21 @@ def test_license_phrases_and_diagonals(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_notices_with_repeated_parts(spark):
+    gpl, tail = "This work is licensed under the GNU General Public License, version 3.", " GNU General Public License, version 3."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    edited = gpl.replace("the GNU", "the free GNU")
+    rows = [(1, gpl + tail * 2), (2, mpl + " Mozilla Public License, v. 2.0." * 2), (3, tail * 5), (4, gpl + tail * 5000), (5, edited + tail * 3), (6, gpl), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.spans) for r in licenses.scan(d).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "gpl-3", 2: "mpl-2", 3: "", 4: "gpl-3", 5: "gpl-3", 6: "gpl-3", 7: ""}
+    assert [tuple(x) for x in got[1][1]] == [("gpl-3", 0, 11, 1.0)] and [tuple(x) for x in got[6][1]] == [("gpl-3", 0, 11, 1.0)]
+    c = duckdb.connect()
+    c.register("documents", d.toPandas())
+    want = c.execute(queries.oracle_sql()["op7_licenses"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in licenses.scan(d).drop("spans").collect())
+
+
 def test_license_plan_stays_in_the_jvm(spark, capsys):
     licenses.scan(spark.read.parquet(f"{SF}/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out
