@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, embed_dedup, hnsw, html_text, langid, licenses, minhash, packing, quality, warc
+from quarrylight.llm import bpe, embed_dedup, hnsw, html_text, langid, licenses, merkle, minhash, packing, pq, quality, sharding, warc
 from quarrylight.llm.common import read, small_batches
 from quarrylight.session import ship
 
@@ -87,6 +87,29 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
 
 
+#: Shards of op11_rendezvous: all of one weight, and one more.
+SHARDS = [1.0] * 8
+GROWN_SHARDS = [1.0] * 9
+
+
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(read(spark, sf_dir, "documents"), SHARDS, GROWN_SHARDS)
+
+
+#: What a leaf of op12_merkle is made of, and the letters that tampering changes.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(read(spark, sf_dir, "documents"), LEAF, {"text": F.translate("text", UPPER, LOWER)}, F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return pq.compress(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +128,9 @@ def queries() -> dict:
         "op8_probminhash": op8_probminhash,
         "op9_hnsw": op9_hnsw,
         "op10_best_fit": op10_best_fit,
+        "op11_rendezvous": op11_rendezvous,
+        "op12_merkle": op12_merkle,
+        "op13_filtering_lloyd": op13_filtering_lloyd,
         "pipeline": pipeline,
     }
 
@@ -143,5 +169,59 @@ x AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN x USING (doc_id)"""
 
 
+#: CRC-32 by bytes in SQL: ``crc_table`` is a relation of one row, crc_of() reads it.
+CRC_TABLE = "(SELECT list(t ORDER BY n) AS crc_table FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM (SELECT unnest(range(256)) AS n)))"
+
+
+def crc_of(text: str) -> str:
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {values}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+RENDEZVOUS_SQL = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {crc_of("coalesce(text, '')")} AS text_crc32, coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') AS key FROM documents, {CRC_TABLE}),
+t AS (SELECT *, list_transform(range({len(GROWN_SHARDS)}), lambda n: -ln((('0x' || substr(md5(n || '|' || key), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS times FROM d),
+s AS (SELECT *, list_position(times[1:{len(SHARDS)}], list_min(times[1:{len(SHARDS)}]))::INTEGER - 1 AS shard, list_position(times, list_min(times))::INTEGER - 1 AS grown_shard FROM t)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
+
+
+def _merkle_sql(inner: int = 7, outer: int = 5) -> str:
+    """Levels written out: enough for 16^7 rows a source and 16^5 sources. A group of one node stays as it is."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ["doc_id", "source", "lang", "n_chars", text]) + ")"
+    parts = [
+        f"d AS (SELECT doc_id, source AS g, {leaf('text')} AS leaf, CASE WHEN {crc_of('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS bad FROM documents, {CRC_TABLE})",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d)",
+        "i0 AS (SELECT g, pos, n, leaf AS digest FROM r)",
+    ]
+    up = lambda own, below, g: f"{own} AS (SELECT {g}, pos // 16 AS pos, (max(n) + 15) // 16 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE max(digest) END AS digest, CASE WHEN max(n) > 1 THEN list(digest ORDER BY pos) END AS run FROM {below} GROUP BY {g}, pos // 16)"
+    parts += [up(f"i{k}", f"i{k - 1}", "g") for k in range(1, inner + 1)]
+    parts += [f"o0 AS (SELECT 0 AS z, g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, digest FROM i{inner})"]
+    parts += [up(f"o{k}", f"o{k - 1}", "z") for k in range(1, outer + 1)]
+    join = "".join(f" JOIN i{k} ON i{k}.g IS NOT DISTINCT FROM r.g AND i{k}.pos = r.pos // {16 ** k}" for k in range(1, inner + 1)) + " JOIN o0 ON o0.g IS NOT DISTINCT FROM r.g" + "".join(f" JOIN o{k} ON o{k}.pos = o0.pos // {16 ** k}" for k in range(1, outer + 1))
+    steps = [(f"i{k}.run", f"r.pos // {16 ** (k - 1)} % 16") for k in range(1, inner + 1)] + [(f"o{k}.run", f"o0.pos // {16 ** (k - 1)} % 16") for k in range(1, outer + 1)]
+    before, after = (lambda run, at: f"array_to_string({run}[1:{at}], '')"), (lambda run, at: f"array_to_string({run}[{at} + 2:], '')")
+    proof = " || ".join(f"CASE WHEN {run} IS NULL THEN '' ELSE {before(run, at)} || {after(run, at)} END" for run, at in steps)
+    parts += [f"p AS (SELECT r.doc_id, r.leaf, i{inner}.digest AS subroot, o{outer}.digest AS root, sha256({proof}) AS proof_sha256, coalesce(r.bad, r.leaf) AS f0, {', '.join(f'{run} AS run{k}, {at} AS at{k}' for k, (run, at) in enumerate(steps))} FROM r{join})"]
+    for k in range(len(steps)):
+        parts += [f"f{k + 1} AS (SELECT * EXCLUDE (f0), CASE WHEN run{k} IS NULL THEN f0 ELSE sha256({before(f'run{k}', f'at{k}')} || f0 || {after(f'run{k}', f'at{k}')}) END AS f0 FROM {'p' if not k else f'f{k}'})"]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, f0 AS folded_root, f0 = root AS verified FROM f{len(steps)}"
+
+
+def _pq_sql() -> str:
+    """Rounds written out: every part against every entry."""
+    parts = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, q, e[q * (len(e) // {pq.PARTS}) + 1:(q + 1) * (len(e) // {pq.PARTS})] AS x FROM v, (SELECT unnest(range({pq.PARTS})) AS q))",
+        f"c0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {pq.ENTRIES}))",
+    ]
+    near = lambda k: f"a{k} AS (SELECT vec_id, label, q, any_value(x) AS x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, entry := entry)) AS best FROM p JOIN c{k} USING (q) GROUP BY vec_id, label, q)"
+    for k in range(pq.ROUNDS):
+        parts += [near(k), f"m{k} AS (SELECT q, entry, list(floor(s / n)::BIGINT ORDER BY place) AS c FROM (SELECT q, best.entry AS entry, place, sum(x[place]) AS s, count(*) AS n FROM a{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS place) GROUP BY ALL) GROUP BY q, entry)"]
+        parts += [f"c{k + 1} AS (SELECT c{k}.q, c{k}.entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (q, entry))"]
+    last = pq.ROUNDS
+    parts += [near(last), f"r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY q) AS code, sum(best.d)::BIGINT AS error FROM a{last} GROUP BY vec_id, label)"]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY q, entry)) FROM c{last}) AS codebooks_sha256 FROM r"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op7_licenses": _license_sql()}
+    return {"op5_warc": WARC_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op7_licenses": _license_sql(), "op11_rendezvous": RENDEZVOUS_SQL, "op12_merkle": _merkle_sql(), "op13_filtering_lloyd": _pq_sql()}
