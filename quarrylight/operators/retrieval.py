@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions.scoring import clamp, dot, term_weight, total_weight
+from quarrylight.operators.nearest import nearest
 from quarrylight.shared import saved
 
 K1, B = 1.5, 0.75
@@ -67,12 +68,17 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col
 
 
 def lexical(docs: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0, document: str | None = None, floor: float = 0.05) -> DataFrame:
-    """``qid``, ``rank``, ``doc_id``, ``score``: BM25 divided by 8, 1 at most, the ``k`` best over the floor. A ``document`` restricts the candidates before they are scored."""
+    """``qid``, ``rank``, ``doc_id``, ``score`` of the ``k`` best by BM25, every pair scored. A ``document`` restricts the candidates before they are scored."""
     if document is not None:
         docs = docs.where(F.col("source") == document)
-    scored = bm25(docs, questions).withColumn("score", F.round(F.least(F.lit(1.0), F.col("bm25") / 8), 6))
-    best = top(scored, k, "score", "doc_id", by="qid")
-    return best.where(F.col("score") >= max(floor, threshold * 0.45)).select("qid", "rank", "doc_id", "score")
+    scored = bm25(docs, questions).withColumn("order", F.round("bm25", 5))
+    return hits(top(scored, k, "order", "doc_id", by="qid"), threshold, floor)
+
+
+def hits(ranked: DataFrame, threshold: float = 0.0, floor: float = 0.05) -> DataFrame:
+    """Documents ranked by ``bm25`` with their ``score``, BM25 divided by 8 and 1 at most, where that is over the floor."""
+    scored = ranked.withColumn("score", F.round(F.least(F.lit(1.0), F.col("bm25") / 8), 6))
+    return scored.where(F.col("score") >= max(floor, threshold * 0.45)).select("qid", "rank", "doc_id", "score")
 
 
 def top(df: DataFrame, k: int, score: str, tie: str, by: str | None = None, name: str = "rank") -> DataFrame:
@@ -86,24 +92,9 @@ def cosine(a: Column, b: Column) -> Column:
     return clamp(F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
 
 
-def cosines(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``qid``, ``vec_id``, ``cosine`` (clamped to 0 to 1) of query vectors (``qid``, ``qv``) against all vectors."""
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), norm(vector_col).alias("vn"))
-    pairs = v.crossJoin(queries.select("qid", "qv", norm("qv").alias("qn")))
-    cosine = F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("vn"))
-    return pairs.select("qid", "vec_id", clamp(F.coalesce(cosine, F.lit(0.0))).alias("cosine"))
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``qid``, ``rank``, ``vec_id``, ``score``: exact cosine top-k of query vectors (``qid``, ``qv``) against all vectors.
-
-    The stated query set is compared with all rows; Catalyst broadcasts the queries if they are small, and partial limits
-    leave k rows per query and task for the merge.
-    """
-    scored = cosines(vectors, queries, id_col, vector_col).select("qid", "vec_id", F.round("cosine", 6).alias("score"))
-    best = top(scored, k, "score", "vec_id", by="qid")
-    return best.where(F.col("score") >= threshold).select("qid", "rank", "vec_id", "score")
+    """``qid``, ``rank``, ``vec_id``, ``score``: exact cosine top-k of query vectors (``qid``, ``qv``) against all vectors, those of ``threshold`` or more."""
+    return nearest(vectors, queries, k, id_col, vector_col).where(F.col("score") >= threshold)
 
 
 def fused(dense_ranked: DataFrame, lexical_ranked: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:

@@ -14,7 +14,7 @@ from quarrylight.plans import normal as N
 from quarrylight.queries.base import query, read
 from quarrylight.queries.extract import SENT, SQ
 from quarrylight.queries.normal import NORMAL, all_questions
-from quarrylight.queries.retrieval import BM25, qterms_sql, questions
+from quarrylight.queries.retrieval import BM25, lexical, qterms_sql, questions
 
 #: Sources of an answer.
 SOURCES = 5
@@ -30,7 +30,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, rank, pos)
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the SOURCES documents that retrieval finds best; only their texts are joined."""
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    return A.extractive(R.lexical(docs, q, SOURCES).join(docs.select("doc_id", "text"), "doc_id"), q)
+    return A.extractive(lexical(spark, sf_dir, q, SOURCES).join(docs.select("doc_id", "text"), "doc_id"), q)
 
 
 _ASKED = SQ.format("coalesce(question, '')")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.operators import postings as P
 from quarrylight.operators import retrieval as R
 from quarrylight.queries.base import query, read, sql_list
+from quarrylight.shared import kept
 
 TOK = r"list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\-]{{1,}}'), lambda x: lower(x))"
 QTERMS = (
@@ -48,8 +50,8 @@ scores AS (
   SELECT qid, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / greatest(1.0, avgdl)))) AS bm25
   FROM tf JOIN q USING (term) JOIN df USING (term), stats GROUP BY qid, doc_id),
 lex AS (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
-  FROM (SELECT qid, doc_id, round(least(1.0, bm25 / 8), 6) AS score FROM scores))
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 5) DESC, doc_id) AS rank
+  FROM (SELECT qid, doc_id, bm25, round(least(1.0, bm25 / 8), 6) AS score FROM scores))
 """
 
 COS = "greatest(0.0, least(1.0, coalesce(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0.0)))"
@@ -68,6 +70,26 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
+#: Indexes of this session by the files that they were made of.
+_indexes: dict[tuple, P.PostingsIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> P.PostingsIndex:
+    """The stored index of ``documents``: made once for these files as they are, then used by every query."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    changed = raw.select(F.max("_metadata.file_modification_time")).collect()[0][0]
+    key = (spark.sparkContext.applicationId, changed, *sorted(raw.inputFiles()))
+    if key not in _indexes or not kept(spark, _indexes[key].path):
+        _indexes[key] = P.build(read(spark, sf_dir, "documents"))
+    return _indexes[key]
+
+
+def lexical(spark: SparkSession, sf_dir: str, q: DataFrame, k: int, threshold: float = 0.0, floor: float = 0.05) -> DataFrame:
+    """As R.lexical() over ``documents``, from the stored index."""
+    found = index_of(spark, sf_dir).topk(q, k).hits
+    return R.hits(found.withColumn("doc_id", F.col("doc_id").cast("long")), threshold, floor)
+
+
 @query("inverted_index_postings", POSTINGS)
 def inverted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.postings(read(spark, sf_dir, "documents"))
@@ -90,7 +112,20 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_topk", BM25 + "SELECT qid, rank::INT AS rank, doc_id, score, 'S' || rank AS label FROM lex WHERE rank <= 10 AND score >= 0.05")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.labelled(R.lexical(read(spark, sf_dir, "documents"), questions(spark, sf_dir), 10))
+    return R.labelled(lexical(spark, sf_dir, questions(spark, sf_dir), 10))
+
+
+#: One source's documents are deleted, another's are replaced by their text and the source's name.
+CHANGED = "SELECT doc_id, CASE WHEN source = 'src3' THEN text || ' ' || source || ' revised' ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src2'"
+
+
+@query("bm25_after_changes", BM25.replace("FROM documents)", "FROM now)").replace("WITH tok", f"WITH now AS ({CHANGED}), tok") + "SELECT qid, rank::INT AS rank, doc_id, score FROM lex WHERE rank <= 10 AND score >= 0.05")
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index to which deletions and replacements were applied gives what one made anew would."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = P.build(docs).delete(docs.where("source = 'src2'")).upsert(docs.where("source = 'src3'").select("doc_id", F.concat("text", F.lit(" "), "source", F.lit(" revised")).alias("text")))
+    found = index.topk(questions(spark, sf_dir), 10).hits.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return R.hits(found)
 
 
 @query("bm25_document_filter", BM25.replace("FROM documents)", "FROM documents WHERE source = 'src3')") + "SELECT qid, rank::INT AS rank, doc_id, score FROM lex WHERE rank <= 10 AND score >= 0.05")
@@ -126,7 +161,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     d = R.dense(vectors, asked, max(k * 6, 30), threshold * 0.5).withColumnRenamed("vec_id", "id")
-    b = R.lexical(read(spark, sf_dir, "documents"), q, max(k * 6, 30), threshold * 0.3).withColumnRenamed("doc_id", "id")
+    b = lexical(spark, sf_dir, q, max(k * 6, 30), threshold * 0.3).withColumnRenamed("doc_id", "id")
     return R.fused(d, b, k, threshold)
 
 
@@ -156,7 +191,7 @@ fr AS (SELECT *, round(greatest(0.0, least(1.0, f)), 6) AS fastscore FROM fast)
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    c = R.lexical(docs, q, 30).select("qid", "doc_id", F.col("score").alias("base"))
+    c = lexical(spark, sf_dir, q, 30).select("qid", "doc_id", F.col("score").alias("base"))
     c = c.join(docs.select("doc_id", "text", "source"), "doc_id").join(q, "qid")
     return R.fast_rerank(c, F.col("question"), F.col("source"), F.col("text"), F.col("base"))
 
@@ -181,5 +216,5 @@ SELECT qid, term, df FROM h JOIN n USING (qid) WHERE df <= greatest(1, floor(n *
 )
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    c = R.lexical(docs, q, 30).join(docs.select("doc_id", "text"), "doc_id").join(q, "qid")
+    c = lexical(spark, sf_dir, q, 30).join(docs.select("doc_id", "text"), "doc_id").join(q, "qid")
     return R.rare_terms(c.select("qid", T.query_terms(F.col("question")).alias("terms"), T.query_terms(F.col("text")).alias("text_terms")))

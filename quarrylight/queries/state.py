@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import evaluate as V
 from quarrylight.operators import state as S
 from quarrylight.queries.base import query, read
-from quarrylight.queries.retrieval import BM25, questions
+from quarrylight.queries.retrieval import BM25, lexical, questions
 
 
 @query("last_n_turns", "SELECT conv_id, turn, role, back::INT AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 8")
@@ -101,10 +101,8 @@ round(coalesce(avg(CASE WHEN should THEN CASE WHEN first <= 5 THEN 1.0 ELSE 0.0
 )
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold: the first document that holds the passage; every seventh question is one that nothing should answer."""
-    from quarrylight.operators import retrieval as R
-
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    ranked = R.lexical(docs, q, 10).withColumnRenamed("doc_id", "id")
+    ranked = lexical(spark, sf_dir, q, 10).withColumnRenamed("doc_id", "id")
     run = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(5)])
     words = F.split("text", "[ \n]+")
     places = docs.select("doc_id", "text", words.alias("w")).where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: run(F.col("w"), i)))).alias("h"))

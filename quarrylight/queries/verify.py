@@ -14,7 +14,7 @@ from quarrylight.operators import retrieval as R
 from quarrylight.operators import verify as V
 from quarrylight.queries.base import query, read, sql_list, sql_values
 from quarrylight.queries.extract import SQ
-from quarrylight.queries.retrieval import BM25, COS, questions
+from quarrylight.queries.retrieval import BM25, COS, lexical, questions
 
 CT = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9][a-z0-9''\\-]{{{{2,}}}}'), lambda t: NOT list_contains({sql_list(T.CLAIM_STOPWORDS)}, t)))"
 SUPPORT = f"""
@@ -175,7 +175,7 @@ r AS (SELECT *, round(greatest(0.0, least(1.0, raw)), 6)::DOUBLE AS score FROM s
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each question the POOL documents that retrieval finds best, with their score and, where both have one, the cosine of the vectors with their numbers. Only the pool's texts are joined."""
     q, docs, vectors = questions(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    pool = R.lexical(docs, q, POOL, floor=0.0).select("qid", F.col("doc_id").alias("item"), F.col("score").alias("retrieval"))
+    pool = lexical(spark, sf_dir, q, POOL, floor=0.0).select("qid", F.col("doc_id").alias("item"), F.col("score").alias("retrieval"))
     asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     theirs = pool.join(asked, "qid", "left").join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), "item", "left")
     kinds = F.array(*[F.struct(F.lit(st).alias("source_type"), F.lit(au).alias("authority")) for st, au in (("local", "internal"), ("web", "news"), ("ai", "model"), ("web", "scientific_paper"))])

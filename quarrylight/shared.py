@@ -46,6 +46,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(spark: SparkSession, path: str) -> bool:
+    """Whether new_path() gave ``path`` to this application and nothing has deleted it since."""
+    return path in _written.get(spark.sparkContext.applicationId, [])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
