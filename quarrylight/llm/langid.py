@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -26,6 +26,8 @@ DICT_BYTES = 512 * 1024
 PIECE = 800
 SAMPLE_PIECES = 1000
 LANGUAGES = 256
+#: Characters that come to the driver at most.
+SAMPLE_CHARS = 40_000_000
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -77,21 +79,25 @@ class LanguageModel:
         return tied[0], min(1.0, margin), margin < self.narrow
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dict_bytes: int = DICT_BYTES, pieces: int = SAMPLE_PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> LanguageModel:
-    """Dictionaries from a bounded sample of the labelled rows of ``df``: whole texts are cut into pieces of ``piece`` characters, and each language gets the ``pieces`` different ones with the smallest hash of ``order_col`` and piece number, as many as fit ``dict_bytes``.
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, pieces: int = SAMPLE_PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> LanguageModel:
+    """Dictionaries from a bounded sample of the labelled rows of ``df``: whole texts are cut into pieces of ``piece`` characters, and each language gets the ``pieces`` different ones with the smallest hash of text and piece number, as many as fit ``dict_bytes``.
 
-    Every part of a text is as likely to be drawn as any other. Rows with a null text or language are left out. At most
-    ``languages`` languages are learned, those of the most rows, so a dirty column can't fill the driver.
+    Every part of a text is as likely to be drawn as any other; ids say nothing, copies of a text count once. Rows with a null
+    text or language are left out. At most ``languages`` languages are learned, those of the most rows, so a dirty column
+    can't fill the driver; with many of them each gets fewer pieces, so that no more than SAMPLE_CHARS characters are drawn.
     """
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     n_pieces = F.ceil(F.char_length("text") / piece).cast("int")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(n_pieces).alias("pieces")).where("pieces > 0").orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = rows.where(n_pieces > 0).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return LanguageModel({})
-    share = F.create_map([F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * pieces / r["pieces"]))])
-    each = rows.where(n_pieces > 0).select("lang", "text", F.explode(F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(i.alias("at"), F.xxhash64("id", i).alias("h")))).alias("x")).select("lang", "text", "x.*")
-    low = F.pmod("h", F.lit(1 << 31)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 31)  # about twice the sample, whatever the table's size
-    found = each.where(low).groupBy("lang", F.substring("text", F.col("at") * piece + 1, F.lit(piece)).alias("text")).agg(F.min("h").alias("h")).collect()
+    most = max(1, min(2 * pieces, SAMPLE_CHARS // (len(counts) * piece)))
+    known = rows.where(F.col("lang").isin([r.lang for r in counts]) & (n_pieces > 0)).withColumn("th", F.xxhash64("text"))
+    numbers = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(i.alias("at"), F.xxhash64("th", i).alias("h")))
+    hashes = known.select("lang", F.explode(F.transform(numbers, lambda x: x["h"])).alias("h")).distinct()  # numbers alone are shuffled
+    chosen = hashes.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= most).select("lang", "h")  # languages * most rows
+    each = known.select("lang", "text", F.explode(numbers).alias("x")).select("lang", "text", "x.*").join(F.broadcast(chosen), ["lang", "h"])
+    found = each.groupBy("lang", F.substring("text", F.col("at") * piece + 1, F.lit(piece)).alias("text")).agg(F.min("h").alias("h")).collect()
     drawn: dict[str, dict[bytes, None]] = {}
     size: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.h, r.text)):

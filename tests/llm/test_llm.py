@@ -137,6 +137,16 @@ def test_language_sample_is_bounded_and_from_everywhere(spark):
     assert at[-1] > len(long) / 2  # not only what stands first
 
 
+def test_language_fit_on_one_id(spark):
+    """Many texts under one id are drawn like any others, copies count once, and what comes to the driver is bounded."""
+    base = spark.range(6000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("the words of text "), F.md5(F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("immer dieselben Worte").alias("text"), F.lit("de").alias("lang"))
+    m = langid.fit(base.union(other), pieces=100)
+    assert set(m.dictionaries) == {"en", "de"} and m.dictionaries["en"].count(b"the words") == 100 and m.dictionaries["de"].count(b"immer") == 1
+    assert m.predict("the words of text")[0] == "en"
+    assert langid.fit(base.repartition(7).union(other), pieces=100).dictionaries == m.dictionaries
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
@@ -195,9 +205,33 @@ def test_html_windows_decide():
     assert nonzero != want and "Imprint" in nonzero and "One link" not in nonzero
     assert html_text.extract(page, window=1).split("\n") != want
     # and in an article: a run of links is a menu, one link is not
-    page = f"<article><h1>Head</h1><p>a</p><div><a href=x>One link</a></div><p>b</p><ul>{menu}</ul><p><a href=x>All link</a></p></article>"
-    assert html_text.extract(page).split("\n") == ["Head", "a", "One link", "b", "All link"]
-    assert "Entry" in html_text.extract(page, window=9)
+    page = f"<article><ul>{menu}</ul><h1>Head</h1><p>a</p><div><a href=x>One link</a></div><p>b</p><ul>{menu}</ul></article>"
+    assert html_text.extract(page).split("\n") == ["Head", "a", "One link", "b"]
+
+
+LINKS = "".join(f"<li><a href=x>Source {i}</a></li>" for i in range(4))
+SOURCES = "\n".join(f"Source {i}" for i in range(4))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><body><article><p>Real text</p></article>", "Real text"),
+    ("<html><head><title>T</title><meta x=y><link rel=z><p>Real text", "Real text"),
+    ("<head><title>T</title>Bare text<p>More</p>", "Bare text\nMore"),
+    ("<body><nav><a href=x>Menu</a><article><p>Body</p></article><nav><a href=x>More</a></nav>", "Body"),
+    ("<body><form><input name=q><article><p>Body</p></article>", "Body"),
+    ("<body><form id=all><article><p>Body</p></article></form>", "Body"),
+    ("<main><p>Body</p></main><aside><article><p>Teaser</p></article></aside>", "Body"),
+    ("<article><p>Body</p></article><section id=comments><article class=comment><p>Reader says hi</p></article></section>", "Body"),
+    ("<article><p>Body</p><article class='user-comment'><p>Reader</p></article></article>", "Body"),
+    ("<article><p>Body</p></article><section class=related><article><p>Teaser</p></article></section>", "Body"),
+    ("<div class='comments-layout'><article><p>Only one</p></article></div>", "Only one"),
+    *[(f"<article><p>Body</p><div class={name}><p>Not this</p></div><p>End</p></article>", "Body\nEnd") for name in ("google-ads", "story-ad", "related-articles", "user-comments", "reader-comments")],
+    ("<article><p>Body</p><pre><code><span class='token comment'># why</span> x = 1</code></pre></article>", "Body\n# why x = 1"),
+    (f"<article><p>Body</p><ul>{LINKS}</ul><p>End</p></article>", f"Body\n{SOURCES}\nEnd"),
+    (f"<body><div>Paris, 3 May</div><div>By A. Writer</div><p>{'A long first block of the text. ' * 5}</p>", f"Paris, 3 May\nBy A. Writer\n{('A long first block of the text. ' * 5).strip()}"),
+])
+def test_html_of_ordinary_pages(page, want):
+    assert html_text.extract(page) == want
 
 
 def test_html_keeps_what_is_shown():
@@ -250,6 +284,19 @@ def test_html_keeps_the_documents(spark):
     assert seen > 50 and same >= 0.95 * seen
 
 
+def test_html_windows_find_the_article(spark):
+    """The given pages without the marks of article and footer, and with the menu repeated in between: the windows alone drop the imprint, which has a length as the text has, wherever it is shorter than a surge."""
+    same = plain = n = short = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        menu = re.search(r"<ul>.*?</ul>", r.html)[0]
+        page = re.sub(r"<(/?)(?:article|footer)>", r"<\1div>", r.html.replace("</article>", "</article>" + menu))
+        n += 1
+        short += html_text.lines(page)[-1].length < html_text.SURGE
+        same += html_text.extract(page) == html_text.extract(r.html)
+        plain += "\n".join(x.text for x in html_text.lines(page) if x.length and not x.off) == html_text.extract(r.html)
+    assert plain == 0 and n / 4 < short <= same, (plain, short, same, n)
+
+
 # Quality
 
 
