@@ -22,7 +22,7 @@ from quarrylight.operators.retrieval import B, K1, MOST_TERMS, question_terms
 from quarrylight.shared import new_path, saved
 
 #: Levels of impact, documents of a segment at most, segments of a small table.
-LEVELS, SEGMENT_DOCS, LEAST_SEGMENTS = 32, 200_000, 16
+LEVELS, SEGMENT_DOCS, LEAST_SEGMENTS = 32, 32_768, 32
 #: Postings of a question that are read to learn a first k-th best score, and documents scored for it, as a multiple of k.
 SEED_POSTINGS, SEED_DOCS = 4000, 3
 #: Blocks are read until what is left is worth less than this share of the k-th best score: less leaves fewer documents to score in full, more reads fewer blocks.
@@ -66,15 +66,15 @@ class PostingsIndex:
         n_docs, n_tokens, n_dead = 0, 0, 0
         if counted is not None:
             rows = counted.withColumn("key", F.monotonically_increasing_id()).withColumn("segment", F.pmod(F.xxhash64("key"), F.lit(segments)).cast("int"))
-            rows.select("doc_id", "key", "dl", "terms", "segment").write.partitionBy("segment").parquet(f"{self.path}/forward/gen={gen}")
+            rows.select("doc_id", "key", "dl", "terms", "segment").write.parquet(f"{self.path}/forward/gen={gen}")
             own = self._read("forward").where(F.col("gen") == gen)
             n_docs, n_tokens = own.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).collect()[0]
             base = base or (max(1.0, n_tokens / n_docs) if n_docs else 1.0)
-            each = own.select("segment", "key", "dl", F.inline("terms")).withColumn("impact", impact(F.col("n"), F.col("dl"), base))
+            # whole documents travel to their segment, where their postings are grouped: a fraction of what the postings one by one would be
+            each = own.select("segment", "key", "dl", "terms").repartition("segment").select("segment", "key", "dl", F.inline("terms")).withColumn("impact", impact(F.col("n"), F.col("dl"), base))
             each = each.withColumn("level", F.least(F.lit(LEVELS - 1), F.floor(F.col("impact") * LEVELS)).cast("int"))
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            blocks = each.repartition(n, "term", "level", "segment").groupBy("term", "level", "segment").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("tf"), "dl")).alias("docs"), F.max("impact").alias("top"))  # a segment's documents at most
-            blocks.sortWithinPartitions("term", "level").write.parquet(f"{self.path}/blocks/gen={gen}")
+            blocks = each.groupBy("segment", "term", "level").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("tf"), "dl")).alias("docs"), F.max("impact").alias("top"))  # a segment's documents at most
+            blocks.write.parquet(f"{self.path}/blocks/gen={gen}")
             made = self._read("blocks").where(F.col("gen") == gen)
             made.groupBy("term", "level").agg(F.sum(F.size("docs")).cast("long").alias("n"), F.max("top").alias("top")).write.parquet(f"{self.path}/levels/gen={gen}")
         if dead is not None:

@@ -52,7 +52,7 @@ v AS (SELECT claim_id, coalesce(best, 0.0) AS best, coalesce(supporting, '') AS
 @query("claim_support", VERDICT + "SELECT * FROM v")
 def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = claims_of(spark, sf_dir)
-    return V.verified(c, V.support(c, sources_of(spark, sf_dir)))
+    return V.verified(c, V.best_support(c, sources_of(spark, sf_dir)))
 
 
 @query("claim_summary", VERDICT + "SELECT count(*) AS n, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'weakly_supported') AS weak, count(*) FILTER (verdict = 'unsupported') AS unsupported FROM v")
@@ -100,10 +100,11 @@ o AS (SELECT claim_id, label, overlap, confidence, CASE WHEN confidence < 0.28 T
 @query("claim_comparison", _BEST + " SELECT * FROM o")
 def claim_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim against the best sentence of every source that shares a term, by shared terms or by shared entities, base score 0.8."""
-    c = claims_of(spark, sf_dir).select("claim_id", "claim", V.claim_entities(F.col("claim")).alias("entities"))
-    b = V.best_sentences(c, sources_of(spark, sf_dir)).join(F.broadcast(c) if c.count() <= MOST_CLAIMS else c, "claim_id")
-    b = b.withColumn("confidence", F.round(F.greatest("overlap", V.entity_score(F.col("entities"), F.col("sentence"))) * 0.82 + F.lit(0.8 * 0.18), 6))
-    return b.select("claim_id", "label", "overlap", "confidence", V.support_label(F.col("claim"), F.col("sentence"), F.col("confidence")).alias("support"))
+    c = claims_of(spark, sf_dir).select("claim_id", "claim", F.transform(V.claim_entities(F.col("claim")), F.lower).alias("entities"), V.negated(F.col("claim")).alias("negates"))
+    own = c.drop("claim")
+    b = V.best_sentences(c, sources_of(spark, sf_dir)).join(F.broadcast(own) if own.count() <= MOST_CLAIMS else own, "claim_id")
+    b = b.withColumn("confidence", F.round(F.greatest("overlap", V.entity_score(F.col("entities"), F.col("low"))) * 0.82 + F.lit(0.8 * 0.18), 6))
+    return b.select("claim_id", "label", "overlap", "confidence", V.support_label(F.col("negates"), F.col("neg"), F.col("low") == "", F.col("confidence")).alias("support"))
 
 
 @query("claim_decision", _BEST + """, t AS (SELECT *, CASE hash_ WHEN 0 THEN 'local' WHEN 1 THEN 'web' ELSE 'ai' END AS stream FROM (SELECT *, length(label) % 3 AS hash_ FROM o WHERE support <> 'not_found')),
