@@ -1,10 +1,13 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosine verification, components.
 
 Equal vectors of a label are one *class*. Each class gets a key of some signs in each table; classes of one label that
-share a key of a table meet in a bucket. A bucket is cut into blocks of at most about ``BLOCK`` classes, and each pair of
-blocks is one group: the cosines of a block against another are one matrix product in double precision, from which only
-each class's number of links and what connects the blocks leave the task, never the pairs. A pair that shares keys in
-several tables counts in the first of them.
+share a key of a table meet in a bucket. Buckets are cut into blocks of at most about ``BLOCK`` classes and compared block
+against block by the classes' signatures, all their signs, which are all that travels once a table. Each class also has a
+home block of its label; where a bucket shows a pair that agrees in enough signs, the two go into the table of rows of the
+pair of their home blocks. Those rows get their vectors, once for each pair of home blocks however many tables showed it, and
+the cosines of a block against another are one matrix product in double precision, from which only each class's number of
+links and what connects the blocks leave the task, never the pairs. A pair of classes has one pair of home blocks, so it
+counts once.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ FILL = 64
 #: Probability at most that a pair at the threshold shares no key; it gives the number of tables.
 MISS = 0.0004
 BLOCK = 512
+#: Standard deviations by which two signatures may agree less than a pair at the threshold does on average.
+SIGMAS = 5.5
 SEED = 11
 
 
@@ -73,6 +78,18 @@ def _keyed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.mapInArrow(run, f"cls {kinds['cls']}, label {kinds['label']}, rep {kinds['rep']}, n long, dim int, vec binary, sig binary")
 
 
+def least_agreement(bits: int, cosine: float = COSINE) -> int:
+    """Signs of ``bits`` in which two vectors at ``cosine`` agree, less SIGMAS standard deviations."""
+    p = 1 - math.acos(cosine) / math.pi
+    return math.floor(bits * p - SIGMAS * math.sqrt(bits * p * (1 - p)))
+
+
+def _near(sig: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int, least: int) -> np.ndarray:
+    """(left, right) which pairs of signatures (rows, tables) agree in ``least`` signs or more."""
+    wide = ((sig[:, :, None] >> np.arange(bits)) & 1).astype(np.float32).reshape(len(sig), -1) * 2 - 1
+    return (wide[left] @ wide[right].T + wide.shape[1]) / 2 >= least
+
+
 def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row that each row reaches by the edges i-j."""
     root = np.arange(n)
@@ -87,8 +104,8 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(t: int, apart: bool, first: np.ndarray, vec: np.ndarray, sig: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of one pair of blocks (``apart``: ``first`` tells them apart; else one block against itself) of table ``t``: each row's links, copies counted, and the first row that it reaches here."""
+def _compare(apart: bool, first: np.ndarray, vec: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one pair of blocks (``apart``: ``first`` tells them apart; else one block against itself): each row's links, copies counted, and the first row that it reaches here."""
     x = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     left = np.flatnonzero(first) if apart else np.arange(len(x))
     right = np.flatnonzero(~first) if apart else left
@@ -98,12 +115,6 @@ def _compare(t: int, apart: bool, first: np.ndarray, vec: np.ndarray, sig: np.nd
     link = x[left] @ x[right].T >= cosine
     if not apart:
         np.fill_diagonal(link, False)
-    if t and link.any():
-        a, b = np.nonzero(link)
-        met = np.zeros(len(a), bool)
-        for k in range(0, len(a), 1 << 16):
-            met[k : k + (1 << 16)] = (sig[left[a[k : k + (1 << 16)]], :t] == sig[right[b[k : k + (1 << 16)]], :t]).any(1)
-        link[a[met], b[met]] = False
     if link.any():
         a, b = np.nonzero(link)
         a, b = left[a], right[b]
@@ -149,7 +160,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     keyed = saved(_keyed(classes, bits, tables), "keyed")
 
-    met = keyed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("label", "dim", t, F.substring(F.col("sig"), t * 4 + 1, F.lit(4))))).alias("t", "bucket"))
+    # 1. Buckets are compared by signatures alone, block against block; what is left are rows of the pairs of home blocks that hold a near pair.
+    homes = keyed.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("homes"))
+    light = keyed.join(homes, ["label", "dim"]).select("rep", "label", "dim", "sig", F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int").alias("home"))
+    met = light.select("rep", "home", "sig", F.xxhash64("label", "dim").alias("kind"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("label", "dim", t, F.substring(F.col("sig"), t * 4 + 1, F.lit(4))))).alias("t", "bucket"))
     bucket = ["t", "bucket"]
     sizes = met.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -157,32 +171,56 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         met.join(sizes, bucket)
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(*bucket, "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(keyed.select("rep", "n", "label", "dim", "vec", "sig"), "rep")
+        .select(*bucket, "rep", "home", "kind", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     kind = dict(keyed.dtypes)["rep"]
-    group = ["t", "bucket", "i", "j"]
+    group, least = ["t", "bucket", "i", "j"], least_agreement(bits * tables, cosine)
 
-    def compare(batches):
+    def candidates(batches):
         for g in _groups(batches, group):
-            rep, labels, dims = g.column("rep"), g.column("label").to_pylist(), g.column("dim").to_pylist()
-            if len(set(labels)) > 1 or len(set(dims)) > 1:  # two buckets with one hash
+            i, j, home, kinds = g.column("i")[0].as_py(), g.column("j")[0].as_py(), g.column("home").to_numpy(), g.column("kind").to_numpy()
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<i4").reshape(g.num_rows, -1)
+            first = g.column("block").to_numpy() == i
+            left = np.flatnonzero(first) if i != j else np.arange(g.num_rows)
+            right = np.flatnonzero(~first) if i != j else left
+            if not len(left) or not len(right):
+                continue
+            near = _near(sig, left, right, bits, least) & (kinds[left][:, None] == kinds[right][None])
+            if i == j:
+                np.fill_diagonal(near, False)
+            a, b = np.nonzero(near)
+            a, b = left[a], right[b]
+            low, high = np.minimum(home[a], home[b]), np.maximum(home[a], home[b])
+            each = np.unique(np.concatenate([np.stack([a, low, high]), np.stack([b, low, high])], 1), axis=1)
+            if each.shape[1]:
+                yield pa.RecordBatch.from_arrays([g.column("rep").take(pa.array(each[0])).combine_chunks(), pa.array(each[1].astype(np.int32)), pa.array(each[2].astype(np.int32))], names=["rep", "low", "high"])
+
+    sorted_ = dealt.repartition(*group).sortWithinPartitions(*group)
+    near = sorted_.mapInArrow(candidates, f"rep {kind}, low int, high int").distinct()
+
+    # 2. Each pair of home blocks gets the vectors of those rows, once, and is compared exactly.
+    pair = ["place", "low", "high"]
+    vectors = near.join(keyed.select("rep", "n", "label", "dim", "vec"), "rep").join(light.select("rep", "home"), "rep").withColumn("place", F.xxhash64("label", "dim"))
+
+    def compare(batches):
+        for g in _groups(batches, pair):
+            labels, dims = g.column("label").to_pylist(), g.column("dim").to_pylist()
+            if len(set(labels)) > 1 or len(set(dims)) > 1:  # two labels with one hash
                 parts = [g.filter(pa.array([x == d for x in zip(labels, dims)])) for d in sorted(set(zip(labels, dims)), key=str)]
             else:
                 parts = [g]
             for p in parts:
                 if p.num_rows < 2:
                     continue
-                rep, i, j = p.column("rep"), p.column("i")[0].as_py(), p.column("j")[0].as_py()
+                rep, i, j = p.column("rep"), p.column("low")[0].as_py(), p.column("high")[0].as_py()
                 vec = np.frombuffer(b"".join(p.column("vec").to_pylist()), "<f8").reshape(p.num_rows, -1)
-                sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), "<i4").reshape(p.num_rows, -1)
-                links, root = _compare(p.column("t")[0].as_py(), i != j, p.column("block").to_numpy() == i, vec, sig, p.column("n").to_numpy(), cosine)
+                links, root = _compare(i != j, p.column("home").to_numpy() == i, vec, p.column("n").to_numpy(), cosine)
                 hit = np.flatnonzero(links)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([rep.take(pa.array(hit)).combine_chunks(), pa.array(links[hit]), rep.take(pa.array(root[hit])).combine_chunks()], names=["rep", "links", "root"])
 
-    sorted_ = dealt.repartition(*group).sortWithinPartitions(*group)
-    found = saved(sorted_.mapInArrow(compare, f"rep {kind}, links long, root {kind}"), "found")
+    exact = vectors.repartition(*pair).sortWithinPartitions(*pair)
+    found = saved(exact.mapInArrow(compare, f"rep {kind}, links long, root {kind}"), "found")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select("rep", "root"), "rep", "root")

@@ -473,6 +473,23 @@ def test_embedding_links_equal_brute_force(spark):
     assert [(r.n_links, r.component_id) for r in twice] == [(1, 5), (1, 5)]
 
 
+def test_embedding_groups_of_thousands_of_links(spark):
+    """A group of 1,200 different vectors that are nearly all linked, a looser one and a hot copy: every link counts once, whatever blocks and tables show it."""
+    r = np.random.default_rng(8)
+    tight, loose = (r.normal(size=(1, 24)) + r.normal(scale=s, size=(n, 24)) for s, n in ((0.12, 1200), (0.35, 400)))
+    x = np.concatenate([tight, loose, np.repeat(tight[:1], 300, 0), r.normal(size=(200, 24))])
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(6)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.93
+    np.fill_diagonal(link, False)
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embed_dedup.near_duplicates(df, block=128).collect()}
+    root = embed_dedup._local_roots(len(x), *np.nonzero(link))
+    want = {i: (int(link[i].sum()), int(root[i])) for i in range(len(x))}
+    missed = sum(n for n, _ in want.values()) - sum(n for n, _ in got.values())
+    assert link.sum() > 500_000 and 0 <= missed <= 0.001 * link.sum()
+    assert all(0 <= want[i][0] - got[i][0] <= 0.02 * want[i][0] + 1 for i in want) and {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_hnsw_against_brute_force(spark):
     rows = vectors(900, 2) + AWKWARD
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, rank int")
