@@ -12,9 +12,9 @@ CLAIM_TOKEN = r"[a-z0-9][a-z0-9'\-]{2,}"
 WORD_TOKEN = r"[A-Za-z][A-Za-z0-9\-]{3,}"
 
 # Words without meaning for a question.
-QUERY_STOPWORDS = "about after also and answer are based can contains does document documents file files find for from have how into local more my of on say search source sources the there this what when where which who with your".split()
+QUERY_STOPWORDS = ["about", "after", "also", "and", "answer", "are", "based", "can", "contains", "does", "document", "documents", "file", "files", "find", "for", "from", "have", "how", "into", "local", "more", "my", "of", "on", "say", "search", "source", "sources", "the", "there", "this", "what", "when", "where", "which", "who", "with", "your"]
 # Words without meaning for a claim.
-CLAIM_STOPWORDS = "about also and are confidence document documents file from has have indexed into local page pages source summary that the this used with".split()
+CLAIM_STOPWORDS = ["about", "also", "and", "are", "confidence", "document", "documents", "file", "from", "has", "have", "indexed", "into", "local", "page", "pages", "source", "summary", "that", "the", "this", "used", "with"]
 
 
 def lit_array(values) -> Column:

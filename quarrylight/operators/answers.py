@@ -109,7 +109,7 @@ def requested_names(question: Column) -> Column:
     q = F.coalesce(question, F.lit(""))
     spelled = F.regexp_extract_all(q, F.lit(r"(?i)(?<![A-Za-z0-9_])([a-z0-9][a-z0-9._-]*\.(?:pdf|docx|pptx|txt|md|csv|tsv|png|jpg))(?![A-Za-z0-9_])"), F.lit(1))
     implied = F.regexp_extract_all(q, F.lit(r"(?i)(?:file|document|summary of|summari[sz]e)\s+([a-z0-9][a-z0-9._-]{2,})"), F.lit(1))
-    generic = "document documents file files the this that these those all uploaded indexed local it".split()
+    generic = ["document", "documents", "file", "files", "the", "this", "that", "these", "those", "all", "uploaded", "indexed", "local", "it"]
     return F.array_distinct(F.when(F.size(spelled) > 0, spelled).otherwise(F.filter(implied, lambda x: ~F.lower(x).isin(generic))))
 
 

@@ -18,7 +18,7 @@ CACHE_SIMILARITY = 0.88
 CAPACITY = 250
 MOST_TERMS = 1_000_000
 # Words that don't distinguish questions.
-CACHE_STOPWORDS = "a an and are at by do does for from in is of on or please tell me the to was were what when where which who".split()
+CACHE_STOPWORDS = ["a", "an", "and", "are", "at", "by", "do", "does", "for", "from", "in", "is", "of", "on", "or", "please", "tell", "me", "the", "to", "was", "were", "what", "when", "where", "which", "who"]
 
 
 @F.pandas_udf(DoubleType())

@@ -9,7 +9,7 @@ from quarrylight.functions import text as T
 
 SIZE, OVERLAP = 1000, 120
 # Words that are no keywords.
-KEYWORD_STOPWORDS = "about after also and are because been between document from have into more most other such than that their there these this those through using were which with".split()
+KEYWORD_STOPWORDS = ["about", "after", "also", "and", "are", "because", "been", "between", "document", "from", "have", "into", "more", "most", "other", "such", "than", "that", "their", "there", "these", "this", "those", "through", "using", "were", "which", "with"]
 # Kinds by marker, the first that fits counts.
 KINDS = (("invoice", ("invoice", "bill to")), ("contract", ("agreement", "contract")), ("license", ("license",)), ("paper", ("abstract", "doi", "arxiv")), ("report", ("report", "summary")), ("letter", ("dear ", "sincerely")), ("manual", ("manual", "installation")))
 

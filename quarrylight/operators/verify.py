@@ -64,11 +64,13 @@ def verified(claims: DataFrame, scores: DataFrame, ungrounded: Column | None = N
     return out.select("claim_id", "best", F.array_join(F.transform("ids", lambda x: x["label"]), ",").alias("supporting"), v.alias("verdict"))
 
 
+# Words that don't count when a claim is compared with a sentence.
+COMPARISON_STOPWORDS = ["a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with"]
+
+
 def comparison_terms(text: Column) -> Column:
-    # Words that don't count when a claim is compared with a sentence.
-    stop = "a an and are as by for from in is it of on or the to with".split()
     raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9'-]*"), F.lit(0))
-    return F.array_distinct(F.filter(raw, lambda t: ~t.isin(stop) & (F.length(t) > 1)))
+    return F.array_distinct(F.filter(raw, lambda t: ~t.isin(*COMPARISON_STOPWORDS) & (F.length(t) > 1)))
 
 
 # Words that negate.

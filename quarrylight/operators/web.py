@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Query parameters that only track.
-TRACKING = "fbclid gclid mc_cid mc_eid mkt_tok msclkid oly_enc_id ref ref_src spm utm".split()
+TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "mkt_tok", "msclkid", "oly_enc_id", "ref", "ref_src", "spm", "utm"]
 
 # Markers of each authority, the first that fits counts.
 AUTHORITY = (

@@ -31,8 +31,8 @@ DOMAINS = (
 )
 # Messages that need no retrieval.
 ROUTES = {
-    "greeting": "afternoon|evening|good afternoon|good evening|good morning|hello|hello there|hey|hey there|hi|hi there|hiya|how are you|how are you doing|morning|sup|yo".split("|"),
-    "conversation": "alright|awesome|bye|cool|good night|goodbye|great|nice|no|ok|okay|see you|thank you|thanks|thx|yes".split("|"),
+    "greeting": ["afternoon", "evening", "good afternoon", "good evening", "good morning", "hello", "hello there", "hey", "hey there", "hi", "hi there", "hiya", "how are you", "how are you doing", "morning", "sup", "yo"],
+    "conversation": ["alright", "awesome", "bye", "cool", "good night", "goodbye", "great", "nice", "no", "ok", "okay", "see you", "thank you", "thanks", "thx", "yes"],
     "identity": ["what are you", "who are you"],
     "capability": ["capabilities", "help", "how can you help", "what can you do", "what do you do"],
 }
@@ -162,7 +162,7 @@ def short_entity(question: Column) -> Column:
     q = T.squeezed(question)
     w = F.split(q, " ")
     named = F.size(F.filter(w, lambda x: x.rlike("^[A-Z]")))
-    asks = F.lower(F.get(w, F.lit(0))).isin("what who when where which why how is are does do can tell show find search".split())
+    asks = F.lower(F.get(w, F.lit(0))).isin(["what", "who", "when", "where", "which", "why", "how", "is", "are", "does", "do", "can", "tell", "show", "find", "search"])
     return (q != "") & ~q.endswith("?") & F.size(w).between(1, 5) & F.when(F.size(w) == 1, q.rlike("^[A-Z]")).otherwise(named >= F.greatest(F.lit(2), F.size(w) - 1)) & ~asks
 
 

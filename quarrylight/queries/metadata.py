@@ -180,7 +180,7 @@ def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMED = [
     (1, "cv_maria_rossi.pdf", "Curriculum of Maria Rossi"), (2, "notes.txt", "A passport of Maria Rossi, price = 3"), (3, "notes.txt", "Maria Rossi is a student. See her homepage at the university"), (4, "profile.txt", "John Smith and Anna Nowak"), (5, "list.txt", "Rossi Maria, publication list"),
-    (6, "x.txt", "Research by John Smith with Maria Rossi of the thesis committee; profile page"), (7, "exam guide.pdf", "a paper on research"), (8, "study guide thesis.pdf", "journal"), (9, "y.txt", ""), (10, "z.txt", None),
+    (11, "pass.txt", "Passport: Rossi. Date of birth 1 May"), (12, "note.txt", "Maria Rossi. This is not a cv or portfolio; without the profile"), (6, "x.txt", "Research by John Smith with Maria Rossi of the thesis committee; profile page"), (7, "exam guide.pdf", "a paper on research"), (8, "study guide thesis.pdf", "journal"), (9, "y.txt", ""), (10, "z.txt", None),
 ]
 _SRC = f"""s AS (SELECT id::BIGINT AS id, document, text, 0.5 AS score FROM (VALUES {sql_values(NAMED)}) AS v(id, document, text) UNION ALL SELECT 1000 + doc_id, source, text, (doc_id % 100) / 100.0 FROM documents),
 n AS (SELECT *, ['maria', 'rossi'] AS name FROM s)"""
@@ -190,6 +190,7 @@ _NAMES = lambda x: f"list_filter(list_transform(regexp_extract_all(regexp_replac
 _OTHER = lambda x: f"len(list_filter({_NAMES(x)}, lambda p: len(list_intersect(string_split(p, ' '), ['maria', 'rossi'])) < 2)) > 0"
 _HAS = lambda x: f"(contains({x}, ' maria rossi ') OR contains({x}, ' rossi maria '))"
 _ANY = lambda ms, x: f"len(list_filter({sql_list(ms)}, lambda m: contains({x}, m))) > 0"
+_DENIED = f" (?:{'|'.join(N.DENIALS)}) +(?:(?:a|an|the) +)?(?:{'|'.join(N.DENIABLE)})(?: +or +(?:{'|'.join(N.DENIABLE)}))* "
 CONTAMINATED = f"CASE WHEN {_HAS('d')} THEN false WHEN {_OTHER('document')} THEN true WHEN {_HAS('t')} THEN false ELSE {_OTHER('both_')} END"
 
 
@@ -202,9 +203,10 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sources_about",
     f"""WITH {_SRC}, w AS (SELECT *, concat_ws(' ', document, text) AS both_, {_W('document')} AS d, {_W("concat_ws(' ', document, text)")} AS t, {_W('text')} AS body FROM n),
-k AS (SELECT *, {CONTAMINATED} AS other, contains(d, 'maria') AND contains(d, 'rossi') AS in_name, {_ANY([m for m in N.STRONG if m not in N.WEAKLY_STRONG], 't')} AS profile, {_ANY(N.STRONG, 't')} AS strong, {_ANY(N.CONTEXT, 't')} AS context, {_ANY(N.AGAINST, 't')} AS against, instr(t, ' maria rossi ') AS spot FROM w),
+den AS (SELECT *, regexp_replace(regexp_replace(t, '{_DENIED}', '  ', 'g'), '{_DENIED}', '  ', 'g') AS said FROM w),
+k AS (SELECT *, {CONTAMINATED} AS other, ({_ANY(N.PAPERS, 't')} OR contains(t, '{N.PAPER_WORD}')) AND len(list_intersect(string_split(replace(t, 'ph', 'f'), ' '), ['maria', 'rossi'])) > 0 AS paper, contains(d, 'maria') AND contains(d, 'rossi') AS in_name, {_ANY([m for m in N.STRONG if m not in N.WEAKLY_STRONG], 'said')} AS profile, {_ANY(N.STRONG, 'said')} AS strong, {_ANY(N.CONTEXT, 't')} AS context, {_ANY(N.AGAINST, 't')} AS against, instr(t, ' maria rossi ') AS spot FROM den),
 z AS (SELECT *, spot > 0 AND {_ANY([*N.STRONG, 'doctoral researcher', 'profile page'], f"substring(t, greatest(1, spot - {N.BEFORE})::BIGINT, (11 + least(spot - 1, {N.BEFORE}) + {N.BEHIND})::BIGINT)")} AS near FROM k)
-SELECT id, other AS contaminated, {_HAS('t')} AND NOT other AND CASE WHEN against AND NOT (profile OR in_name) THEN false WHEN in_name OR strong THEN true ELSE context AND near END AS about, NOT ({_ANY(N.NO_SCIENCE, 'd')} AND NOT {_ANY(N.STILL_SCIENCE, 'd')}) AND ({_ANY(N.SCIENCE, 'body')} OR score >= {N.SURE}) AS scientific FROM z""",
+SELECT id, other AS contaminated, ({_HAS('t')} OR paper) AND NOT other AND CASE WHEN paper THEN true WHEN against AND NOT (profile OR in_name) THEN false WHEN in_name OR strong THEN true ELSE context AND near END AS about, NOT ({_ANY(N.NO_SCIENCE, 'd')} AND NOT {_ANY(N.STILL_SCIENCE, 'd')}) AND ({_ANY(N.SCIENCE, 'body')} OR score >= {N.SURE}) AS scientific FROM z""",
 )
 def sources_about(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant sources and every document, held against one name."""

@@ -80,7 +80,7 @@ def date_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("case_id", grounded.alias("grounded"), F.when(grounded, v).otherwise(downgraded(v)).alias("verdict"))
 
 
-_STOP2 = sql_list("a an and are as by for from in is it of on or the to with".split())
+_STOP2 = sql_list(V.COMPARISON_STOPWORDS)
 _T2 = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9][a-z0-9''-]*'), lambda t: NOT list_contains({_STOP2}, t) AND length(t) > 1))"
 _SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
