@@ -20,10 +20,12 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", P.folded(F.col("text")).alias("folded"))
 
 
-@query("name_compatibility", f"""WITH n AS (SELECT * FROM (VALUES {sql_values(NAMES)}) AS t(id, a, b)), p AS (SELECT id, {{A}} AS x, {{B}} AS y FROM n)
+@query("name_compatibility", f"""WITH n AS (SELECT id::BIGINT AS id, a, b FROM (VALUES {sql_values(NAMES)}) AS t(id, a, b) UNION ALL SELECT 1000 + doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]{{3,}}')[1:2], ' '), array_to_string(regexp_extract_all(text, '[A-Za-z]{{3,}}')[2:4], ' ') FROM documents), p AS (SELECT id, {{A}} AS x, {{B}} AS y FROM n)
 SELECT id, len(x) > 0 AND len(y) > 0 AND coalesce(len(list_intersect(x, y)) = least(len(x), len(y)) OR (x[1] = y[1] AND x[-1] = y[-1]) OR (len(list_intersect(x, y)) > 0 AND x[-1] = y[-1]), false) AS compatible FROM p""".replace("{A}", "list_filter(string_split(trim(regexp_replace(strip_accents(lower(a)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda q: length(q) > 1)").replace("{B}", "list_filter(string_split(trim(regexp_replace(strip_accents(lower(b)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda q: length(q) > 1)"))
 def name_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, a string, b string").select("id", P.compatible(F.col("a"), F.col("b")).alias("compatible"))
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    own = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.array_join(F.slice(w, 1, 2), " ").alias("a"), F.array_join(F.slice(w, 2, 3), " ").alias("b"))
+    return spark.createDataFrame(NAMES, "id long, a string, b string").unionByName(own).select("id", P.compatible(F.col("a"), F.col("b")).alias("compatible"))
 
 
 @query("age_on_date", "SELECT o_orderkey, (year(o_orderdate) - 1960 - CASE WHEN month(o_orderdate) < 6 OR (month(o_orderdate) = 6 AND day(o_orderdate) < 15) THEN 1 ELSE 0 END)::INT AS age FROM orders")
@@ -34,9 +36,10 @@ def age_on_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 TENURE = [(1, "She was the president of the club."), (2, "The president, in office 2010-2014, retired."), (3, "The president since 2020."), (4, "Former minister."), (5, "He is president until 2030."), (6, "")]
 
 
-@query("past_tenure", f"SELECT id, CASE WHEN {_any('l', P.ENDED)} OR regexp_matches(l, 'was (the )?president') OR regexp_matches(l, 'president[^.;]{{0,40}}(19|20)[0-9]{{2}} *[-–] *(19|20)[0-9]{{2}}') OR regexp_matches(l, 'president[^.;]{{0,25}}until (19|20)[0-9]{{2}}') THEN 2.5 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT id, lower(t) AS l FROM (VALUES {sql_values(TENURE)}) AS v(id, t))")
+@query("past_tenure", f"SELECT id, CASE WHEN {_any('l', P.ENDED)} OR regexp_matches(l, 'was (the )?president') OR regexp_matches(l, 'president[^.;]{{0,40}}(19|20)[0-9]{{2}} *[-–] *(19|20)[0-9]{{2}}') OR regexp_matches(l, 'president[^.;]{{0,25}}until (19|20)[0-9]{{2}}') THEN 2.5 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT id::BIGINT AS id, lower(coalesce(t, '')) AS l FROM (SELECT id, t FROM (VALUES {sql_values(TENURE)}) AS v(id, t) UNION ALL SELECT 1000 + doc_id, text FROM documents))")
 def past_tenure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TENURE, "id int, t string").select("id", P.past_tenure(F.col("t"), F.lit("president")).alias("penalty"))
+    own = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t"))
+    return spark.createDataFrame(TENURE, "id long, t string").unionByName(own).select("id", P.past_tenure(F.col("t"), F.lit("president")).alias("penalty"))
 
 
 @query(
@@ -55,9 +58,10 @@ def web_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 URLS = [(1, "http://example.org/a"), (2, "https://user:pw@example.org"), (3, "http://127.0.0.1:80/x"), (4, "http://172.16.0.1"), (5, "ftp://example.org"), (6, "http://LOCALHOST/"), (7, "http://[::1]/"), (8, "https://172.32.0.1/")]
 
 
-@query("public_url", rf"SELECT id, bare <> '' AND NOT contains(host, '@') AND NOT regexp_matches(bare, '^(localhost|.*\.local|.*\.internal|0\.0\.0\.0|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*\])$') AS public FROM (SELECT id, host, regexp_replace(host, ':[0-9]+$', '') AS bare FROM (SELECT id, lower(regexp_extract(u, '^https?://([^/?#]*)', 1)) AS host FROM (VALUES {sql_values(URLS)}) AS v(id, u)))")
+@query("public_url", rf"SELECT id, bare <> '' AND NOT contains(host, '@') AND NOT regexp_matches(bare, '^(localhost|.*\.local|.*\.internal|0\.0\.0\.0|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*\])$') AS public FROM (SELECT id, host, regexp_replace(host, ':[0-9]+$', '') AS bare FROM (SELECT id::BIGINT AS id, lower(regexp_extract(u, '^https?://([^/?#]*)', 1)) AS host FROM (SELECT id, u FROM (VALUES {sql_values(URLS)}) AS v(id, u) UNION ALL SELECT 1000 + page_id, url FROM pages)))")
 def public_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(URLS, "id int, u string").select("id", is_public(F.col("u")).alias("public"))
+    own = read(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), F.col("url").alias("u"))
+    return spark.createDataFrame(URLS, "id long, u string").unionByName(own).select("id", is_public(F.col("u")).alias("public"))
 
 
 @query("page_urls_public", r"SELECT page_id, bare <> '' AND NOT contains(host, '@') AND NOT regexp_matches(bare, '^(localhost|.*\.local|.*\.internal)$') AS public FROM (SELECT page_id, host, regexp_replace(host, ':[0-9]+$', '') AS bare FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages))")

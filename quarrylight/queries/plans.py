@@ -53,14 +53,16 @@ def query_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("qid", P.domain(F.col("question")).alias("domain"))
 
 
-@query("intent_route", f"SELECT id, CASE WHEN m = '' THEN 'empty' {' '.join(f'WHEN list_contains({sql_list(v)}, m) THEN {chr(39)}{k}{chr(39)}' for k, v in P.ROUTES.items())} ELSE 'rag' END AS route FROM (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(t, '')), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')) AS m FROM (VALUES {sql_values(MESSAGES)}) AS v(id, t))")
+@query("intent_route", f"SELECT id, CASE WHEN m = '' THEN 'empty' {' '.join(f'WHEN list_contains({sql_list(v)}, m) THEN {chr(39)}{k}{chr(39)}' for k, v in P.ROUTES.items())} ELSE 'rag' END AS route FROM (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(t, '')), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')) AS m FROM (SELECT id::BIGINT AS id, t FROM (VALUES {sql_values(MESSAGES)}) AS v(id, t) UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations))")
 def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(MESSAGES, "id int, t string").select("id", P.route(F.col("t")).alias("route"))
+    said = read(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("t"))
+    return spark.createDataFrame(MESSAGES, "id long, t string").unionByName(said).select("id", P.route(F.col("t")).alias("route"))
 
 
-@query("search_mode", f"SELECT id, coalesce((MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in P.MODE_ALIASES.items())}}})[m], 'auto') AS mode FROM (SELECT id, trim(regexp_replace(translate(lower(coalesce(t, '')), '+-_', '   '), ' +', ' ', 'g')) AS m FROM (VALUES {sql_values(NAMES)}) AS v(id, t))")
+@query("search_mode", f"SELECT id, coalesce((MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in P.MODE_ALIASES.items())}}})[m], 'auto') AS mode FROM (SELECT id, trim(regexp_replace(translate(lower(coalesce(t, '')), '+-_', '   '), ' +', ' ', 'g')) AS m FROM (SELECT id::BIGINT AS id, t FROM (VALUES {sql_values(NAMES)}) AS v(id, t) UNION ALL SELECT 1000 + event_id, event_type FROM events))")
 def search_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, t string").select("id", P.mode(F.col("t")).alias("mode"))
+    asked = read(spark, sf_dir, "events").select((F.col("event_id") + 1000).alias("id"), F.col("event_type").alias("t"))
+    return spark.createDataFrame(NAMES, "id long, t string").unionByName(asked).select("id", P.mode(F.col("t")).alias("mode"))
 
 
 _RULE = {"yes": "true", "no": "false", "stable": "NOT dynamic", "ready": "web_enabled"}

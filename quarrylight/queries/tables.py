@@ -25,9 +25,10 @@ QUESTIONS = [(1, "What is the average price of the apartments?"), (2, "Total qua
 TABLES = [(1, "lineitem quantity extendedprice discount tax sold"), (2, "orders totalprice orderdate status"), (3, "part name brand size price apartments"), (4, "customer account balance segment")]
 
 
-@query("table_operation", f"""SELECT qid, CASE {' '.join(f"WHEN regexp_matches(lower(question), '(^|[^a-z])({w})($|[^a-z])') THEN '{n}'" for n, w in A.OPERATIONS)} ELSE 'mean' END AS operation FROM (VALUES {sql_values(QUESTIONS)}) AS t(qid, question)""")
+@query("table_operation", f"""SELECT qid, CASE {' '.join(f"WHEN regexp_matches(lower(question), '(^|[^a-z])({w})($|[^a-z])') THEN '{n}'" for n, w in A.OPERATIONS)} ELSE 'mean' END AS operation FROM (SELECT qid::BIGINT AS qid, question FROM (VALUES {sql_values(QUESTIONS)}) AS t(qid, question) UNION ALL SELECT 1000 + item_id, text FROM benchmark)""")
 def table_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "qid int, question string").select("qid", A.operation(F.col("question")).alias("operation"))
+    asked = read(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("qid"), F.col("text").alias("question"))
+    return spark.createDataFrame(QUESTIONS, "qid long, question string").unionByName(asked).select("qid", A.operation(F.col("question")).alias("operation"))
 
 
 @query("table_match")

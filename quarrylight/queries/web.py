@@ -31,16 +31,17 @@ def _any(x: str, markers) -> str:
     return "(" + " OR ".join(f"contains({x}, '{m}')" for m in markers) + ")"
 
 
-FIX = f"urls AS (SELECT * FROM (VALUES {sql_values(URLS)}) AS t(id, url))"
+FIX = f"urls AS (SELECT id::BIGINT AS id, url FROM (VALUES {sql_values(URLS)}) AS t(id, url) UNION ALL SELECT 1000 + page_id, url FROM pages)"
 
 
-def urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(URLS, "id int, url string")
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The awkward addresses and those of all pages."""
+    return spark.createDataFrame(URLS, "id long, url string").unionByName(read(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "url"))
 
 
 @query("url_keys", f"WITH {FIX} SELECT id, {_key('url')} AS url_key FROM urls")
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls(spark).select("id", W.url_key(F.col("url")).alias("url_key"))
+    return urls(spark, sf_dir).select("id", W.url_key(F.col("url")).alias("url_key"))
 
 
 @query("url_key_dedupe", f"SELECT page_id, url, url_key FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS nth FROM (SELECT page_id, url, {_key('url')} AS url_key FROM pages) WHERE url_key <> '') WHERE nth = 1")
@@ -55,7 +56,7 @@ _AUTH = "CASE " + " ".join(f"WHEN {_any('hay', ms)} THEN '{n}'" for n, ms in W.A
 def authority_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.functions.scoring import mapped
 
-    a = urls(spark).select("id", W.authority(F.lit("web"), F.col("url"), F.lit("")).alias("authority"))
+    a = urls(spark, sf_dir).select("id", W.authority(F.lit("web"), F.col("url"), F.lit("")).alias("authority"))
     return a.withColumn("trust", mapped(F.col("authority"), W.AUTHORITY_SCORE))
 
 
@@ -70,7 +71,7 @@ def source_type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_types", f"WITH {FIX} SELECT id, {_TYPE} AS source_type FROM (SELECT id, {_domain('url')} AS d, lower(concat_ws(' ', url)) AS hay FROM urls)")
 def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls(spark).select("id", W.source_type(F.col("url"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("source_type"))
+    return urls(spark, sf_dir).select("id", W.source_type(F.col("url"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("source_type"))
 
 
 @query("priority_boost", "SELECT page_id, round(CASE WHEN contains(lower(url), 'blog') OR contains(lower(url), '.example.org') THEN least(1.0, s * 1.3) ELSE s END, 6) AS score FROM (SELECT page_id, url, (page_id % 10) / 10.0::DOUBLE AS s FROM pages)")
