@@ -20,10 +20,10 @@ PAPERS = (
 WRITTEN = ("She defended her doctoral thesis on {w}. Born {v}.", "Born on {v}. The PhD, a long work on many things, was finished and its author left on {w}", "1{w} {x} {v}", "{x}", "Doctoral thesis of {v}; defence date {w}; {x}")
 
 
-def _paper(forms, x=F.col("o_comment")):
+def _paper(forms):
     day = F.to_date("o_orderdate")
     blurred = F.translate(F.date_format(F.date_add(day, 30), "dd/MM/yyyy"), "015", "OlS")
-    marks = {"{a}": F.date_format(day, "yyyy-MM-dd"), "{b}": F.date_format(F.date_add(day, 400), "dd.MM.yyyy"), "{c}": blurred, "{w}": F.date_format(day, "d MMMM yyyy"), "{v}": F.date_format(F.date_add(day, -9000), "d MMM yyyy"), "{x}": x}
+    marks = {"{a}": F.date_format(day, "yyyy-MM-dd"), "{b}": F.date_format(F.date_add(day, 400), "dd.MM.yyyy"), "{c}": blurred, "{w}": F.date_format(day, "d MMMM yyyy"), "{v}": F.date_format(F.date_add(day, -9000), "d MMM yyyy"), "{x}": F.lit("the paper of the order")}
     text = F.get(F.array(*[F.lit(p) for p in forms]), (F.col("o_orderkey") % len(forms)).cast("int"))
     for mark, value in marks.items():
         text = F.replace(text, F.lit(mark), value)
@@ -79,7 +79,7 @@ SELECT doc_id, value, score::INT AS score FROM r WHERE r = 1 AND score > 0"""
 def date_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of each paper that its question asks for."""
     q = F.get(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("o_custkey") % len(QUESTIONS)).cast("int"))
-    return D.best(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), q.alias("question"), _paper(PAPERS, F.lit("the paper of the order")).alias("text")))
+    return D.best(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), q.alias("question"), _paper(PAPERS).alias("text")))
 
 
 def _defence_sql() -> str:
@@ -96,4 +96,4 @@ SELECT doc_id, array_to_string(list_transform(string_split(found, ' '), lambda w
 @query("defence_dates", _defence_sql())
 def defence_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each paper's thesis was defended."""
-    return D.defence_date(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), _paper(WRITTEN, F.lit("the paper of the order")).alias("text")))
+    return D.defence_date(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), _paper(WRITTEN).alias("text")))
