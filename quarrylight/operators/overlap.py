@@ -23,6 +23,8 @@ SEED_POSTINGS, SEED_PARTNERS = 400, 4
 DEPTH = 0.5
 #: Rows of asked terms that are sent to all tasks at most; beyond that both sides are shuffled by term.
 MOST_TERMS = 500_000
+#: Pairs of ids that are sent to all tasks at most.
+MOST_PAIRS = 200_000
 #: Postings of a term in one piece of the shuffled join.
 PIECE = 100_000
 #: Scores are rounded to six decimals before they are compared.
@@ -55,7 +57,7 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, slope: Callable[[Co
     and empty sets have no partners.
     """
     lefts = saved(left.where("lid IS NOT NULL").select("lid", F.size("terms").alias("nl"), "terms"), "asked_sets")
-    sets = saved(right.where(F.col("rid").isNotNull() & (F.size("terms") > 0)).select("rid", F.size("terms").alias("nr"), F.col("terms").alias("own")), "corpus_sets").repartition("rid")
+    sets = saved(right.where(F.col("rid").isNotNull() & (F.size("terms") > 0)).select("rid", F.size("terms").alias("nr"), F.col("terms").alias("own")), "corpus_sets")
     asked = lefts.select("lid", "nl", F.explode("terms").alias("term"))
     few = lefts.agg(F.coalesce(F.sum("nl"), F.lit(0))).collect()[0][0] <= MOST_TERMS
     sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
@@ -68,9 +70,10 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, slope: Callable[[Co
 
     marked = None if also is None else also.where("lid IS NOT NULL AND rid IS NOT NULL").select("lid", "rid").distinct()
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs with the terms that they share; nothing but a pair's own sets is compared."""
-        met = pairs.join(sent(lefts), "lid").join(sets, "rid").select("lid", "rid", "nl", "nr", F.size(F.array_intersect("terms", "own")).alias("both"))
+    def scored(pairs: DataFrame, n: int) -> DataFrame:
+        """The ``n`` pairs at most with the terms that they share; nothing but a pair's own sets is compared. Few pairs go to where the sets are, which are not shuffled then."""
+        pairs = F.broadcast(pairs) if n <= MOST_PAIRS else pairs
+        met = sets.join(pairs, "rid").join(sent(lefts), "lid").select("lid", "rid", "nl", "nr", F.size(F.array_intersect("terms", "own")).alias("both"))
         own = F.least(F.lit(1.0), F.col("both") * slope(F.col("nl"), F.col("nr")))
         if marked is None:
             return met.withColumn("score", F.round(own, 6))
@@ -79,7 +82,8 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, slope: Callable[[Co
 
     first = _postings(sets, ranked.where(F.col("before") < SEED_POSTINGS).select("lid", "term", "pieces"), few).groupBy("rid", "lid").agg(F.count("*").alias("n"))
     first = first.withColumn("nth", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("n"), "rid"))).where(F.col("nth") <= SEED_PARTNERS * k)
-    kth = scored(first.select("lid", "rid")).withColumn("nth", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score")))).where(F.col("nth") == k)
+    asking = lefts.count() * SEED_PARTNERS * k
+    kth = scored(first.select("lid", "rid"), asking).withColumn("nth", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score")))).where(F.col("nth") == k)
     floors = saved(kth.select("lid", F.col("score").alias("floor")), "floors")  # a row a set asked about
 
     wanted = ranked.join(sent(floors), "lid", "left").select("lid", "nl", "term", "place", "pieces", F.coalesce("floor", F.lit(0.0)).alias("floor"))
@@ -90,5 +94,5 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, slope: Callable[[Co
     work = ranked.agg(F.sum("df").alias("all_postings")).crossJoin(able.agg(F.sum("hits").alias("postings"), F.count_if("able").alias("scored")))  # two rows of one
     able = able.where("able")
     pairs = able.select("lid", "rid") if marked is None else able.select("lid", "rid").union(marked).distinct()
-    best = scored(pairs).where("both > 0").withColumn("nth", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score"), "rid"))).where(F.col("nth") <= k)
+    best = scored(pairs, able.count() + (0 if marked is None else marked.count())).where("both > 0").withColumn("nth", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score"), "rid"))).where(F.col("nth") <= k)
     return Found(best.drop("nth"), work)
