@@ -22,7 +22,7 @@ from quarrylight.operators.retrieval import B, K1, MOST_TERMS, question_terms
 from quarrylight.shared import new_path, saved
 
 #: Levels of impact, documents of a segment at most, segments of a small table.
-LEVELS, SEGMENT_DOCS, LEAST_SEGMENTS = 32, 32_768, 32
+LEVELS, SEGMENT_DOCS, LEAST_SEGMENTS = 16, 32_768, 64
 #: Postings of a question that are read to learn a first k-th best score, and documents scored for it, as a multiple of k.
 SEED_POSTINGS, SEED_DOCS = 4000, 3
 #: Blocks are read until what is left is worth less than this share of the k-th best score: less leaves fewer documents to score in full, more reads fewer blocks.
@@ -30,8 +30,6 @@ SHARE = 0.6
 #: Scores are ranked by five decimals, so a bound within one of them may still matter.
 SLACK = 2e-5
 
-TABLES = ("forward", "blocks", "levels", "stats", "dead", "gone")
-
 
 @dataclass
 class Found:
@@ -73,10 +71,8 @@ class PostingsIndex:
             # whole documents travel to their segment, where their postings are grouped: a fraction of what the postings one by one would be
             each = own.select("segment", "key", "dl", "terms").repartition("segment").select("segment", "key", "dl", F.inline("terms")).withColumn("impact", impact(F.col("n"), F.col("dl"), base))
             each = each.withColumn("level", F.least(F.lit(LEVELS - 1), F.floor(F.col("impact") * LEVELS)).cast("int"))
-            blocks = each.groupBy("segment", "term", "level").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("tf"), "dl")).alias("docs"), F.max("impact").alias("top"))  # a segment's documents at most
+            blocks = each.groupBy("segment", "term", "level").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("tf"), "dl")).alias("docs"), F.max("impact").alias("top"), F.count("*").cast("int").alias("n"))  # a segment's documents at most
             blocks.write.parquet(f"{self.path}/blocks/gen={gen}")
-            made = self._read("blocks").where(F.col("gen") == gen)
-            made.groupBy("term", "level").agg(F.sum(F.size("docs")).cast("long").alias("n"), F.max("top").alias("top")).write.parquet(f"{self.path}/levels/gen={gen}")
         if dead is not None:
             dead.select("key", F.col("gen").alias("of")).write.parquet(f"{self.path}/dead/gen={gen}")
             dead.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/gone/gen={gen}")
@@ -120,7 +116,7 @@ class PostingsIndex:
         wider = max(1.0, mean / (t.base or 1.0))  # an impact grows by no more than the mean length has
         q = question_terms(questions.select("qid", "question"))
         asked = q.select("term").distinct()
-        levels = self._read("levels").join(asked, "term", "left_semi").groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        levels = self._read("blocks").select("term", "level", "n", "top").join(asked, "term", "left_semi").groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))  # no posting is read for this
         gone = self._read("gone").join(asked, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("off"))
         levels = saved(levels.select("term", "level", "n", F.least(F.lit(1.0), F.col("top") * wider).alias("top")), "levels")  # at most LEVELS rows a term
         df = levels.groupBy("term").agg(F.sum("n").alias("df")).join(gone, "term", "left").withColumn("df", F.col("df") - F.coalesce("off", F.lit(0)))
@@ -138,9 +134,9 @@ class PostingsIndex:
 
         known = plan.join(F.broadcast(kth) if few else kth, "qid", "left").withColumn("is_read", F.coalesce(F.col("before") >= F.col("floor") * SHARE, F.lit(True)))
         left = known.groupBy("qid").agg(F.sum(F.when(~F.col("is_read"), F.col("gain")).otherwise(0.0)).alias("left"), F.max("floor").alias("floor"), F.sum("n").alias("postings"), F.sum(F.when(F.col("is_read"), F.col("n")).otherwise(0)).alias("read"))
-        seen = saved(self._seen(known.where("is_read"), mean, few, t.dead), "seen")
+        seen = self._seen(known.where("is_read"), mean, few, t.dead)
         able = seen.join(F.broadcast(left) if few else left, "qid").where(F.coalesce(F.col("over") + F.col("left") >= F.col("floor") - SLACK, F.lit(True)))
-        able = able.select("qid", "gen", "segment", "key")
+        able = saved(able.select("qid", "gen", "segment", "key"), "able")
         scored = self._scored(able, weights, mean, few).withColumn("order", F.round("bm25", 5))
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("order"), "id_order", "doc_id"))).where(F.col("rank") <= k)
         counts = seen.groupBy("qid").agg(F.count("*").alias("candidates")).join(able.groupBy("qid").agg(F.count("*").alias("scored")), "qid", "left")
@@ -168,8 +164,7 @@ class PostingsIndex:
 #: Document ids are kept as text, so that an index serves any table; ids that are whole numbers are ordered as such.
 SCHEMAS = {
     "forward": "doc_id string, key long, dl int, terms array<struct<term:string,n:int>>, gen int, segment int",
-    "blocks": "term string, level int, segment int, docs array<struct<key:long,tf:int,dl:int>>, top double, gen int",
-    "levels": "term string, level int, n long, top double, gen int",
+    "blocks": "term string, level int, segment int, docs array<struct<key:long,tf:int,dl:int>>, top double, n int, gen int",
     "stats": "n_docs long, n_tokens long, base double, segments int, n_dead long, gen int",
     "dead": "key long, of int, gen int",
     "gone": "term string, n long, gen int",
