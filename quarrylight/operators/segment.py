@@ -35,7 +35,7 @@ def packed(parts: Column, size: int = SIZE, joint: str = "\n\n") -> Column:
 
 def semantic(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed up to ``size``; longer ones are packed by sentence, longer sentences slide."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t]*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
     by_sentence = lambda p: F.flatten(F.transform(packed(T.sentences_capital(p), size, " "), lambda s: F.when(F.length(s) > size, sliding(s, size, overlap)).otherwise(F.array(s))))
     split = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > size, by_sentence(p)).otherwise(F.array(p))))
     return packed(split, size, "\n\n")

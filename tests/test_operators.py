@@ -320,3 +320,17 @@ def test_questions_that_lean_on_others(spark):
     d = spark.createDataFrame([(n, *r[:5]) for n, r in enumerate(rows)], "n int, q string, b string, k int, s boolean, r double")
     got = {x.n: x.w for x in d.select("n", dialog.wants_rewriting(*(F.col(c) for c in "qbksr")).alias("w")).collect()}
     assert got == {n: r[5] for n, r in enumerate(rows)}
+
+
+def test_sentences_keep_digits_that_are_their_own_number(spark):
+    text = "Zero the 1. 1 one 1. 2 two, which is long enough for a summary of seven words. 3 three"
+    assert one(spark, T.sentences(F.col("t")), t=text) == ["Zero the 1.", "1 one 1.", "2 two, which is long enough for a summary of seven words.", "3 three"]
+    assert one(spark, T.sentences_capital(F.col("t")), t="0 a. 1 b. B 2. C") == ["0 a.", "1 b.", "B 2.", "C"]
+    assert one(spark, segment.summary(F.col("t")), t=text) == "2 two, which is long enough for a summary of seven words."
+    assert one(spark, segment.semantic(F.col("t")), t="0 a\n\n1 b\n\nc 2") == ["0 a\n\n1 b\n\nc 2"]
+
+
+def test_snippet_keeps_the_digits_of_its_sentence(spark):
+    from quarrylight.operators import people
+
+    assert one(spark, people.first_sentence_with(F.col("t"), F.lit("the")), t="Nothing. 11 of the 41") == "11 of the 41"
