@@ -120,8 +120,10 @@ s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE confidence
 SELECT user_id, coalesce(max(s.mode), '') AS winner FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT * FROM s WHERE k = 1) s USING (user_id) GROUP BY user_id""",
 )
 def benchmark_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("mode")).agg(F.when(F.avg("value") > 60, "high").when(F.avg("value") > 40, "medium").otherwise("low").alias("confidence"), (F.count("*") % 4).alias("n_sources"), F.lit(None).cast("double").alias("faithfulness"), (F.count("*") / 10.0).alias("latency"))
-    return V.winner(g, "user_id")
+    """The average is rounded, so that the order in which doubles are summed decides nothing at 40 and 60. Events without a user have no winner."""
+    mean = F.round(F.avg("value"), 9)
+    g = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("mode")).agg(F.when(mean > 60, "high").when(mean > 40, "medium").otherwise("low").alias("confidence"), (F.count("*") % 4).alias("n_sources"), F.lit(None).cast("double").alias("faithfulness"), (F.count("*") / 10.0).alias("latency"))
+    return V.winner(g, "user_id").withColumn("winner", F.when(F.col("user_id").isNull(), "").otherwise(F.col("winner")))
 
 
 @query("conversation_state")

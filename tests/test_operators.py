@@ -1,7 +1,9 @@
 """Operators on small tables, against literals and plain loops."""
 
 import datetime as dt
+import functools
 import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -334,3 +336,20 @@ def test_snippet_keeps_the_digits_of_its_sentence(spark):
     from quarrylight.operators import people
 
     assert one(spark, people.first_sentence_with(F.col("t"), F.lit("the")), t="Nothing. 11 of the 41") == "11 of the 41"
+
+
+def test_benchmark_winner_at_the_bound_and_without_user(spark, tmp_path):
+    """Means of exactly 60 whose doubles add up to a little more in this order; a null user has no winner, as in the SQL's join."""
+    import oracle
+
+    from quarrylight.queries import QUERIES, SQL
+
+    draw = random.Random(1)
+    cents = ([draw.randrange(12000) for _ in range(9)] for _ in range(1000))
+    over = next(v for v in ([x / 100 for x in [*c, 60000 - sum(c)]] for c in cents) if functools.reduce(float.__add__, v, 0.0) / 10 > 60)
+    rows = [(1, "a", x) for x in over] + [(1, "b", 50.0)] * 10 + [(None, "a", 70.0)] * 3
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    names, got = oracle.rows_of(QUERIES["benchmark_winner"](spark, str(tmp_path)))
+    assert (names, got) == (["user_id", "winner"], [(1, "b"), (None, "")])
+    null = [r for r in oracle.sql_rows(oracle.connect(tmp_path), SQL["benchmark_winner"])[1] if r[0] is None]
+    assert null == [(None, "")]
