@@ -10,8 +10,10 @@
 2. Both sketches' registers are banded; classes that share a band of either meet in a bucket. Buckets of a few classes give all their pairs, larger
    ones a pair of each class with the bucket's first. Pairs are verified on the exact shingle weights, links give connected
    components.
-3. A large bucket whose classes are one component by then has no more to tell. The others are cut into blocks and compared
-   block against block by their signatures, each pair only in the first band that both share and only while its ends are
+3. A large bucket whose classes are one component by then has no more to tell. In the others, each class outside the
+   bucket's largest component is compared with a member of it, another one in each band. What is still apart is cut into
+   blocks, those of the largest component for themselves, and compared block against block (but not within that component) by
+   signatures, each pair only in the first band that both share and only while its ends are
    apart, so that a group of copies costs time in proportion to its size, and no pair that could join two components is
    left out. The pairs that the signatures let pass are verified as in 2. Where they are many more than the classes, the
    bucket's blocks are compared once more with the shingles at hand, so that pairs are never listed in their square.
@@ -309,10 +311,20 @@ def _block_links(pdf: pd.DataFrame, bands: int, rows: int, similarity: float) ->
     return links
 
 
-def _deal(members: DataFrame, blocks: Column) -> DataFrame:
-    """A class goes to every pair of blocks that its own block is in: adds ``block``, ``i``, ``j``; ``blocks`` is the number in its bucket."""
-    own = members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+def _apart(rows: DataFrame) -> DataFrame:
+    """The buckets of ``rows`` (``band``, ``key``, ``n``, ``class``, ``comp``) that hold several components: ``main``, the largest of them, ``in_main``, its members in the bucket, and ``centre``, one of these that differs from band to band."""
+    each = rows.groupBy("band", "key", "comp").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("class", "band").alias("h"), "class")).alias("c"), F.first("n").alias("n"))
+    largest = each.groupBy("band", "key").agg(F.max(F.struct("held", "comp", "c")).alias("x"), F.first("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    return largest.select("band", "key", "n", F.col("x.comp").alias("main"), F.col("x.held").alias("in_main"), F.col("x.c.class").alias("centre"))
+
+
+def _deal(members: DataFrame, per: Column) -> DataFrame:
+    """Members of _apart() buckets (with ``main``, ``in_main``, ``comp``), in blocks of ``per``: those of the main component in blocks of their own, which meet the others' blocks but not each other. A class goes to every pair of blocks that its own block is in: adds ``block``, ``i``, ``j``."""
+    main = F.col("comp") == F.col("main")
+    own = members.withColumns({"others": F.ceil((F.col("n") - F.col("in_main")) / per).cast("int"), "mains": F.ceil(F.col("in_main") / per).cast("int")})
+    own = own.withColumn("block", (F.pmod(F.xxhash64("class"), F.when(main, F.col("mains")).otherwise(F.col("others"))) + F.when(main, F.col("others")).otherwise(0)).cast("int"))
+    meets = F.col("others") + F.when(main, 0).otherwise(F.col("mains"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "others", "mains")
 
 
 def _by_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -364,33 +376,38 @@ def _groups(df: DataFrame, id_col: str, text_col: str, similarity: float, bands:
 
     links = saved(verified(pairs), "links")
 
-    # Large buckets that are not one component yet, block against block by signatures alone: only pairs that may be linked fetch shingles.
     def placed(members: DataFrame, found: DataFrame) -> DataFrame:
         return members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
 
-    def apart(rows_: DataFrame) -> DataFrame:
-        return rows_.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("n").alias("n")).where("low != high").select("band", "key", "n")
+    def tree(found: DataFrame) -> DataFrame:
+        return found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
+    # Large buckets that are not one component yet: who is outside the largest component meets a member of it, another one in each band.
     so_far = saved(components(links, "a", "b"), "components")
     open_ = placed(many, so_far)
-    dealt = _deal(_by_bucket(open_, apart(open_)), F.ceil(F.col("n") / BLOCK)).join(reps.select("class", "sig", "flat"), "class")
+    outside = _by_bucket(open_, _apart(open_)).where("comp != main")
+    again = saved(verified(outside.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()), "second_links")
+    so_far = saved(components(tree(so_far).union(again), "a", "b"), "components")
+
+    # Those that are still not one, block against block by signatures alone: only pairs that may be linked fetch shingles.
+    open_ = placed(many, so_far)
+    dealt = _deal(_by_bucket(open_, _apart(open_)).join(reps.select("class", "sig", "flat"), "class"), F.lit(BLOCK))
     dealt = dealt.select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat")
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_candidates(pdf, bands, rows, similarity), columns=["a", "b", "band", "key"]).astype({"band": "Int32", "key": "Int64"})
 
     met = saved(dealt.groupBy("band", "key", "i", "j").applyInPandas(candidates, "a string, b string, band int, key long"), "candidates")
-    edges = so_far.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    edges = saved(edges.union(verified(met.where("a is not null").select("a", "b").distinct())), "linked")
+    edges = saved(tree(so_far).union(verified(met.where("a is not null").select("a", "b").distinct())), "linked")
 
     # Buckets with too many such pairs, once more with the shingles in the block, each verified only while its ends are apart.
     dense = met.where("a is null").select("band", "key").distinct()
     if not dense.isEmpty():
         rest = placed(_by_bucket(many, dense.join(many.groupBy("band", "key").agg(F.first("n").alias("n")), ["band", "key"])), components(edges, "a", "b"))
         size = weighted.select("class", (F.octet_length("items") + F.octet_length("counts")).alias("size"))
-        sized = saved(_by_bucket(rest, apart(rest)).join(size, "class"), "dense")
-        blocks = sized.groupBy("band", "key").agg(F.first("n").alias("n"), F.greatest(F.ceil(F.first("n") / BLOCK), F.ceil(F.sum("size") / DENSE_BYTES)).alias("blocks_"))
-        heavy = _deal(_by_bucket(sized, blocks), F.col("blocks_")).join(reps.select("class", "sig", "flat"), "class").join(weighted, "class")
+        sized = saved(_by_bucket(rest, _apart(rest)).join(size, "class"), "dense")
+        blocks = sized.groupBy("band", "key").agg(F.first("n").alias("n"), F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.first("n") * DENSE_BYTES / F.sum("size")))).alias("per"))
+        heavy = _deal(_by_bucket(sized, blocks).join(reps.select("class", "sig", "flat"), "class").join(weighted, "class"), F.col("per"))
         heavy = heavy.select("band", "key", "i", "j", "block", "class", "comp", "sig", "flat", "items", "counts")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -824,3 +824,20 @@ def test_pipeline_stages_keep_the_columns(spark, nothing):
         assert stage(spark, docs, SF).schema.names == docs.schema.names
         assert stage(spark, nothing, SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, SF).count() == 0
+
+
+def test_large_bucket_deals_its_main_component_once(spark):
+    """2000 classes of a bucket, all but ten one component: dealt rows stay near 2000 (eight times that before), and every pair of different components meets exactly once."""
+    from pyspark.sql import functions as F
+
+    from quarrylight.llm import minhash
+
+    m = spark.range(2000).select(F.lit(3).alias("band"), F.lit(7).cast("long").alias("key"), F.lit(2000).cast("long").alias("n"), F.format_string("c%04d", "id").alias("class"), F.when(F.col("id") < 10, F.format_string("c%04d", "id")).otherwise("main").alias("comp"))
+    apart = minhash._apart(m)
+    rows = minhash._deal(minhash._by_bucket(m, apart), F.lit(minhash.BLOCK)).select("class", "comp", "block", "i", "j").collect()
+    assert apart.select("main", "in_main").collect() == [("main", 1990)] and len(rows) < 2200
+    met = {}
+    for r in rows:
+        met.setdefault((r.i, r.j), []).append(r)
+    pairs = [tuple(sorted((x["class"], y["class"]))) for (i, j), g in met.items() for a, x in enumerate(g) for y in g[:a] if x.comp != y.comp and {x.block, y.block} == {i, j}]
+    assert len(pairs) == len(set(pairs)) == 45 + 10 * 1990
