@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from quarrylight.functions import text as T
 from quarrylight.functions.scoring import downgraded, support_score, verdict
 from quarrylight.operators.metadata import words_apart
 from quarrylight.operators.overlap import Found, best_partners
+from quarrylight.session import ship
 from quarrylight.shared import saved
 
 # How an entity of a claim looks, and words that are none.
@@ -85,11 +90,65 @@ def support_label(claim_negates: Column, snippet_negates: Column, empty: Column,
     return F.when(empty | (confidence < 0.28), "not_found").when((claim_negates != snippet_negates) & (confidence >= 0.42), "contradicts").when(confidence >= 0.38, "supports").otherwise("unclear")
 
 
+#: Words of sources that are met with claims at once.
+STEP_WORDS = 50_000
+
+
+def _best_in_batches(batches, words: pa.Array, first: np.ndarray, of: np.ndarray, claims: int):
+    """Of each source (``label``, ``t``: terms by sentence, other columns are kept) and claim that share a term: ``best``, structs of ``c``, ``pos``, ``n``. The claims of ``words[w]`` are ``of[first[w]:first[w + 1]]``."""
+    kind = pa.struct([("c", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
+    for b in batches:
+        t = b.column("t")
+        size = np.cumsum([0] + [sum(map(len, x)) for x in t.to_pylist()])
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, size[at] + STEP_WORDS, "right")) - 1)
+            part = b.slice(at, to - at)
+            at, sentences = to, part.column("t").flatten()
+            doc = pc.list_parent_indices(part.column("t")).to_numpy()
+            word = pc.index_in(sentences.flatten(), value_set=words).fill_null(-1).to_numpy()
+            known = word >= 0
+            sentence, word = pc.list_parent_indices(sentences).to_numpy()[known].astype(np.int64), word[known]
+            n = first[word + 1] - first[word]
+            claim = of[np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            key, n = np.unique(np.repeat(sentence, n) * claims + claim, return_counts=True)
+            sentence, claim = key // claims, key % claims
+            d, pos = doc[sentence], sentence - np.searchsorted(doc, doc[sentence])
+            order = np.lexsort((pos, -n, claim, d))
+            order = order[np.append(True, (np.diff(d[order]) != 0) | (np.diff(claim[order]) != 0))[: len(order)]]
+            found = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int32)) for x in (claim, pos, n)], fields=list(kind))
+            ends = pa.array(np.searchsorted(d[order], np.arange(part.num_rows + 1)).astype(np.int32))
+            keep = [c for c in part.schema.names if c != "t"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(ends, found)], names=[*keep, "best"])
+
+
 def best_sentences(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """``claim_id``, ``label``, ``overlap``, and ``low`` and ``neg`` (lower-case and whether it negates) of the sentence: of each source the sentence that covers most of the claim's terms, the first on ties.
 
-    Joined on terms, where the sentences are: a source's sentences stay in one task, with the claims' terms sent there.
+    While the claims' terms are few they are sent to where the sources are, a source is met with all of them in its row and
+    nothing is shuffled. With more, or where ids repeat, sentences and terms are joined.
     """
+    c = saved(claims.select("claim_id", comparison_terms(F.col("claim")).alias("t")), "claims")
+    count, ids, terms = c.agg(F.count("*"), F.countDistinct("claim_id"), F.coalesce(F.sum(F.size("t")), F.lit(0))).collect()[0]
+    labels = sources.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if count != ids or terms > MOST_TERMS or not labels.isEmpty():
+        return _best_by_join(claims, sources)
+    rows = c.collect()
+    words = sorted({x for r in rows for x in r.t})
+    number = {x: i for i, x in enumerate(words)}
+    pairs = np.array(sorted((number[x], i) for i, r in enumerate(rows) for x in r.t), np.int64).reshape(-1, 2)
+    first, of = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1]
+    ship(claims.sparkSession)
+    s = sources.where("label IS NOT NULL").select("label", T.sentences(T.squeezed(F.col("text"))).alias("s"))
+    s = s.select("label", F.transform("s", lambda x: F.lower(x)).alias("low"), F.transform("s", lambda x: negated(x)).alias("neg"), F.transform("s", lambda x: comparison_terms(x)).alias("t"))
+    met = s.mapInArrow(lambda it: _best_in_batches(it, pa.array(words, pa.string()), first, of, len(rows)), "label string, low array<string>, neg array<boolean>, best array<struct<c:int,pos:int,n:int>>")
+    best = met.select("label", F.explode(F.transform("best", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), F.get("low", x["pos"]).alias("low"), F.get("neg", x["pos"]).alias("neg")))).alias("x")).select("label", "x.*")
+    own = claims.sparkSession.createDataFrame([(i, r.claim_id, len(r.t)) for i, r in enumerate(rows)], f"c int, claim_id {claims.schema['claim_id'].dataType.simpleString()}, nc int")
+    return best.join(F.broadcast(own), "c").select("claim_id", "label", F.round(F.col("n") / F.col("nc"), 6).alias("overlap"), "low", "neg")
+
+
+def _best_by_join(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """best_sentences() on terms, where the sentences are: a source's sentences stay in one task, with the claims' terms sent there."""
     c = claims.select("claim_id", comparison_terms(F.col("claim")).alias("t")).select("claim_id", F.size("t").alias("nc"), F.explode("t").alias("term"))
     s = sources.select("label", F.posexplode(T.sentences(T.squeezed(F.col("text")))).alias("pos", "sentence"))
     s = saved(s.select("label", "pos", F.lower("sentence").alias("low"), negated(F.col("sentence")).alias("neg"), comparison_terms(F.col("sentence")).alias("t")), "sentences").repartition("label")
@@ -109,16 +168,30 @@ def entity_score(entities: Column, snippet: Column) -> Column:
     return F.when(F.size(entities) > 0, F.size(held) / F.size(entities)).otherwise(0.0)
 
 
+def _surest_of_task(batches, k: int = 3):
+    """The ``k`` surest rows of each claim and stream in a task, ties by label: all that can still be among the surest of all tasks."""
+    best = None
+    for b in batches:
+        rows = b.to_pandas()
+        rows = rows if best is None else pd.concat([best, rows])
+        best = rows.sort_values(["confidence", "label"], ascending=[False, True]).groupby(["claim_id", "stream"]).head(k)
+        schema = b.schema
+    if best is not None:
+        yield pa.RecordBatch.from_pandas(best, schema, preserve_index=False)
+
+
 def decisions(supports: DataFrame, facts: DataFrame) -> DataFrame:
     """``claim_id``, ``winner``, ``conflict``: which stream decides on each claim of ``facts`` (``claim_id``, ``fact_type``, ``policy``).
 
     Of ``supports`` (``claim_id``, ``stream``: local, web or ai, ``label``, ``support``, ``confidence``) the three surest of
-    each stream count, ties by label. The web decides on what changes, local files where only they may; both agree as
+    each stream count, ties by label; each task keeps its own three first, so that few rows are sorted and shuffled. The web decides on what changes, local files where only they may; both agree as
     hybrid; then whatever supports the claim, the model last. A conflict is support and contradiction among what counts.
     A claim without any support is unsupported.
     """
     surest = Window.partitionBy("claim_id", "stream").orderBy(F.desc("confidence"), "label")
-    top = supports.where("support != 'not_found'").withColumn("r", F.row_number().over(surest)).where("r <= 3")
+    told = supports.where("support != 'not_found' AND claim_id IS NOT NULL AND label IS NOT NULL").select("claim_id", "stream", "label", "support", "confidence")
+    part = told.mapInArrow(_surest_of_task, told.schema)
+    top = part.withColumn("r", F.row_number().over(surest)).where("r <= 3")
     has = lambda s, what: F.coalesce(F.bool_or((F.col("stream") == s) & (F.col("support") == what)), F.lit(False))
     told = top.groupBy("claim_id").agg(*(has(s, "supports").alias(s) for s in ("local", "web", "ai")), (F.bool_or(F.col("support") == "supports") & F.bool_or(F.col("support") == "contradicts")).alias("conflict"))
     d = facts.join(told, "claim_id", "left").fillna(False, ["local", "web", "ai", "conflict"])

@@ -353,3 +353,26 @@ def test_benchmark_winner_at_the_bound_and_without_user(spark, tmp_path):
     assert (names, got) == (["user_id", "winner"], [(1, "b"), (None, "")])
     null = [r for r in oracle.sql_rows(oracle.connect(tmp_path), SQL["benchmark_winner"])[1] if r[0] is None]
     assert null == [(None, "")]
+
+
+def test_best_sentences_shuffle_nothing(spark, monkeypatch):
+    """Claims go to the sources; the same rows as by the join, which repeated labels still take."""
+    claims = spark.createDataFrame([(1, "Wind power is not cheap."), (2, "solar solar wind"), (3, "zebra"), (4, None)], "claim_id long, claim string")
+    texts = [("S1", "Solar wind. Wind power is cheap! wind power"), ("S2", None), ("S3", "Nothing here. Cheap power. Cheap not wind."), ("S4", ""), ("S5", "of the. Solar.")]
+    sources = spark.createDataFrame(texts, "label string, text string")
+    rows = lambda df: sorted(map(tuple, df.select("claim_id", "label", "overlap", "low", "neg").collect()))
+    fast, joined = verify.best_sentences(claims, sources), verify._best_by_join(claims, sources)
+    assert rows(fast) == rows(joined) and len(rows(fast)) == 5
+    assert "hashpartitioning" not in fast._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(verify, "STEP_WORDS", 1)
+    assert rows(verify.best_sentences(claims, sources)) == rows(joined)
+    twice = sources.union(sources)
+    assert rows(verify.best_sentences(claims, twice)) == rows(verify._best_by_join(claims, twice))
+
+
+def test_surest_of_a_task():
+    import pyarrow as pa
+
+    b = lambda *r: pa.RecordBatch.from_pylist([dict(zip(("claim_id", "stream", "label", "support", "confidence"), x)) for x in r])
+    got = list(verify._surest_of_task(iter([b((1, "web", "S9", "supports", 0.5), (1, "web", "S2", "unclear", 0.5), (1, "ai", "S1", "unclear", 0.1)), b((1, "web", "S1", "supports", 0.4), (1, "web", "S10", "supports", 0.5), (1, "web", "S5", "supports", 0.9))])))
+    assert len(got) == 1 and sorted(got[0].column("label").to_pylist()) == ["S1", "S10", "S2", "S5"]
