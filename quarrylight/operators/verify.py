@@ -174,7 +174,8 @@ def _surest_of_task(batches, k: int = 3):
     for b in batches:
         rows = b.to_pandas()
         rows = rows if best is None else pd.concat([best, rows])
-        best = rows.sort_values(["confidence", "label"], ascending=[False, True]).groupby(["claim_id", "stream"]).head(k)
+        named = rows.assign(named=rows["label"].notna())  # as Spark orders: null labels first
+        best = named.sort_values(["confidence", "named", "label"], ascending=[False, True, True]).groupby(["claim_id", "stream"]).head(k).drop(columns="named")
         schema = b.schema
     if best is not None:
         yield pa.RecordBatch.from_pandas(best, schema, preserve_index=False)
@@ -189,7 +190,7 @@ def decisions(supports: DataFrame, facts: DataFrame) -> DataFrame:
     A claim without any support is unsupported.
     """
     surest = Window.partitionBy("claim_id", "stream").orderBy(F.desc("confidence"), "label")
-    told = supports.where("support != 'not_found' AND claim_id IS NOT NULL AND label IS NOT NULL").select("claim_id", "stream", "label", "support", "confidence")
+    told = supports.where("support != 'not_found' AND claim_id IS NOT NULL").select("claim_id", "stream", "label", "support", "confidence")
     part = told.mapInArrow(_surest_of_task, told.schema)
     top = part.withColumn("r", F.row_number().over(surest)).where("r <= 3")
     has = lambda s, what: F.coalesce(F.bool_or((F.col("stream") == s) & (F.col("support") == what)), F.lit(False))
