@@ -54,10 +54,16 @@ def repaired_formula(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     for a, b in (("<=", "≤"), (">=", "≥"), ("->", "→"), ("=>", "⇒")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    for name, symbol in GREEK.items():
-        for d, sub in zip("0123456789", "₀₁₂₃₄₅₆₇₈₉"):
-            t = F.regexp_replace(t, rf"(?i)\\?\b{name}[_ ]?{d}\b", symbol + sub)
-        t = F.regexp_replace(t, rf"(?i)\\?\b{name}\b", symbol)
+
+    def symbols(t: Column) -> Column:
+        for name, symbol in GREEK.items():
+            for d, sub in zip("0123456789", "₀₁₂₃₄₅₆₇₈₉"):
+                t = F.regexp_replace(t, rf"(?i)\\?\b{name}[_ ]?{d}\b", symbol + sub)
+            t = F.regexp_replace(t, rf"(?i)\\?\b{name}\b", symbol)
+        return t
+
+    named = rf"(?i)\b(?:{'|'.join(GREEK)})(?:[_ ]?[0-9])?\b"  # what one of symbols() matches at least, so a line without it stays as it is
+    t = T.bound(t, lambda x: F.when(x.rlike(named), symbols(x)).otherwise(x))
     t = F.regexp_replace(t, r"σ ?(\^ ?)?2\b", "σ²")
     return T.squeezed(F.regexp_replace(t, r"\s*([=≈∝≤≥+*/→⇒])\s*", " $1 "))
 
