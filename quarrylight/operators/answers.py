@@ -24,12 +24,13 @@ LEAST_CITATION = 0.28
 
 
 def form_class(text: Column, has_number_or_date: Column) -> Column:
-    t, c = F.lower(F.coalesce(text, F.lit(""))), None
-    for name, words in FORM_CLASSES:
-        test = t.rlike(WORD.format(words))
-        value = F.when(t.rlike(WORD.format(ACADEMIC)), "academic_document").otherwise("certificate") if name == "certificate" else F.lit(name)
-        c = F.when(test, value) if c is None else c.when(test, value)
-    return c.when(has_number_or_date, "form").otherwise("unknown_structured_document")
+    def first(t: Column) -> Column:
+        c = F
+        for name, words in FORM_CLASSES:
+            c = c.when(T.has_word(t, words), F.when(T.has_word(t, ACADEMIC), "academic_document").otherwise("certificate") if name == "certificate" else F.lit(name))
+        return c
+
+    return F.coalesce(T.bound(F.lower(F.coalesce(text, F.lit(""))), first), F.when(has_number_or_date, "form").otherwise("unknown_structured_document"))
 
 
 def form_confidence(fields: DataFrame, classes: DataFrame) -> DataFrame:

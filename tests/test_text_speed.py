@@ -28,3 +28,18 @@ def test_formula_repair_passes_prose_by(spark):
     assert seconds(spark, answers.repaired_formula) < 4
     rows = spark.createDataFrame([("the alphabet of mu_2",), (r"\alpha1 and Beta 3, pi",), ("alphas = 1",), ("sigma ^2",), (None,)], "t string").select(answers.repaired_formula(F.col("t")).alias("r")).collect()
     assert [r.r for r in rows] == ["the alphabet of μ₂", "α₁ and β₃, π", "alphas = 1", "σ²", ""]
+
+
+ODD = ["Passport", "passports", "a passport", "passport_no", "_passport", "x-VAT.", "vatican", "cover letter\n", "bill to: me", "bill  to", "certificate of the University", "certificate", "AB-12345", "", None, "éclause", "clauseé", "9party", "party", "to whom it may concern", "ID card", "kid card", "the manual", "manually", "doi:1", "İdentity card"]
+
+
+def test_form_class_passes_prose_by(spark):
+    assert seconds(spark, lambda t: answers.form_class(t, F.lit(True))) < 1.5
+
+    def old(text):
+        t, c = F.lower(F.coalesce(text, F.lit(""))), F
+        for name, words in answers.FORM_CLASSES:
+            c = c.when(t.rlike(answers.WORD.format(words)), F.when(t.rlike(answers.WORD.format(answers.ACADEMIC)), "academic_document").otherwise("certificate") if name == "certificate" else F.lit(name))
+        return c.when(text == "AB-12345", "form").otherwise("unknown_structured_document")
+
+    both(spark, ODD, lambda t: answers.form_class(t, t == "AB-12345"), old)
