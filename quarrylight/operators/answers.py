@@ -105,10 +105,14 @@ def document_type(name: Column, text: Column) -> Column:
     """A document's kind by its file's suffix, else by its words."""
     suffix = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     by_suffix = F.try_element_at(F.create_map([F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix)
-    t, c = F.lower(F.coalesce(text, F.lit(""))), None
-    for kind, words in KIND_WORDS:
-        c = F.when(t.rlike(WORD.format(words)), kind) if c is None else c.when(t.rlike(WORD.format(words)), kind)
-    return F.coalesce(by_suffix, c.otherwise("document"))
+
+    def first(t: Column) -> Column:
+        c = F
+        for kind, words in KIND_WORDS:
+            c = c.when(T.has_word(t, words), kind)
+        return c
+
+    return F.coalesce(by_suffix, T.bound(F.lower(F.coalesce(text, F.lit(""))), first), F.lit("document"))
 
 
 def requested_names(question: Column) -> Column:

@@ -43,3 +43,15 @@ def test_form_class_passes_prose_by(spark):
         return c.when(text == "AB-12345", "form").otherwise("unknown_structured_document")
 
     both(spark, ODD, lambda t: answers.form_class(t, t == "AB-12345"), old)
+
+
+def test_document_type_passes_prose_by(spark):
+    assert seconds(spark, lambda t: answers.document_type(F.lit("a.txt"), t)) < 1.5
+
+    def old(text):
+        t, c = F.lower(F.coalesce(text, F.lit(""))), F
+        for kind, words in answers.KIND_WORDS:
+            c = c.when(t.rlike(answers.WORD.format(words)), kind)
+        return c.otherwise("document")
+
+    both(spark, ODD, lambda t: answers.document_type(F.lit("a.txt"), t), old)
