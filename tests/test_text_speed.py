@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quarrylight.operators import answers
+from quarrylight.operators import answers, extract
 
 PROSE = "Die Sache war, wie man so sagt, entschieden and the people of the old town walked along the river until the evening came "
 
@@ -55,3 +55,20 @@ def test_document_type_passes_prose_by(spark):
         return c.otherwise("document")
 
     both(spark, ODD, lambda t: answers.document_type(F.lit("a.txt"), t), old)
+
+
+def test_formula_score_passes_prose_by(spark):
+    assert seconds(spark, extract.formula_score) < 2
+    assert seconds(spark, lambda t: extract.formula_type(t, F.lit(""))) < 1
+
+    def old(text):
+        line = answers.T.squeezed(text)
+        found = extract.formula_features(line)
+        points = sum((F.least(F.lit(most), found[name] * each) for name, each, most, _ in extract.FORMULA_EVIDENCE), F.lit(0.0))
+        return F.when(line == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)))
+
+    texts = ["", None, " ", "x 2", "B_3", "b3.", "f (x)", "Cov(x)", "checksum (1)", "INTEGRALLY", "Sum of it", "summary", "dy / dx", r"\sqrt 2", "the mu of", "µ", "Beta2", "exp log", "a = b", "long " * 40 + "= 1.", "σ² ≤ 1", "1/2"]
+    both(spark, texts, extract.formula_score, old)
+    kinds = {"y ~ x": "linear_model", "my = x": "identity", "P(A | B)": "posterior", "l (x)": "likelihood", "E (x)": "expectation", "one (x)": "unknown", "a matrix": "matrix_equation", "[1; 2]": "matrix_equation", "dy / dx": "differential_equation", "p(x)": "probability", "a=b": "identity", "": "unknown"}
+    rows = spark.createDataFrame([(t,) for t in [*kinds, None]], "t string").select("t", extract.formula_type(F.col("t"), F.lit("")).alias("k")).collect()
+    assert {r.t: r.k for r in rows} == kinds | {None: "unknown"}
