@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quarrylight.operators import answers, extract
+from quarrylight.operators import answers, extract, identity
 
 PROSE = "Die Sache war, wie man so sagt, entschieden and the people of the old town walked along the river until the evening came "
 
@@ -72,3 +72,12 @@ def test_formula_score_passes_prose_by(spark):
     kinds = {"y ~ x": "linear_model", "my = x": "identity", "P(A | B)": "posterior", "l (x)": "likelihood", "E (x)": "expectation", "one (x)": "unknown", "a matrix": "matrix_equation", "[1; 2]": "matrix_equation", "dy / dx": "differential_equation", "p(x)": "probability", "a=b": "identity", "": "unknown"}
     rows = spark.createDataFrame([(t,) for t in [*kinds, None]], "t string").select("t", extract.formula_type(F.col("t"), F.lit("")).alias("k")).collect()
     assert {r.t: r.k for r in rows} == kinds | {None: "unknown"}
+
+
+def test_sources_about_passes_prose_by(spark):
+    name = F.array(F.lit("maria"), F.lit("rossi"))
+    assert seconds(spark, lambda t: F.size(identity.names_in(t))) < 1
+    assert seconds(spark, lambda t: identity.about_person(F.lit("a.txt"), F.concat(t, F.lit(" maria rossi thesis")), name, F.lit(False)), 1000) < 2
+    texts = ["Maria Rossi", "xMaria Rossi", "_Maria Rossi", "9Maria Rossi", "Maria  Rossi-Bianchi John Smith", "éMaria Rossi", "", None, "Anna Maria Rossi", "(Jan\nde Vries) Karl Marx."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(identity.names_in(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [["maria rossi"], [], [], [], ["maria rossi-bianchi", "john smith"], ["maria rossi"], [], [], ["anna maria"], ["karl marx"]]
