@@ -11,12 +11,15 @@ from pyspark.sql.types import DoubleType
 
 from quarrylight.functions import text as T
 from quarrylight.functions.scoring import clamp
+from quarrylight.shared import saved
 
 LEAST_NAME = 0.55
 CACHE_SIMILARITY = 0.88
 #: Questions that a cache holds, and distinct terms of questions that are broadcast at most.
 CAPACITY = 250
 MOST_TERMS = 1_000_000
+#: Cached questions that are sent to the requests at most.
+MOST_ENTRIES = 1000
 # Words that don't distinguish questions.
 CACHE_STOPWORDS = ["a", "an", "and", "are", "at", "by", "do", "does", "for", "from", "in", "is", "of", "on", "or", "please", "tell", "me", "the", "to", "was", "were", "what", "when", "where", "which", "who"]
 
@@ -100,13 +103,21 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, with_sequence: bool =
     """``rid``, ``eid``, ``similarity`` of the best cached question (``eid``, ``scope``, ``question``) for each request (``rid``, ``scope``, ``question``) of its scope: an equal one, else the most similar at 0.88 or more.
 
     Similarity is the larger of Jaccard and 0.96 of the overlap coefficient of words; ``with_sequence`` also takes the
-    ratio of matching blocks. Candidates share a word, found by an equi-join.
+    ratio of matching blocks. Candidates share a word. Entries are as few as a cache holds, so they are sent to the
+    requests, which are shuffled once; pairs are compared where the request is. More entries meet them in an equi-join on words.
     """
     norm = lambda c: T.normalized(c)
     r = requests.select("rid", "scope", norm(F.col("question")).alias("rq"), cache_words(F.col("question")).alias("rw"))
     e = entries.select("eid", "scope", norm(F.col("question")).alias("eq"), cache_words(F.col("question")).alias("ew"))
-    met = r.withColumn("w", F.explode("rw")).join(e.withColumn("w", F.explode("ew")), ["scope", "w"]).groupBy("rid", "eid", "rq", "eq").agg(F.count("*").alias("both"), F.first(F.size("rw")).alias("nr"), F.first(F.size("ew")).alias("ne"))
-    s = F.greatest(F.col("both") / (F.col("nr") + F.col("ne") - F.col("both")), F.col("both") / F.least("nr", "ne") * 0.96)
+    e = saved(e, "cache_entries")
+    if e.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES:
+        once = lambda d, *keys, name: d.groupBy(*keys).agg(F.collect_list("scope").alias(name))  # noqa: E731  # repeated rows count as often as they are there
+        pairs = once(r, "rid", "rq", "rw", name="rs").join(F.broadcast(once(e, "eid", "eq", "ew", name="es")), F.arrays_overlap("rs", "es"))
+        times = F.aggregate("rs", F.lit(0), lambda n, s: n + F.size(F.filter("es", lambda x: x == s)))
+        met = T.held(pairs, both=F.size(F.array_intersect("rw", "ew")) * times).where("both > 0").select("rid", "eid", "rq", "eq", "both", F.size("rw").alias("nr"), F.size("ew").alias("ne"))
+    else:
+        met = r.withColumn("w", F.explode("rw")).join(e.withColumn("w", F.explode("ew")), ["scope", "w"]).groupBy("rid", "eid", "rq", "eq").agg(F.count("*").alias("both"), F.first(F.size("rw")).alias("nr"), F.first(F.size("ew")).alias("ne"))
+    s = F.greatest(F.coalesce(F.try_divide(F.col("both"), F.col("nr") + F.col("ne") - F.col("both")), F.lit(float("inf"))), F.col("both") / F.least("nr", "ne") * 0.96)
     s = F.greatest(s, sequence_ratio("rq", "eq")) if with_sequence else s
     met = met.withColumn("similarity", F.round(F.when(F.col("rq") == F.col("eq"), 1.0).otherwise(s), 6)).where(F.col("similarity") >= CACHE_SIMILARITY)
     return met.groupBy("rid").agg(F.max(F.struct("similarity", (-F.col("eid")).alias("neg"))).alias("x")).select("rid", (-F.col("x.neg")).alias("eid"), F.col("x.similarity").alias("similarity"))
