@@ -18,6 +18,8 @@ CACHE_SIMILARITY = 0.88
 #: Questions that a cache holds, and distinct terms of questions that are broadcast at most.
 CAPACITY = 250
 MOST_TERMS = 1_000_000
+#: Pairs of a question and a document that a task counts, about.
+TASK_PAIRS = 1_000_000
 #: Cached questions that are sent to the requests at most.
 MOST_ENTRIES = 1000
 # Words that don't distinguish questions.
@@ -60,13 +62,15 @@ def metadata_matches(questions: DataFrame, documents: DataFrame, most: int = 8)
 
     Nearly every question shares a word with nearly every document, so the pairs are counted where the documents are:
     these are dealt by their name once, and if the questions' words are few enough (counted first) they are broadcast.
+    Small documents make many pairs, so the number of tasks follows the pairs and is not left to the bytes that are dealt.
     Each task then hands on its ``most`` best of a question only.
     """
     words = lambda c: F.array_distinct(T.tokens(c))
     q = questions.select("qid", F.explode(words(F.col("question"))).alias("term"))
     d = T.held(documents.select("document", "size", "about"), w=words(F.col("about"))).select("document", "size", "w")
     if q.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        hit = d.repartition("document").select("document", "size", F.explode("w").alias("term")).join(F.broadcast(q), "term")
+        n = max(d.sparkSession.sparkContext.defaultParallelism, -(-documents.count() * questions.count() // TASK_PAIRS))
+        hit = d.repartition(n, "document").select("document", "size", F.explode("w").alias("term")).join(F.broadcast(q), "term")
     else:
         hit = d.select("document", "size", F.explode("w").alias("term")).join(q, "term")
     hit = hit.groupBy("document", "size", "qid").agg(F.count("*").alias("n"))
