@@ -74,6 +74,38 @@ def test_index_reads_less(spark):
     assert all(w["read"] < 0.75 * w.postings and w.scored < 0.5 * w.candidates for w in work.values()), work
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_index_scores_few_documents(spark, monkeypatch, most):
+    """What was seen of the k-th best document is reached by few others, however many the first score lets through."""
+    monkeypatch.setattr(P, "MOST_TERMS", most)
+    rows = corpus(3000, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n, 200, 7))) for n in range(4)], "qid int, question string")
+    found = P.build(docs).topk(q, 5)
+    assert hits(found) == brute(rows, [tuple(r) for r in q.collect()], 5)
+    work = found.work.collect()
+    assert len(work) == 4 and all(w.scored <= 100 for w in work), work
+
+
+def test_blocks_hold_every_posting(spark):
+    """Blocks are made where the documents are, also where a segment goes on in another batch; no shuffle of postings."""
+    rows = corpus(500, 6)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        index = P.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    places = lambda t: sorted(map(tuple, t.select("segment", "key", "dl", F.inline("terms")).collect()))
+    blocks = index._read("blocks")
+    spread = blocks.select("segment", "term", "level", "top", "n", "docs").collect()
+    assert places(index._read("forward")) == sorted((b.segment, d.key, d.dl, b.term, d.tf) for b in spread for d in b.docs)
+    base = index.totals().base
+    for b in spread:
+        worth = [d.tf / (d.tf + 1.5 * (0.25 + 0.75 * d.dl / base)) for d in b.docs]
+        assert b.n == len(b.docs) and max(worth) == pytest.approx(b.top) and {min(15, int(w * 16)) for w in worth} == {b.level}
+
+
 def test_index_follows_changes(spark):
     rows = dict(corpus(400))
     index = P.build(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
