@@ -17,15 +17,13 @@ from pyspark.sql import functions as F
 from quarrylight.session import ship
 from quarrylight.shared import saved
 
-#: Vectors and queries of a block, bytes of query vectors that are sent to all tasks, rows of the grid.
-BLOCK, QUERY_BLOCK, SENT_BYTES, GRID = 2048, 512, 16 << 20, 64
+#: Vectors and queries of a block, the length over which vectors make smaller blocks, bytes of query vectors that are sent to all tasks, rows of the grid.
+BLOCK, QUERY_BLOCK, LONG, SENT_BYTES, GRID = 2048, 512, 64, 16 << 20, 64
 DECIMALS = 6
 
 
-def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, d) vectors of length 1; all 0, and its length told as 0, where a vector is null, empty, zero or not finite."""
-    d = len(rows[0]) if rows and rows[0] is not None else 0
-    x = np.array([[np.nan if c is None else c for c in r] for r in rows], np.float64).reshape(len(rows), d) if d else np.zeros((len(rows), 0))
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, d) vectors of length 1; all 0, and its length told as 0, where a vector is empty, zero or not finite."""
     with np.errstate(invalid="ignore", over="ignore"):
         n = np.sqrt((x * x).sum(1))
         good = np.isfinite(n) & (n > 0)
@@ -48,18 +46,22 @@ def packed(df: DataFrame, block: int, name: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), lists, pa.array([dim], pa.int32()), pa.array([whole.astype("<f8").tobytes()], pa.binary())], names=[name, f"{name}_ids", f"{name}_dim", f"{name}_vectors"])
 
         for b in batches:
-            vectors = b.column(1).to_pylist()
-            dims = np.array([len(v) if v is not None else 0 for v in vectors])
+            lists = b.column(1)
+            dims = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, starts = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.cumsum(dims) - dims  # numbers, no Python objects; nulls are NaN
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                unit, good = _unit([vectors[i] for i in at])
-                for dim, own, rows in ((int(d), at[good], unit[good]), (0, at[~good], None)):
-                    for k in range(0, len(own), block):
+                rows_of, most = np.flatnonzero(dims == d), max(1, block * LONG // max(LONG, int(d)))
+                for k in range(0, len(rows_of), most):
+                    at = rows_of[k : k + most]
+                    unit, good = _unit(values[starts[at][:, None] + np.arange(d)])
+                    for dim, own, rows in ((int(d), at[good], unit[good]), (0, at[~good], None)):
+                        if not len(own):
+                            continue
                         ids, kept = held.setdefault(dim, ([], []))
-                        ids.append(b.column(0).take(pa.array(own[k : k + block])))
+                        ids.append(b.column(0).take(pa.array(own)))
                         if rows is not None:
-                            kept.append(rows[k : k + block])
-                        if sum(map(len, ids)) >= block:
+                            kept.append(rows)
+                        if sum(map(len, ids)) >= (most if dim else block):
                             yield out(dim)
         for dim in list(held):
             yield out(dim)

@@ -160,6 +160,16 @@ def test_nearest_equals_every_pair(spark, monkeypatch, sent):
     assert "CartesianProduct" not in plan
 
 
+def test_blocks_of_long_vectors_are_small(spark):
+    """A block's bytes do not grow with the length of its vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=1024)]) for i in range(600)] + [(600, None), (601, [None] * 1024), (602, [1.0])]
+    blocks = N.packed(spark.createDataFrame(rows, "id long, v array<double>").coalesce(1), N.BLOCK, "b").collect()
+    assert sorted(i for b in blocks for i in b.b_ids) == list(range(603)) and {i for b in blocks if not b.b_dim for i in b.b_ids} == {600, 601}
+    assert max(len(b.b_vectors) for b in blocks) <= 2 * 8 * N.BLOCK * 64
+    assert all(len(b.b_vectors) == 8 * b.b_dim * len(b.b_ids) for b in blocks)
+
+
 # Sets
 
 
