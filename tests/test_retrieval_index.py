@@ -106,6 +106,21 @@ def test_blocks_hold_every_posting(spark):
         assert b.n == len(b.docs) and max(worth) == pytest.approx(b.top) and {min(15, int(w * 16)) for w in worth} == {b.level}
 
 
+@pytest.mark.parametrize("size", [1, 60, 4 << 20])
+def test_terms_are_those_of_the_pattern(spark, monkeypatch, size):
+    """Terms are counted in Arrow batches, whatever stands at the borders of texts and slices."""
+    from quarrylight.functions import text as T
+
+    monkeypatch.setattr(P, "SLICE_BYTES", size)
+    r = random.Random(9)
+    texts = [None, "", "-", "a", "a-", "-a", "--ab", "_a_B", "ab", "\u00e9", "\u212aab"] + ["".join(r.choices("aBz09_- .\u00f1\u00e9\n'K\U0001f600", k=r.choice([0, 2, 5, 40]))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = P._counted(docs, "doc_id", "text")
+    assert "regexp" not in got._jdf.queryExecution().toString()
+    want = docs.select("doc_id", T.counted(T.tokens(F.coalesce("text", F.lit("")))).alias("terms")).collect()
+    assert {x.doc_id: (x.terms, x.dl) for x in got.collect()} == {str(x.doc_id): (x.terms, sum(t.n for t in x.terms)) for x in want}
+
+
 def test_index_follows_changes(spark):
     rows = dict(corpus(400))
     index = P.build(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
@@ -122,6 +137,21 @@ def test_index_follows_changes(spark):
     assert index.live().count() == len(now)
 
 
+@pytest.mark.parametrize("name", ["extractive_answer", "rare_terms"])
+def test_texts_are_not_shuffled_to_what_was_found(spark, name):
+    """Found documents are few and go to the texts."""
+    from quarrylight.queries import QUERIES
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for texts that are many
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = [line for line in plan.splitlines() if "Join" in line and "doc_id" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins), plan
+
+
 # Neighbours
 
 
