@@ -178,10 +178,12 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, docs, vectors = questions(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     pool = lexical(spark, sf_dir, q, POOL, floor=0.0).select("qid", F.col("doc_id").alias("item"), F.col("score").alias("retrieval"))
     asked = vectors.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    theirs = pool.join(asked, "qid", "left").join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), "item", "left")
+    found = pool.select("item").distinct()  # a row a found document: their vectors and texts are picked where they are
+    found = F.broadcast(found) if pool.count() <= R.MOST_TERMS else found
+    theirs = pool.join(asked, "qid", "left").join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")).join(found, "item", "left_semi"), "item", "left")
     kinds = F.array(*[F.struct(F.lit(st).alias("source_type"), F.lit(au).alias("authority")) for st, au in (("local", "internal"), ("web", "news"), ("ai", "model"), ("web", "scientific_paper"))])
     date = F.when(F.col("doc_id") % 4 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")))
-    d = docs.select(F.col("doc_id").alias("item"), F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")).alias("kind"), F.col("source").alias("title"), F.col("text").alias("content"), date.alias("document_date"))
+    d = docs.select(F.col("doc_id").alias("item"), F.get(kinds, (F.floor(F.col("doc_id") / 40) % 4).cast("int")).alias("kind"), F.col("source").alias("title"), F.col("text").alias("content"), date.alias("document_date")).join(found, "item", "left_semi")
     j = theirs.select("qid", "item", "retrieval", R.cosine(F.col("qv"), F.col("v")).alias("semantic")).join(d, "item").select("qid", "item", "kind.*", "title", "content", "retrieval", "semantic", "document_date")
     return j.withColumns({"dated": F.col("qid") % 2 == 0, "local_question": F.col("qid") % 3 == 0, "scientific": F.col("qid") % 5 == 0, "lookup": F.lit(False), "terms": F.array().cast("array<string>")})
 
