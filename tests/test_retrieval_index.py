@@ -87,6 +87,19 @@ def test_index_scores_few_documents(spark, monkeypatch, most):
     assert len(work) == 4 and all(w.scored <= 100 for w in work), work
 
 
+def test_sums_in_small_pieces(spark, monkeypatch):
+    """A segment's postings and a batch's documents are added up in tasks, however few cells and pairs are held at once; no pair of question and document is grouped by shuffle."""
+    monkeypatch.setattr(P, "CELLS", 1500)
+    monkeypatch.setattr(P, "PAIRS", 40)
+    rows = corpus(700, 8)
+    index = P.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 700, 9)], "doc_id long"))
+    found = index.topk(spark.createDataFrame(QUESTIONS, "qid int, question string"), 7)
+    assert hits(found) == brute([r for r in rows if r[0] % 9 or r[0] >= 700], QUESTIONS, 7)
+    plan = found.hits._jdf.queryExecution().toString()
+    assert "sum(" not in plan and "MapInArrow" in plan
+
+
 def test_blocks_hold_every_posting(spark):
     """Blocks are made where the documents are, also where a segment goes on in another batch; no shuffle of postings."""
     rows = corpus(500, 6)
