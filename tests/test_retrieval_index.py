@@ -165,6 +165,23 @@ def test_texts_are_not_shuffled_to_what_was_found(spark, name):
     assert joins and all("BroadcastHashJoin" in line for line in joins), plan
 
 
+def test_changes_do_not_shuffle_the_index(spark):
+    """Ids of a change go to the forward table, which holds all terms."""
+    rows = corpus(300)
+    index = P.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = spark.createDataFrame([(str(i),) for i in range(0, 300, 7)] + [(None,), ("7",)], "doc_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        named = index._named(ids)
+        assert "hashpartitioning" not in named._jdf.queryExecution().executedPlan().toString()
+        assert sorted(int(r.doc_id) for r in named.collect()) == list(range(0, 300, 7))
+        alive = index.delete(ids).live()
+        assert alive.count() == len(rows) - 43 and "hashpartitioning" not in alive._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 # Neighbours
 
 
